@@ -24,6 +24,8 @@ from ..runtime import materialize
 #: Patterns and sources that the driver solves for at most; more raise ValueError.
 MAX_PATTERNS = 4096
 BUCKETS = 1024
+#: A document over this part of its pattern and over 8 times the mean is placed by its hash bucket.
+LONG_PARTS = 200
 
 
 def capped_shares(sizes: Sequence[int], weights: Sequence[float], total: float, cap: float) -> list[float]:
@@ -144,9 +146,9 @@ def mix(
             "__mix_order": F.xxhash64(F.lit(seed), F.col(doc_id).cast("string")),
             "__mix_size": size,
         }
-    ).withColumn("__mix_bucket", F.shiftrightunsigned("__mix_order", 54).cast("int"))
-    counts = materialize(keyed.groupBy("__mix_pattern", "__mix_bucket").agg(F.sum("__mix_size").alias("size")), "mix-histogram")
-    by_pattern = counts.groupBy("__mix_pattern").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
+    ).withColumns({"__mix_bucket": F.shiftrightunsigned("__mix_order", 54).cast("int"), "__mix_class": F.length(F.bin("__mix_size"))})
+    counts = materialize(keyed.groupBy("__mix_pattern", "__mix_bucket", "__mix_class").agg(F.sum("__mix_size").alias("size"), F.count("*").alias("n")), "mix-histogram")
+    by_pattern = counts.groupBy("__mix_pattern").agg(F.sum("size").alias("size"), F.sum("n").alias("n")).limit(MAX_PATTERNS + 1).collect()
     if len(by_pattern) > MAX_PATTERNS:
         raise ValueError(f"over {MAX_PATTERNS} membership patterns")
     capacity = {r["__mix_pattern"]: int(r["size"]) for r in sorted(by_pattern, key=lambda r: r["__mix_pattern"])}
@@ -161,9 +163,11 @@ def mix(
     cuts = _cuts(flow, capacity, members)
     report = {"holdings": holdings, "targets": wanted, "flow": flow}
 
-    plan = _plan(spark, counts, cuts)
-    marked = keyed.join(plan, "__mix_pattern", "left")
-    is_cut = F.coalesce(F.array_contains("cut_buckets", F.col("__mix_bucket")), F.lit(False))
+    # a document that is long for its pattern would move a cut by much: its place follows from its bucket alone, and the others' cuts make up for it
+    long_class = {r["__mix_pattern"]: max(int(r["size"]) // LONG_PARTS, 8 * int(r["size"]) // max(1, int(r["n"]))).bit_length() + 1 for r in by_pattern}
+    plan = _plan(spark, counts, cuts, capacity, long_class)
+    marked = keyed.join(plan, "__mix_pattern", "left").withColumn("__mix_long", F.coalesce(F.col("__mix_class") >= F.col("long_class"), F.lit(False)))
+    is_cut = F.coalesce(F.array_contains("cut_buckets", F.col("__mix_bucket")), F.lit(False)) & ~F.col("__mix_long")
     whole = marked.where(~is_cut).withColumn("__mix_at", F.lit(None).cast("double"))
     w = Window.partitionBy("__mix_pattern", "__mix_bucket").orderBy("__mix_order", F.col(doc_id), "__mix_size").rowsBetween(Window.unboundedPreceding, 0)
     part = marked.where(is_cut).withColumn(
@@ -172,29 +176,44 @@ def mix(
     )
     # a bucket without a cut lies in a segment as a whole; in one with a cut the row's middle tells
     inside = F.expr(
-        "transform(filter(segments, s -> if(__mix_at IS NULL, __mix_bucket > s.low_bucket AND __mix_bucket < s.high_bucket,"
-        " __mix_at >= s.low AND __mix_at < s.high)), s -> named_struct('pass', s.pass, 'source', s.source))"
+        "transform(filter(segments, s -> CASE WHEN __mix_long THEN __mix_bucket + 0.5D >= s.long_low AND __mix_bucket + 0.5D < s.long_high"
+        " WHEN __mix_at IS NULL THEN __mix_bucket > s.low_bucket AND __mix_bucket < s.high_bucket"
+        " ELSE __mix_at >= s.low AND __mix_at < s.high END), s -> named_struct('pass', s.pass, 'source', s.source))"
     )
     out = whole.unionByName(part).withColumn("allocation", F.coalesce(inside, F.array().cast("array<struct<pass:int,source:string>>")))
     return out.select(*[c for c in docs.columns if c != "allocation"], "allocation"), report
 
 
-def _plan(spark, counts: DataFrame, cuts: dict) -> DataFrame:
+def _plan(spark, counts: DataFrame, cuts: dict, capacity: dict, long_class: dict) -> DataFrame:
     """A row for each pattern: its segments, and the buckets in which cuts fall with their first offset."""
+    offsets = [(p, o, BUCKETS * o / capacity[p]) for p, found in cuts.items() for o in sorted({x for _, a, b, _ in found for x in (a, b)})]
+    classes = spark.createDataFrame(list(long_class.items()), "__mix_pattern string, long_class int")
+    typed = counts.join(classes, "__mix_pattern")
+    cut = spark.createDataFrame(offsets, "__mix_pattern string, offset long, place double")
+    below = typed.where("__mix_class >= long_class").join(cut, "__mix_pattern").where("__mix_bucket + 0.5D < place").groupBy("__mix_pattern", "offset").agg(F.sum("size")).collect()
+    taken = {(r[0], r[1]): int(r[2]) for r in below}
+    short: dict = {}
+    for p, o, _ in offsets:  # ascending by pattern
+        short[p, o] = max(o - taken.get((p, o), 0), short.get((p, "last"), 0))
+        short[p, "last"] = short[p, o]
     running = Window.partitionBy("__mix_pattern").orderBy("__mix_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    offsets = [(p, o) for p, found in cuts.items() for o in sorted({x for _, a, b, _ in found for x in (a, b)})]
-    schema = "__mix_pattern string, offset long"
-    held = counts.withColumn("high", F.sum("size").over(running)).withColumn("low", F.col("high") - F.col("size"))
+    held = typed.where("__mix_class < long_class").groupBy("__mix_pattern", "__mix_bucket").agg(F.sum("size").alias("size"))
+    held = held.withColumn("high", F.sum("size").over(running)).withColumn("low", F.col("high") - F.col("size"))
+    wanted = spark.createDataFrame([(p, short[p, o]) for p, o in sorted({(p, o) for p, o, _ in offsets})], "__mix_pattern string, offset long").distinct()
     # the bucket of an offset: the last that starts at it or before; rows: one for each cut
-    at = held.join(spark.createDataFrame(offsets, schema), "__mix_pattern").where("low <= offset AND offset < high")
+    at = held.join(wanted, "__mix_pattern").where("low <= offset AND offset < high")
     place = {(r[0], r[1]): (r[2], r[3]) for r in at.select("__mix_pattern", "offset", "__mix_bucket", "low").collect()}
     rows = []
     for p, found in cuts.items():
-        buckets = sorted({place[p, o] for _, a, b, _ in found for o in (a, b) if (p, o) in place})
-        segments = [(k, s, float(a), float(b), place[p, a][0] if (p, a) in place else BUCKETS, place[p, b][0] if (p, b) in place else BUCKETS) for k, a, b, s in found]
-        rows.append((p, segments, [b for b, _ in buckets], [float(low) for _, low in buckets]))
-    segment = "array<struct<pass:int,source:string,low:double,high:double,low_bucket:int,high_bucket:int>>"
-    return spark.createDataFrame(rows, T._parse_datatype_string(f"__mix_pattern string, segments {segment}, cut_buckets array<int>, cut_starts array<double>"))
+        ends = [(k, short[p, a], short[p, b], a, b, s) for k, a, b, s in found]
+        buckets = sorted({place[p, o] for _, a, b, *_ in ends for o in (a, b) if (p, o) in place})
+        segments = [
+            (k, s, float(a), float(b), place[p, a][0] if (p, a) in place else BUCKETS, place[p, b][0] if (p, b) in place else BUCKETS, BUCKETS * long_a / capacity[p], BUCKETS * long_b / capacity[p])
+            for k, a, b, long_a, long_b, s in ends
+        ]
+        rows.append((p, segments, [b for b, _ in buckets], [float(low) for _, low in buckets], long_class[p]))
+    segment = "array<struct<pass:int,source:string,low:double,high:double,low_bucket:int,high_bucket:int,long_low:double,long_high:double>>"
+    return spark.createDataFrame(rows, T._parse_datatype_string(f"__mix_pattern string, segments {segment}, cut_buckets array<int>, cut_starts array<double>, long_class int"))
 
 
 def weights_by_rank(cycle: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> Callable[[dict], dict]:

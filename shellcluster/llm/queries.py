@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, rules
+import public_tokenizers
+
+from . import chosen_path, dac, mixing, pigeonhole, preference, rules
 from .common import word_count
 
 
@@ -24,6 +26,24 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = preference.turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    pairs = preference.format_pairs(preference.against_first_reply(conversations))
+    return pairs.select("conv_id", "n_shared", "prompt", "chosen_completion", "rejected_completion", F.to_json("chosen_spans").alias("chosen_spans"), F.to_json("rejected_spans").alias("rejected_spans"))
+
+
+def op3_dac(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    return dac.round_trip(documents(spark, sf_dir).select("doc_id", "text"), tokenizer or public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pigeonhole.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.judge(documents(spark, sf_dir).select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -31,12 +51,40 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_preference": op2_preference,
+    "op3_dac": op3_dac,
+    "op5_decontamination": op5_decontamination,
+    "op6_jaccard_join": op6_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
 }
 
 _STOP_LIST = ", ".join(f"'{w}'" for w in rules.STOP_WORDS)
 
+_RENDER = "'<|' || coalesce({x}.role, '') || '|>' || chr(10) || coalesce({x}.text, '') || '<|end|>' || chr(10)"
+
+
+def _spans_sql(part: str) -> str:
+    """Spans of the assistant's turns: each turn is 12 marks and line ends longer than its role and text, plus one line end."""
+    size = "(length(coalesce({x}.role, '')) + length(coalesce({x}.text, '')) + 13)"
+    before = f"coalesce(list_sum(list_transform({part}[1:i - 1], lambda y: {size.format(x='y')})), 0)"
+    head = f"({before} + length(coalesce({part}[i].role, '')) + 5)::BIGINT"
+    tail = f"({before} + {size.format(x=f'{part}[i]')} - 1)::BIGINT"
+    span = f"""'{{"from":' || {head} || ',"to":' || {tail} || '}}'"""
+    return f"'[' || array_to_string(list_transform(list_filter(range(1, len({part}) + 1), lambda i: coalesce({part}[i].role = 'assistant', false)), lambda i: {span}), ',') || ']'"
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_preference": f"""
+WITH c AS (SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS t FROM conversations GROUP BY conv_id),
+l AS (SELECT conv_id, t, list_max(list_filter(range(1, len(t) + 1), lambda i: t[i].role = 'assistant')) AS z,
+             list_min(list_filter(range(1, len(t) + 1), lambda i: t[i].role = 'assistant')) AS a FROM c),
+p AS (SELECT conv_id, t[1:z] AS chosen, list_append(t[1:z - 1], t[a]) AS rejected, z FROM l WHERE z IS NOT NULL AND t[z] IS DISTINCT FROM t[a]),
+n AS (SELECT conv_id, (z - 1)::INTEGER AS n_shared, chosen[1:z - 1] AS pre, chosen[z:] AS cc, rejected[z:] AS rr FROM p)
+SELECT conv_id, n_shared, array_to_string(list_transform(pre, lambda x: {_RENDER.format(x="x")}), '') AS prompt,
+       array_to_string(list_transform(cc, lambda x: {_RENDER.format(x="x")}), '') AS chosen_completion,
+       array_to_string(list_transform(rr, lambda x: {_RENDER.format(x="x")}), '') AS rejected_completion,
+       {_spans_sql("cc")} AS chosen_spans, {_spans_sql("rr")} AS rejected_spans
+FROM n""",
     "op9_quality_rules": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
