@@ -289,7 +289,9 @@ def read(spark: SparkSession, index: DataFrame, target: str) -> DataFrame:
                     {"doc_id": pa.array(file.doc_ids, pa.int64(), mask=~file.known), "start": pa.array(file.starts[:-1] + row["start"], pa.int64()), "n_tokens": pa.array(np.diff(file.starts), pa.int64()), "ids_crc32": pa.array(crc, pa.int64())}
                 )
 
-    files = index.select("path", "start").repartition(F.col("path"))
+    # a fixed number, else the few small rows of the index are read by one task
+    tasks = max(1, min(index.count(), 4 * spark.sparkContext.defaultParallelism))
+    files = index.select("path", "start").repartition(tasks, "path")
     return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

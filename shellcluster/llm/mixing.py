@@ -166,7 +166,8 @@ def mix(
     # a document that is long for its pattern would move a cut by much: its place follows from its bucket alone, and the others' cuts make up for it
     long_class = {r["__mix_pattern"]: max(int(r["size"]) // LONG_PARTS, 8 * int(r["size"]) // max(1, int(r["n"]))).bit_length() + 1 for r in by_pattern}
     plan = _plan(spark, counts, cuts, capacity, long_class)
-    marked = keyed.join(plan, "__mix_pattern", "left").withColumn("__mix_long", F.coalesce(F.col("__mix_class") >= F.col("long_class"), F.lit(False)))
+    # at most MAX_PATTERNS rows
+    marked = keyed.join(F.broadcast(plan), "__mix_pattern", "left").withColumn("__mix_long", F.coalesce(F.col("__mix_class") >= F.col("long_class"), F.lit(False)))
     is_cut = F.coalesce(F.array_contains("cut_buckets", F.col("__mix_bucket")), F.lit(False)) & ~F.col("__mix_long")
     whole = marked.where(~is_cut).withColumn("__mix_at", F.lit(None).cast("double"))
     w = Window.partitionBy("__mix_pattern", "__mix_bucket").orderBy("__mix_order", F.col(doc_id), "__mix_size").rowsBetween(Window.unboundedPreceding, 0)

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import chosen_path, dac, mixing, pigeonhole, preference, rules
-from .common import word_count
+from . import chosen_path, context_mixing, dac, gam, mixing, pigeonhole, preference, rules, suffix_dedup, toxicity
+from .common import fold, word_count
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed, report = mixing.mix(docs, F.array("source"), F.col("size"), mixing.weights_by_rank())
     table = spark.createDataFrame([(s, n, report["targets"][s]) for s, n in report["holdings"].items()], "source string, source_size long, target double")
     taken = (F.col("size") * F.size("allocation")).cast("long")
-    joined = mixed.withColumn("taken", taken).alias("m").join(table.alias("t"), F.expr("m.source <=> t.source"))
+    joined = mixed.withColumn("taken", taken).alias("m").join(F.broadcast(table).alias("t"), F.expr("m.source <=> t.source"))
     return joined.select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -36,6 +36,22 @@ def op3_dac(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> D
     return dac.round_trip(documents(spark, sf_dir).select("doc_id", "text"), tokenizer or public_tokenizers.path("word_bpe_49k.json"))
 
 
+def _held_out(modulus: int, remainder: int):
+    """Condition on doc_id; a null id isn't held out."""
+    return F.coalesce(fold("doc_id", modulus) == remainder, F.lit(False))
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = gam.train(docs, labels(spark, sf_dir), fold("__id", 3) != 1)
+    held = gam.score(docs, model).withColumn("held_out", _held_out(3, 1))
+    return held.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pigeonhole.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -44,18 +60,38 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.train(docs, labels(spark, sf_dir), fold("__id", 5) != 0)
+    held = toxicity.score(docs, model).withColumn("held_out", _held_out(5, 0))
+    return held.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = context_mixing.score(documents(spark, sf_dir).select("doc_id", "text"), fold("doc_id", 7) != 2)
+    return scored.select("doc_id", _held_out(7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.judge(documents(spark, sf_dir).select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(documents(spark, sf_dir).select("doc_id", "text"), with_text=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_preference": op2_preference,
     "op3_dac": op3_dac,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_decontamination": op5_decontamination,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_toxicity": op7_toxicity,
+    "op8_context_mixing": op8_context_mixing,
     "op9_quality_rules": op9_quality_rules,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 _STOP_LIST = ", ".join(f"'{w}'" for w in rules.STOP_WORDS)
