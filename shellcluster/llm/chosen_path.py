@@ -34,6 +34,8 @@ SMALL = 40
 KEEPS = 0.6
 #: Smallest block of a dense group that one task compares with another.
 BLOCK = 256
+#: Rows of a few numbers that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
 #: Bytes kept of a shingle's hash in stored sets.
 HASH_BYTES = 6
 
@@ -302,15 +304,15 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
         level = materialize(level, "jaccard-paths")
         counts = level.groupBy("path").agg(F.count("*").alias("n"), F.max("above_n").alias("above_n")).where("n > 1")
         counts = materialize(counts, "jaccard-counts")
-        buckets = level.drop("above_n").join(counts, "path")
+        buckets = materialize(level.drop("above_n").join(_small(counts), "path"), "jaccard-buckets")
         is_dense = (F.col("n") > SMALL) & (F.lit(depth == MAX_DEPTH) | (F.coalesce(F.col("n") >= KEEPS * F.col("above_n"), F.lit(False))))
         small.append(buckets.where(F.col("n") <= SMALL).select("path", "class", "size"))
         dense.append(buckets.where(is_dense).select("path", "class"))
         if depth == MAX_DEPTH or not counts.where(F.col("n") > SMALL).limit(1).count():
             break
-        large = buckets.where((F.col("n") > SMALL) & ~is_dense).join(first.select("class", "signature"), "class")
+        large = first.select("class", "signature").join(_small(buckets.where((F.col("n") > SMALL) & ~is_dense)), "class")
         above = counts.select(F.col("path").alias("above"), F.col("n").alias("above_n"))
-        level = _split(large).join(above, "above").drop("above")
+        level = _split(large).join(_small(above), "above").drop("above")
 
     groups = _dense_groups(spark, dense)
     sets = known.select("class", "shingles", "doc_id")
@@ -320,15 +322,15 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
     else:
         grouped = groups
         total = groups.groupBy("group").agg(F.count("*").alias("n"))
-        inside = _one_set(sets.join(groups, "class")).join(groups, "class").join(total, "group")
+        inside = _one_set(sets.join(_small(groups), "class")).join(groups, "class").join(total, "group")
         dense_links = materialize(_dense_links(inside, threshold), "jaccard-dense")
     rows = small[0]
     for s in small[1:]:
         rows = rows.unionByName(s)
-    rows = rows.join(grouped, "class", "left").withColumn("group", F.coalesce("group", F.lit(0))) if grouped is not None else rows.withColumn("group", F.lit(0).cast("long"))
+    rows = rows.join(_small(grouped), "class", "left").withColumn("group", F.coalesce("group", F.lit(0))) if grouped is not None else rows.withColumn("group", F.lit(0).cast("long"))
     found = materialize(_pairs_in_small(rows.repartition(F.col("path")).sortWithinPartitions("path"), threshold).distinct(), "jaccard-candidates")
     wanted = found.select(F.col("a").alias("class")).union(found.select(F.col("b").alias("class"))).distinct()
-    some = materialize(_one_set(sets.join(wanted, "class")), "jaccard-sets")
+    some = materialize(_one_set(sets.join(_small(materialize(wanted, "jaccard-wanted")), "class")), "jaccard-sets")
     full = found.join(some.select(F.col("class").alias("a"), F.col("shingles").alias("set_a")), "a").join(some.select(F.col("class").alias("b"), F.col("shingles").alias("set_b")), "b")
     links = materialize(_verify(full, threshold), "jaccard-links")
 
@@ -341,6 +343,11 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
     return sketch.select("doc_id", "class").join(table, "class", "left"), links, dense_links
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has BROADCAST_ROWS narrow rows at most; else Spark joins by shuffle."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def _one_set(rows: DataFrame) -> DataFrame:
     """One stored set for each class."""
     return rows.groupBy("class").agg(F.min_by("shingles", F.hash("doc_id")).alias("shingles"))
