@@ -232,11 +232,11 @@ def family_of(spec: dict, n: int, seed: int) -> Family:
     pick = lambda *keys: {k: given[k] for k in keys if k in given}
     if name == "density_contrast":
         return density_contrast(n, seed=seed, **pick("dimension", "density_ratio", "shape", "noise_fraction", "n_clusters"))
-    if name == "multidensity_2d":
+    if name == "multidensity":
         return multidensity_2d(n, seed=seed)
-    if name == "ultrasparse_16d":
+    if name == "ultrasparse":
         return ultrasparse_16d(n, seed=seed)
-    if name == "overlapping_density_16d":
+    if name == "overlapping_density":
         return overlapping_density_16d(n, seed=seed, **pick("signal_fraction"))
     if name in ("moons", "rings"):
         return moons_or_rings(name, n, seed=seed, **pick("noise_fraction"))
