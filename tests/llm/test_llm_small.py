@@ -425,7 +425,7 @@ def test_model_is_a_distribution():
     import pyarrow as pa
 
     rng = np.random.default_rng(1)
-    model = context_mixing._fresh([rng.integers(0, 5, (1 << b, 2)).astype(np.float16) for b in context_mixing.TABLE_BITS])
+    model = context_mixing._fresh([context_mixing._halves(rng.integers(0, 5, (1 << b, 2))) for b in context_mixing.TABLE_BITS])
     model.apm += 3
     symbols = np.arange(256, dtype=np.uint8)
     some = pa.array([b"ab" + bytes([i]) for i in range(256)], pa.binary())
