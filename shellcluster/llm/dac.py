@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
@@ -139,6 +140,14 @@ class WordIds(dict):
     def __init__(self, tokenizer, limit: int = 250_000):
         super().__init__()
         self.tokenizer, self.limit, self.old = tokenizer, limit, {}
+        self.letters_alone = all(self._by_model(w) == self._whole(w) for w in _PROBES)
+
+    def _whole(self, word: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _by_model(self, word: bytes) -> bytes:
+        """One run of letters that the normaliser leaves as it is: the tokenizer's model without the steps around it."""
+        return np.array([t.id for t in self.tokenizer.model.tokenize(word.decode("latin-1").translate(_BYTE_LETTERS))], "<u4").tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
         found = self.old.get(word)
@@ -146,8 +155,10 @@ class WordIds(dict):
             # a full stop or comma after a letter is a piece of its own
             if len(word) > 1 and word[-1] in b".," and chr(word[-2]).isalpha() and word[-2] < 128:
                 found = self[word[:-1]] + self[word[-1:]]
+            elif self.letters_alone and _plain_letters(word):
+                found = self._by_model(word)
             else:
-                found = np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+                found = self._whole(word)
         self[word] = found
         if len(self) > self.limit:
             self.old = dict(self)
@@ -155,6 +166,23 @@ class WordIds(dict):
         return found
 
 
+def _plain_letters(word: bytes) -> bool:
+    if word.isalpha():  # ASCII
+        return word.islower()
+    try:
+        text = word.decode()
+    except UnicodeDecodeError:
+        return False
+    return text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text)
+
+
+#: Byte-level alphabet: printable bytes are themselves, the others follow from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {b: (b if b in _PRINTABLE else 256 + b - sum(p < b for p in _PRINTABLE)) for b in range(256)}
+#: Words on which both ways must agree before the short one is used.
+_PROBES = [w.encode() for w in ("the", "tokenization", "übung", "naïve", "ciónes", "ßheit", "日本語", "жизнь", "x", "ñandúes")]
+
+
 class Encoder:
     """Whole texts to ids with a tokenizer of the tokenizers library, given as its JSON."""
 
