@@ -216,7 +216,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, u
     """doc_id, label and text of at most `rows` labelled documents, by a hash of the id; usable: which ids may be learnt from."""
     kept = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & usable)
     picked = kept.orderBy(F.xxhash64("__id"), "__id", "label").limit(rows)
-    return docs.join(F.broadcast(picked), F.col(doc_id) == F.col("__id")).select(F.col(doc_id).cast("long").alias("doc_id"), "label", F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return texts.join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).select("doc_id", "label", "text")
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", rows: int = SAMPLE_ROWS) -> Model:

@@ -167,17 +167,17 @@ def mix(
     long_class = {r["__mix_pattern"]: max(int(r["size"]) // LONG_PARTS, 8 * int(r["size"]) // max(1, int(r["n"]))).bit_length() + 1 for r in by_pattern}
     plan = _plan(spark, counts, cuts, capacity, long_class)
     # at most MAX_PATTERNS rows
-    marked = keyed.join(F.broadcast(plan), "__mix_pattern", "left").withColumn("__mix_long", F.coalesce(F.col("__mix_class") >= F.col("long_class"), F.lit(False)))
-    is_cut = F.coalesce(F.array_contains("cut_buckets", F.col("__mix_bucket")), F.lit(False)) & ~F.col("__mix_long")
+    marked = keyed.join(F.broadcast(plan), "__mix_pattern", "left").withColumn("__mix_long", F.coalesce(F.col("__mix_class") >= F.col("__mix_long_class"), F.lit(False)))
+    is_cut = F.coalesce(F.array_contains("__mix_cut_buckets", F.col("__mix_bucket")), F.lit(False)) & ~F.col("__mix_long")
     whole = marked.where(~is_cut).withColumn("__mix_at", F.lit(None).cast("double"))
     w = Window.partitionBy("__mix_pattern", "__mix_bucket").orderBy("__mix_order", F.col(doc_id), "__mix_size").rowsBetween(Window.unboundedPreceding, 0)
     part = marked.where(is_cut).withColumn(
         "__mix_at",
-        F.sum("__mix_size").over(w) - F.col("__mix_size") / 2 + F.element_at("cut_starts", F.array_position("cut_buckets", F.col("__mix_bucket")).cast("int")),
+        F.sum("__mix_size").over(w) - F.col("__mix_size") / 2 + F.element_at("__mix_cut_starts", F.array_position("__mix_cut_buckets", F.col("__mix_bucket")).cast("int")),
     )
     # a bucket without a cut lies in a segment as a whole; in one with a cut the row's middle tells
     inside = F.expr(
-        "transform(filter(segments, s -> CASE WHEN __mix_long THEN __mix_bucket + 0.5D >= s.long_low AND __mix_bucket + 0.5D < s.long_high"
+        "transform(filter(__mix_segments, s -> CASE WHEN __mix_long THEN __mix_bucket + 0.5D >= s.long_low AND __mix_bucket + 0.5D < s.long_high"
         " WHEN __mix_at IS NULL THEN __mix_bucket > s.low_bucket AND __mix_bucket < s.high_bucket"
         " ELSE __mix_at >= s.low AND __mix_at < s.high END), s -> named_struct('pass', s.pass, 'source', s.source))"
     )
@@ -214,7 +214,7 @@ def _plan(spark, counts: DataFrame, cuts: dict, capacity: dict, long_class: dict
         ]
         rows.append((p, segments, [b for b, _ in buckets], [float(low) for _, low in buckets], long_class[p]))
     segment = "array<struct<pass:int,source:string,low:double,high:double,low_bucket:int,high_bucket:int,long_low:double,long_high:double>>"
-    return spark.createDataFrame(rows, T._parse_datatype_string(f"__mix_pattern string, segments {segment}, cut_buckets array<int>, cut_starts array<double>, long_class int"))
+    return spark.createDataFrame(rows, T._parse_datatype_string(f"__mix_pattern string, __mix_segments {segment}, __mix_cut_buckets array<int>, __mix_cut_starts array<double>, __mix_long_class int"))
 
 
 def weights_by_rank(cycle: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> Callable[[dict], dict]:

@@ -85,7 +85,7 @@ def test_flow_prefers_first_passes_and_meets_quotas():
 
 
 def test_mix_meets_targets(docs):
-    sized = docs.withColumn("size", common.word_count(F.col("text")))
+    sized = docs.withColumns({"size": common.word_count(F.col("text")), "segments": F.lit(1), "long_class": F.lit(2), "allocation": F.lit("clash")})
     mixed, report = mixing.mix(sized, F.array("source"), F.col("size"), mixing.weights_by_rank())
     rows = mixed.collect()
     assert len(rows) == docs.count()
@@ -102,7 +102,7 @@ def test_mix_meets_targets(docs):
     again, _ = mixing.mix(sized.repartition(5), F.array("source"), F.col("size"), mixing.weights_by_rank())
     key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["size"], len(r["allocation"]))
     assert sorted(map(key, rows)) == sorted(map(key, again.collect()))
-    assert mixing.take(mixed).columns == sized.columns
+    assert set(mixing.take(mixed).columns) == set(sized.columns) - {"allocation"}
 
 
 def test_mix_of_overlapping_sources(spark):
@@ -240,8 +240,8 @@ def test_toxicity_on_held_out(spark):
 @pytest.mark.parametrize("module", [gam, toxicity])
 def test_classifiers_on_odd_rows(spark, docs, empty, module):
     labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(30)] + [(None, 1, 0), (3, None, None), (4, 7, 7)], "doc_id long, quality int, toxic int")
-    model = module.train(docs, labels, F.lit(True))
-    rows = module.score(docs.withColumn("score", F.lit("clash")), model).collect()
+    model = module.train(docs.withColumn("label", F.lit(5)), labels, F.lit(True))
+    rows = module.score(docs.withColumns({"score": F.lit("clash"), "label": F.lit(5)}), model).collect()
     assert len(rows) == docs.count() and all(0 <= r["score"] <= 1 for r in rows)
     assert module.score(empty, model).count() == 0
     one_sided = module.train(docs, labels.where("doc_id = 1"), F.lit(True))
