@@ -380,5 +380,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs without the near-duplicates: of each component the least id stays. All columns and rows of kept ids stay, and rows with a null id."""
     kept = near_duplicates(docs, doc_id, text, **options).where("class_id = doc_id").select(F.col("doc_id").alias("__kept_id")).distinct()
-    kept = materialize(kept, "jaccard-kept")
+    # beyond the checked size the texts travel to the ids instead
+    kept = _small(materialize(kept, "jaccard-kept"))
     return docs.join(kept, F.col(doc_id) == F.col("__kept_id"), "left_semi").unionByName(docs.where(F.col(doc_id).isNull()))
