@@ -47,7 +47,8 @@ class Anchored:
         self.ids = (h >> np.uint64(32)).astype(np.uint32)
         self.first = words.first
         count = np.diff(self.first)
-        whole = np.concatenate([[0], np.cumsum(mix(h + (np.arange(len(h)) - np.repeat(self.first[:-1], count)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), dtype=np.uint64)]).astype(np.uint64)
+        whole = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(mix(h + (np.arange(len(h)) - np.repeat(self.first[:-1], count)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), out=whole[1:])
         #: A hash of each text's word sequence.
         self.key = mix(whole[self.first[1:]] - whole[self.first[:-1]] + count.astype(np.uint64)).view(np.int64)
         self.count = count
