@@ -420,6 +420,15 @@ def test_joined_tail_gives_the_same_base(docs, monkeypatch):
     assert sorted(map(key, context_mixing.score(docs, F.lit(True)).collect())) == whole
 
 
+def test_joined_tail_gives_the_same_score(docs, monkeypatch):
+    key = lambda r: (str(r["doc_id"]), r["n_tokens"], round(r["score"], 6))
+    learns = common.fold("doc_id", 7) != 2
+    whole = sorted(map(key, context_mixing.score(docs, learns).collect()))
+    for rows in (40, 0):
+        monkeypatch.setattr(context_mixing, "HEAD_ROWS", rows)
+        assert sorted(map(key, context_mixing.score(docs, learns).collect())) == whole
+
+
 def test_model_is_a_distribution():
     """Probabilities of all bytes after a prefix add up to that of the prefix."""
     import pyarrow as pa
