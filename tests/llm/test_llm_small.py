@@ -429,6 +429,23 @@ def test_joined_tail_gives_the_same_score(docs, monkeypatch):
         assert sorted(map(key, context_mixing.score(docs, learns).collect())) == whole
 
 
+def test_large_counts_keep_their_ratio():
+    pairs = np.array([[124702, 60107], [3_000_000, 1_500_000], [10, 40_000_000], [65535, 3]])
+    both = context_mixing._halves(pairs)
+    got = np.stack([both & 0xFFFF, both >> 16], 1).astype(float)
+    assert np.allclose(got[:2, 0] / got[:2, 1], pairs[:2, 0] / pairs[:2, 1], rtol=1e-4)
+    assert got[2].tolist() == [1, 65535] and got[3].tolist() == [65535, 3]
+
+
+def test_tables_grow_with_the_vocabulary(docs, monkeypatch):
+    monkeypatch.setattr(context_mixing, "TABLE_BITS", (4,) * context_mixing.PREDICTORS)
+    vocab = context_mixing.vocabulary(docs.select("text"), F.lit(True))
+    sizes = context_mixing._sizes(vocab)
+    tables = context_mixing.unpack(context_mixing.pack(sizes, context_mixing._count(vocab, sizes)))
+    assert all(0 < (t > 0).mean() < 0.6 for t in tables) and sizes[5] > sizes[1]
+    assert context_mixing.score(docs, F.lit(True)).where("score < 0").count() == docs.count()
+
+
 def test_model_is_a_distribution():
     """Probabilities of all bytes after a prefix add up to that of the prefix."""
     import pyarrow as pa
