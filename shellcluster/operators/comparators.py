@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import special
 from ..runtime import materialize, ship
 from . import density, knn
-from .components import connected_components, dense_labels
+from .components import connected_components, dense_labels, with_position
 
 #: Rows that a sequential method takes at most.
 SEQUENTIAL_ROWS = 200_000
@@ -385,19 +385,19 @@ def peak_centers(state: DataFrame) -> tuple[list[int], float | None, bool]:
     means = state.agg(F.avg("rho"), F.avg("delta")).first()
     scored = state.withColumn("gamma", F.col("rho") * F.col("delta"))
     above = scored.where((F.col("rho") > means[0]) & (F.col("delta") > means[1]))
-    t = above.select("id", "gamma").limit(SEQUENTIAL_ROWS + 1).toPandas()
-    fallback = not len(t)
-    if fallback:
-        t = scored.orderBy(F.desc("gamma"), "id").limit(1).select("id", "gamma").toPandas()
-    t = t.sort_values(["gamma", "id"], ascending=[False, True])
-    if len(t) == 1:
-        return [int(t.id.iloc[0])], None, fallback
-    gaps = np.abs(np.diff(t.gamma.to_numpy()))
-    mean = float(gaps.sum() / len(t))
-    large = np.flatnonzero(gaps >= mean)
-    if not len(large):
-        return [int(t.id.iloc[0])], mean, True
-    return [int(i) for i in t.id.iloc[: large[-1] + 1]], mean, fallback
+    n, high, low = above.agg(F.count("*"), F.max("gamma"), F.min("gamma")).first()
+    fallback = not n
+    top = (scored if fallback else above).orderBy(F.desc("gamma"), "id").limit(1).select("id").first()["id"]
+    if n < 2:
+        return [int(top)], None, fallback
+    mean = (high - low) / n  # gaps add up to that
+    placed = materialize(with_position(above.select("id", "gamma"), F.desc("gamma"), "id"), "peak-gammas")
+    following = placed.select((F.col("pos") - 1).alias("pos"), F.col("gamma").alias("next"))
+    last = placed.join(following, "pos").where(F.col("gamma") - F.col("next") >= mean).agg(F.max("pos")).first()[0]
+    if last is None:
+        return [int(top)], mean, True
+    found = placed.where(F.col("pos") <= last).toArrow().sort_by("pos")
+    return found["id"].to_pylist(), mean, fallback
 
 
 def follow_parents(parents: DataFrame, name: str = "root") -> DataFrame:

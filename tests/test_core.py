@@ -285,6 +285,20 @@ def test_dispatch_errors(spark):
         comparators.dispatch("other", p, "low_dim")
 
 
+def test_peak_centers_beyond_the_sequential_bound(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    gamma = np.concatenate([np.full(2000, 0.01), 100 + rng.random(300), [400, 500, 500, 900]])
+    state = spark.createDataFrame([(i, float(g), 1.0 + float(g > 1)) for i, g in enumerate(gamma)], "id long, rho double, delta double").repartition(5)
+    above = sorted(((-2 * g, i) for i, g in enumerate(gamma) if g > gamma.mean() and g > 1))
+    gaps = np.diff([-g for g, _ in above])
+    mean = -gaps.sum() / len(above)
+    last = np.flatnonzero(-gaps >= mean)[-1]
+    expected = [i for _, i in above[: last + 1]]
+    monkeypatch.setattr(comparators, "SEQUENTIAL_ROWS", 2)
+    centers, gap, fallback = comparators.peak_centers(state)
+    assert centers == expected and len(expected) == 4 and abs(gap - mean) < 1e-9 and not fallback
+
+
 def test_density_peaks(spark):
     rho = {r["id"]: r["rho"] for r in comparators.peak_density(frame(spark, [[0.0], [1.0], [3.0], [10.0]])).collect()}
     assert max(rho.values()) == 1
