@@ -285,6 +285,16 @@ def test_dispatch_errors(spark):
         comparators.dispatch("other", p, "low_dim")
 
 
+def test_approximate_graph_finds_neighbours_in_a_dense_clump(spark):
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(size=(1200, 6)) * 3, rng.normal(size=(600, 6)) * 0.001])
+    p = frame(spark, x)
+    config = knn.LSHConfig(bucket=64, max_bucket=128)
+    clump = p.where("id >= 1200").select("id")
+    approx, exact = (knn.build_knn_graph(p, k=8, backend=b, config=config).join(clump, "id", "left_semi") for b in ("lsh", "block"))
+    assert knn.recall(approx, exact, 8) > 0.99
+
+
 def test_peak_centers_beyond_the_sequential_bound(spark, monkeypatch):
     rng = np.random.default_rng(7)
     gamma = np.concatenate([np.full(2000, 0.01), 100 + rng.random(300), [400, 500, 500, 900]])
