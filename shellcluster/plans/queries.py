@@ -135,6 +135,14 @@ def connected(spark, sf):
     return components.connected_components(nodes, edges)
 
 
+def connected_orders(spark, sf):
+    """Components of customers and all their orders; without SQL, as `connected` keeps its own over a part."""
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    edges = o.select((F.col("o_custkey") * 2).cast("long").alias("src"), (F.col("o_orderkey") * 2 + 1).cast("long").alias("dst"))
+    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    return components.connected_components(nodes, edges)
+
+
 def strata_rows(spark, sf):
     """Embeddings as rows of strata by their label, ordered by their fourth distance."""
     graph = graph_of(spark, sf)
@@ -227,6 +235,13 @@ def follow_parents(spark, sf):
     return comparators.follow_parents(parents)
 
 
+def follow_all_parents(spark, sf):
+    """Chains of all customers, 1 to 9 as their own roots; without SQL, as `follow_parents` keeps its own over a part."""
+    c = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").cast("long").alias("id"))
+    own = (F.col("id") % 10 == 0) | (F.col("id") < 10)
+    return comparators.follow_parents(c.select("id", F.when(own, F.col("id")).otherwise(F.col("id") - 1).alias("parent")))
+
+
 def symmetric_edges(spark, sf):
     return comparators.symmetric_edges(graph_of(spark, sf), 4).select("a", "b")
 
@@ -289,8 +304,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         knn_edges, knn_lists_sorted, knn_distance, knn_grid, knn_gather, shared_neighbours, range_degree, dbscan, knn_dbscan, snn_dbscan, log_distances, signatures, shells,
-        intrinsic_dimension, boundary_terms, robust_scale, label_codes, global_positions, connected, stratum_events, threshold_sweep, fixed_quantile, component_statistics, borders,
-        clustering_metrics, contingency, pair_scores, target_summary, cluster_burden, adjusted_rand, evaluation, mutual_information, peak_density, peak_parents, follow_parents,
+        intrinsic_dimension, boundary_terms, robust_scale, label_codes, global_positions, connected, connected_orders, stratum_events, threshold_sweep, fixed_quantile, component_statistics, borders,
+        clustering_metrics, contingency, pair_scores, target_summary, cluster_burden, adjusted_rand, evaluation, mutual_information, peak_density, peak_parents, follow_parents, follow_all_parents,
         symmetric_edges, unit_vectors, signal_log_odds, topology_evidence, job_expansion, estimator_labels, stratification, background_scan, density_peaks, synthetic_family, comparison,
     )
 } | {f"method_{m}": _method(m) for m in ("hdbscan", "optics", "vdbscan_2007", "amd_dbscan", "knn_leiden", "xshift")}

@@ -295,6 +295,27 @@ def test_approximate_graph_finds_neighbours_in_a_dense_clump(spark):
     assert knn.recall(approx, exact, 8) > 0.99
 
 
+def test_queries_over_all_orders_and_customers(spark):
+    import __spark_entry__ as e
+
+    sf = "/root/testdata/sf0.001"
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey", "o_orderkey").collect()
+    root = {}
+
+    def find(v):
+        while root.setdefault(v, v) != v:
+            v = root[v]
+        return v
+
+    for c, o in orders:
+        a, b = find(c * 2), find(o * 2 + 1)
+        root[max(a, b)] = min(a, b)
+    assert {r["id"]: r["component"] for r in e.queries()["connected_orders"](spark, sf).collect()} == {v: find(v) for v in list(root)}
+    ids = [r[0] for r in spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey").collect()]
+    got = e.queries()["follow_all_parents"](spark, sf).collect()
+    assert {r["id"]: r["root"] for r in got} == {i: i if i < 10 else i // 10 * 10 for i in ids} and len(got) == len(ids)
+
+
 def test_peak_centers_beyond_the_sequential_bound(spark, monkeypatch):
     rng = np.random.default_rng(7)
     gamma = np.concatenate([np.full(2000, 0.01), 100 + rng.random(300), [400, 500, 500, 900]])
