@@ -209,8 +209,9 @@ def savitzky_golay(y: np.ndarray, window: int, order: int) -> np.ndarray:
     return out
 
 
-def prominent_peaks(y: np.ndarray, prominence: float, distance: int) -> np.ndarray:
-    """Local maxima (middles of flat ones) at least `distance` apart, higher ones first, of at least this prominence."""
+def prominent_peaks(y: np.ndarray, prominence: float, distance: int, place: np.ndarray | None = None) -> np.ndarray:
+    """Local maxima (middles of flat ones) at least `distance` apart, higher ones first, of at least this prominence. place: where the values stand, if only turns are given."""
+    place = np.arange(len(y)) if place is None else place
     peaks, i = [], 1
     while i < len(y) - 1:
         if y[i - 1] < y[i]:
@@ -225,7 +226,7 @@ def prominent_peaks(y: np.ndarray, prominence: float, distance: int) -> np.ndarr
     peaks = np.array(peaks, int)
     for k in np.argsort(y[peaks], kind="stable")[::-1] if len(peaks) else []:
         if kept[k]:
-            near = np.abs(peaks - peaks[k]) < distance
+            near = np.abs(place[peaks] - place[peaks[k]]) < distance
             near[k] = False
             kept &= ~near
     out = []
@@ -240,5 +241,5 @@ def prominent_peaks(y: np.ndarray, prominence: float, distance: int) -> np.ndarr
             low_right = min(low_right, y[right])
             right += 1
         if y[p] - max(low_left, low_right) >= prominence:
-            out.append(int(p))
+            out.append(int(place[p]))
     return np.array(out, int)

@@ -48,12 +48,81 @@ def _quantile(d: DataFrame, q: float) -> float:
     return float(d.select(F.percentile("d", q)).first()[0])
 
 
-def _sorted_values(d: DataFrame) -> np.ndarray:
-    """Ascending distances for a curve's knee: all up to SEQUENTIAL_ROWS, beyond that evenly spaced quantiles."""
-    n = d.count()
-    if n <= SEQUENTIAL_ROWS:
-        return np.sort(d.toArrow()["d"].to_numpy())
-    return np.array(d.select(F.percentile_approx("d", [i / 4096 for i in range(4097)], 100_000)).first()[0])
+def _placed_values(d: DataFrame) -> tuple[DataFrame, int]:
+    """d with its place in ascending order, and the number of rows."""
+    placed = materialize(with_position(d.select("id", "d"), "d", "id").select("pos", "d"), "curve")
+    return placed, placed.count()
+
+
+def _values_at(placed: DataFrame, at: list[int]) -> list[float]:
+    found = {r["pos"]: r["d"] for r in placed.where(F.col("pos").isin(at)).collect()}
+    return [found[i] for i in at]
+
+
+def _curve_knee(d: DataFrame) -> float:
+    """special.polynomial_knee of all rows; beyond SEQUENTIAL_ROWS the fit's sums are made where the rows are."""
+    if d.count() <= SEQUENTIAL_ROWS:
+        return special.polynomial_knee(d.toArrow()["d"].to_numpy())
+    return _placed_knee(*_placed_values(d))
+
+
+def _placed_knee(placed: DataFrame, n: int, degree: int = 7) -> float:
+    ship(placed.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((degree + 1, degree + 2))
+        for batch in batches:
+            basis = np.polynomial.chebyshev.chebvander(2 * batch.column(0).to_numpy() / (n - 1) - 1, degree)
+            total += basis.T @ np.column_stack([basis, batch.column(1).to_numpy()])
+        yield pa.RecordBatch.from_arrays([pa.array([total.reshape(-1).tolist()], pa.list_(pa.float64()))], names=["sums"])
+
+    sums = np.sum([r["sums"] for r in placed.mapInArrow(run, "sums array<double>").collect()], axis=0).reshape(degree + 1, degree + 2)
+    fit = np.linalg.solve(sums[:, :-1], sums[:, -1])
+    value = lambda i: np.polynomial.chebyshev.chebval(2 * i / (n - 1) - 1, fit)
+    first, last = value(0), value(n - 1)
+    best, at = -np.inf, 0
+    for a in range(0, n, 1 << 20):
+        i = np.arange(a, min(n, a + (1 << 20)))
+        below = first + i / (n - 1) * (last - first) - value(i)
+        if below.max() > best:
+            best, at = below.max(), int(i[below.argmax()])
+    return _values_at(placed, [at])[0]
+
+
+def _placed_extrema(placed: DataFrame, n: int, window: int, part: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """Places where the slope of the smoothed curve turns or stays level, and both ends, ascending; the slope there."""
+    ship(placed.sparkSession)
+    half = window // 2
+    reach = window + 3
+    parts = max(1, n // part)
+    own = F.least(F.floor(F.col("pos") / part), F.lit(parts - 1)).cast("long")
+    # a part is sent its neighbours' rows within reach too
+    near = F.array_distinct(F.array(*[F.greatest(F.lit(0), F.least(F.lit(parts - 1), F.floor((F.col("pos") + s) / part))).cast("long") for s in (-reach, 0, reach)], own))
+
+    def turn(key: tuple, table: pa.Table) -> pa.Table:
+        k = key[0].as_py()
+        table = table.sort_by("pos")
+        pos, y = table["pos"].to_numpy(), table["d"].to_numpy()
+        slope = np.gradient(special.savitzky_golay(y, window, min(3, window - 2)))
+        low, high = k * part, n if k == parts - 1 else (k + 1) * part
+        # flat stretches keep all their places
+        mid = (slope[1:-1] - slope[:-2]) * (slope[2:] - slope[1:-1]) <= 0
+        keep = np.concatenate([[True], mid, [True]]) & (pos >= low) & (pos < high)
+        keep[0] &= pos[0] == 0
+        keep[-1] &= pos[-1] == n - 1
+        return pa.table({"pos": pos[keep], "slope": slope[keep]})
+
+    found = placed.withColumn("part", F.explode(near)).groupBy("part").applyInArrow(turn, "pos long, slope double").toArrow().sort_by("pos")
+    return found["pos"].to_numpy(), found["slope"].to_numpy()
+
+
+def _distributed_vdbscan_eps(placed: DataFrame, n: int, max_values: int, prominence: float) -> list[float]:
+    """vdbscan_eps of all rows; the driver takes the turns of the slope only."""
+    place, slope = _placed_extrema(placed, n, _window(n))
+    scaled = (slope - slope.min()) / max(slope.max() - slope.min(), 1e-12)
+    at = special.prominent_peaks(scaled, prominence, max(4, n // 100), place)
+    values = _values_at(placed, [int(i) for i in at])
+    return _thinned({*values, _placed_knee(placed, n)}, max_values)
 
 
 def finish(points: DataFrame, cores: DataFrame, borders: DataFrame | None) -> DataFrame:
@@ -126,7 +195,7 @@ def dbscan(points: DataFrame, eps: float, min_samples: int = 5) -> DataFrame:
 def run_dbscan(points: DataFrame, profile: str) -> Clustering:
     d = _rank_distances(points, 4)
     if profile == "low_dim":
-        base = special.polynomial_knee(_sorted_values(d))
+        base = _curve_knee(d)
         return Clustering(dbscan(points, 0.7 * base), {"min_samples": 5, "eps_multiplier": 0.7, "base_eps": base, "eps": 0.7 * base})
     eps = _quantile(d, 0.05)
     return Clustering(dbscan(points, eps), {"min_samples": 5, "eps_quantile": 0.05, "eps": eps})
@@ -154,14 +223,22 @@ def vdbscan_eps(values: np.ndarray, max_values: int, prominence: float) -> list[
     n = len(y)
     if n < 16:
         return [float(np.quantile(y, 0.9))]
-    window = max(9, min(n // 2 * 2 - 1, 501))
-    window = window if window < n else n - 1
-    window -= window % 2 == 0
+    window = _window(n)
     slope = np.gradient(special.savitzky_golay(y, window, min(3, window - 2)))
     scaled = (slope - slope.min()) / max(slope.max() - slope.min(), 1e-12)
     at = special.prominent_peaks(scaled, prominence, max(4, n // 100)).tolist()
     at.append(int(np.searchsorted(y, special.polynomial_knee(y))))
-    out = sorted({float(y[min(n - 1, max(0, i))]) for i in at})
+    return _thinned({float(y[min(n - 1, max(0, i))]) for i in at}, max_values)
+
+
+def _window(n: int) -> int:
+    window = max(9, min(n // 2 * 2 - 1, 501))
+    window = window if window < n else n - 1
+    return window - (window % 2 == 0)
+
+
+def _thinned(values: set[float], max_values: int) -> list[float]:
+    out = sorted(values)
     if len(out) > max_values:
         out = [out[i] for i in np.unique(np.linspace(0, len(out) - 1, max_values).round().astype(int))]
     return out
@@ -169,7 +246,11 @@ def vdbscan_eps(values: np.ndarray, max_values: int, prominence: float) -> list[
 
 def run_vdbscan(points: DataFrame, profile: str) -> Clustering:
     most, prominence = (3, 0.03) if profile == "low_dim" else (7, 0.08)
-    eps = vdbscan_eps(_sorted_values(_rank_distances(points, 4)), most, prominence)
+    d = _rank_distances(points, 4)
+    if d.count() <= SEQUENTIAL_ROWS:
+        eps = vdbscan_eps(d.toArrow()["d"].to_numpy(), most, prominence)
+    else:
+        eps = _distributed_vdbscan_eps(*_placed_values(d), most, prominence)
     return Clustering(sequential_dbscan(points, eps), {"min_samples": 5, "max_eps_values": most, "knee_prominence": prominence, "eps_values": eps})
 
 

@@ -316,6 +316,30 @@ def test_queries_over_all_orders_and_customers(spark):
     assert {r["id"]: r["root"] for r in got} == {i: i if i < 10 else i // 10 * 10 for i in ids} and len(got) == len(ids)
 
 
+def test_curve_is_whole_at_every_size(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    y = np.concatenate([rng.gamma(9, 0.02 * s, m) for s, m in ((1, 90_000), (8, 2_000), (30, 60_000), (80, 700), (200, 30_000))])
+    d = spark.createDataFrame([(i, float(v)) for i, v in enumerate(y)], "id long, d double").repartition(4)
+    for most, prominence in ((3, 0.03), (7, 0.08), (50, 0.001)):
+        found = comparators._distributed_vdbscan_eps(*comparators._placed_values(d), most, prominence)
+        assert np.allclose(found, comparators.vdbscan_eps(y, most, prominence), rtol=1e-9)
+    monkeypatch.setattr(comparators, "SEQUENTIAL_ROWS", 1000)
+    assert abs(comparators._curve_knee(d) - comparators.special.polynomial_knee(y)) < 1e-9
+
+
+def test_vdbscan_radii_do_not_depend_on_the_bound(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    y = np.concatenate([rng.gamma(9, 0.02 * s, m) for s, m in ((1, 20_000), (8, 600), (30, 15_000), (80, 300), (200, 5_000))])
+    d = spark.createDataFrame([(i, float(v)) for i, v in enumerate(y)], "id long, d double")
+    monkeypatch.setattr(comparators, "SEQUENTIAL_ROWS", 1000)
+    monkeypatch.setattr(comparators, "_rank_distances", lambda points, rank: d)
+    monkeypatch.setattr(comparators, "sequential_dbscan", lambda points, eps: None)
+    for profile, most, prominence in (("low_dim", 3, 0.03), ("high_dim", 7, 0.08)):
+        found = comparators.run_vdbscan(None, profile).parameters["eps_values"]
+        expected = comparators.vdbscan_eps(y, most, prominence)
+        assert len(found) == len(expected) and np.allclose(found, expected)
+
+
 def test_peak_centers_beyond_the_sequential_bound(spark, monkeypatch):
     rng = np.random.default_rng(7)
     gamma = np.concatenate([np.full(2000, 0.01), 100 + rng.random(300), [400, 500, 500, 900]])
