@@ -382,7 +382,8 @@ def _grow_in_spark(wide: DataFrame) -> DataFrame:
                 break
             state = new
         labels = materialize(labels.unionByName(fresh).unionByName(state.select("id", "label")), "grow-labels")
-        following = (labels.agg(F.max("label")).first()[0] or -1) + 1
+        last = labels.agg(F.max("label")).first()[0]
+        following = 0 if last is None else last + 1
     return labels
 
 

@@ -220,6 +220,30 @@ def test_growth_fixture(spark):
         assert groups == expected
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_growth_paths_agree_on_random_graphs(spark, seed):
+    rng = np.random.default_rng(seed)
+    n, k = 24, 2
+    place = np.sort(rng.uniform(0, 8, n))  # a line with gaps, so strata touch in some places only
+    far = np.abs(place[:, None] - place[None, :])
+    np.fill_diagonal(far, np.inf)
+    near = np.argsort(far, axis=1, kind="stable")[:, :k]
+    graph = spark.createDataFrame([(i, [int(j) for j in near[i]], [float(far[i, j]) for j in near[i]]) for i in range(n)], "id long, nbr array<long>, dist array<float>")
+    core = spark.createDataFrame([(i, int(rng.integers(0, 3)), float(rng.uniform(0.1, 0.7))) for i in range(n) if i % 9], "id long, group int, radius double")
+    wide = core.join(graph, "id").select("id", "group", "radius", "nbr", "dist")
+    local, spread = ({r["id"]: r["label"] for r in grow(wide).collect()} for grow in (extract._grow_local, extract._grow_in_spark))
+    assert local == spread and len(set(local.values())) > 3
+
+
+def test_growth_of_separate_strata(spark):
+    # one cluster in each stratum, without contact
+    graph = spark.createDataFrame([(0, [1], [0.1]), (1, [0], [0.1]), (2, [3], [1.0]), (3, [2], [1.0])], "id long, nbr array<long>, dist array<float>")
+    core = spark.createDataFrame([(0, 0, 1.0), (1, 0, 1.0), (2, 1, 2.0), (3, 1, 2.0)], "id long, group int, radius double")
+    wide = core.join(graph, "id").select("id", "group", "radius", "nbr", "dist")
+    for grow in (extract._grow_local, extract._grow_in_spark):
+        assert {r["id"]: r["label"] for r in grow(wide).collect()} == {0: 0, 1: 0, 2: 1, 3: 1}
+
+
 def test_scan_paths_agree(spark, monkeypatch):
     x = np.vstack([np.random.default_rng(1).normal(0, 0.01, (12, 2)), np.random.default_rng(2).uniform(-6, 6, (160, 2))])
     graph = knn.build_knn_graph(frame(spark, x), k=16)
