@@ -2,11 +2,13 @@
 
 An item within k edits of a passage has at least one of k + 1 pieces unchanged there. All pieces go
 into one Aho-Corasick automaton; where a piece is found, Myers' bit-parallel distance decides on the
-passage around it. Texts and items are compared in lower case with white space collapsed.
+passage around it. Texts and items are compared in lower case with white space collapsed. An item too
+short for any edit must stand between word boundaries.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -15,12 +17,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import ship
+from ..runtime import materialize, ship
 
 #: Edits allowed for each character of an item.
 ERROR_RATE = 0.05
-#: Items shorter than this are no evidence and aren't searched.
-MIN_CHARS = 24
 #: Characters of items that go into one automaton, and so into one broadcast; more items take more passes.
 SHARD_CHARS = 1_000_000
 
@@ -70,10 +70,16 @@ class Pattern:
         return found, at
 
 
+def stands_alone(text: str, start: int, end: int) -> bool:
+    """Whether text[start:end] neither begins nor ends inside a word."""
+    before = start == 0 or not (text[start - 1].isalnum() and text[start].isalnum())
+    return before and (end == len(text) or not (text[end].isalnum() and text[end - 1].isalnum()))
+
+
 class Matcher:
     """Finds items of one shard in texts. items: (id, normalised text)."""
 
-    def __init__(self, items: Iterable[tuple[int, str]], rate: float):
+    def __init__(self, items: Iterable[tuple[object, str]], rate: float):
         import ahocorasick
 
         self.items = list(items)
@@ -90,8 +96,8 @@ class Matcher:
         self.patterns: dict[int, tuple[Pattern, Pattern]] = {}
         self.empty = not where
 
-    def find(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item id, distance, start, end) of the best match of each item that is within its budget."""
+    def find(self, text: str) -> list[tuple[object, int, int, int]]:
+        """(item id, distance, start, end) of the best match of each item that is within its budget, in the order of items."""
         if self.empty:
             return []
         spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -99,10 +105,15 @@ class Matcher:
             for i, offset in found:
                 k, m = self.budget[i], len(self.items[i][1])
                 start = end + 1 - n - offset
+                if not k and not stands_alone(text, start, start + m):
+                    continue
                 spans[i].append((max(0, start - k), min(len(text), start + m + k)))
         out = []
-        for i, windows in spans.items():
+        for i, windows in sorted(spans.items()):
             ident, item = self.items[i]
+            if not self.budget[i]:
+                out.append((ident, 0, *min(windows)))
+                continue
             if (at := text.find(item)) >= 0:
                 out.append((ident, 0, at, at + len(item)))
                 continue
@@ -119,46 +130,54 @@ class Matcher:
                 end = best[2] + best[1]
                 low = max(0, end - len(item) - self.budget[i])
                 out.append((ident, best[0], end - backward.best(text[low:end][::-1])[1], end))
-        return sorted(out)
+        return out
+
 
+#: What a worker keeps: the matcher of the shard it has had last, by the shard's own name.
+_matchers: dict[tuple[str, float], Matcher] = {}
 
-_matchers: dict[object, Matcher] = {}
 
+def _id_type(benchmark: DataFrame, item_id: str) -> str:
+    return "long" if benchmark.schema[item_id].dataType.typeName() in ("byte", "short", "integer", "long") else "string"
 
-def _shards(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int, str]]]:
-    """Normalised items, SHARD_CHARS at a time; the driver holds one shard."""
+
+def _shards(benchmark: DataFrame, item_id: str, text: str) -> Iterator[tuple[str, list[tuple[object, str]]]]:
+    """A name and normalised items, SHARD_CHARS at a time; the driver holds one shard. At least one comes, maybe empty."""
     shard, size = [], 0
-    for row in benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct().orderBy("i", "t").toLocalIterator():
+    items = benchmark.select(F.col(item_id).cast(_id_type(benchmark, item_id)).alias("i"), F.col(text).alias("t"))
+    for row in items.where("t IS NOT NULL").distinct().orderBy("i", "t").toLocalIterator():
         item = normalize(row["t"])
-        if len(item) < MIN_CHARS:
+        if not item:
             continue
         if shard and size + len(item) > SHARD_CHARS:
-            yield shard
+            yield uuid.uuid4().hex, shard
             shard, size = [], 0
         shard.append((row["i"], item))
         size += len(item)
-    yield shard
+    yield uuid.uuid4().hex, shard
 
 
 def _matcher(shared, rate: float) -> Matcher:
-    key = (shared.id, rate) if hasattr(shared, "id") else id(shared)
-    if key not in _matchers:
+    name, items = shared.value
+    if (name, rate) not in _matchers:
         _matchers.clear()
-        _matchers[key] = Matcher(shared.value, rate)
-    return _matchers[key]
+        _matchers[name, rate] = Matcher(items, rate)
+    return _matchers[name, rate]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = ERROR_RATE) -> DataFrame:
     """doc_id, item_id, distance, start, end: a row for each document and item it holds within the item's edit budget.
 
     start and end: characters of the normalised text; of several passages the nearest, then the first.
-    Null and blank texts and items match nothing, nor do items under MIN_CHARS or without id. Repeated
-    rows of docs are searched each for itself; items of one id are searched each. Empty tables: no rows.
+    item_id is a long where the benchmark's ids are integers, else a string. Null and blank texts and
+    items match nothing. Repeated rows of docs are searched each for itself; items of one id, or with a
+    null one, are searched each. Empty tables: no rows.
     """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL")
-    schema = "doc_id long, item_id long, distance int, start int, end int"
+    schema = f"doc_id long, item_id {_id_type(benchmark, item_id)}, distance int, start int, end int"
+    kinds = (pa.int64(), pa.int64() if "item_id long" in schema else pa.string(), pa.int32(), pa.int32(), pa.int32())
     found = None
     for items in _shards(benchmark, item_id, item_text):
         shared = spark.sparkContext.broadcast(items)
@@ -170,7 +189,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
                 for i, t in enumerate(batch.column(1)):
                     out += [(ids[i].as_py(), *m) for m in matcher.find(normalize(t.as_py()))]
                 if out:
-                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "item_id", "distance", "start", "end"])
 
         part = rows.mapInArrow(run, schema)
@@ -179,11 +197,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = ERROR_RATE) -> DataFrame:
-    """docs without the rows that hold an item. All columns stay; nothing is shuffled. Null texts stay."""
+    """docs without the rows that hold an item. All columns stay; nothing is shuffled. Null texts stay.
+
+    Each shard of items is a pass over what the one before left; between passes that is written down, so
+    a task holds one automaton however many items there are.
+    """
     spark = docs.sparkSession
     ship(spark)
     place = docs.columns.index(text)
-    for items in _shards(benchmark, item_id, item_text):
+    for number, items in enumerate(_shards(benchmark, item_id, item_text)):
+        if number:
+            docs = materialize(docs, "decontaminated")
         shared = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -294,7 +294,9 @@ def test_bit_parallel_distance():
         assert pigeonhole.Pattern(item).best(text)[0] == edit_search(item, text)
 
 
-def test_matches_against_brute_force(spark):
+@pytest.mark.parametrize("chars", [1_000_000, 500, 20])  # 1, 2 or 3, and as many shards as items
+def test_matches_against_brute_force(spark, monkeypatch, chars):
+    monkeypatch.setattr(pigeonhole, "SHARD_CHARS", chars)
     rng = np.random.default_rng(8)
     letters = list("abcdefgh ")
     items = ["".join(rng.choice(letters, int(rng.integers(40, 120)))) for _ in range(12)]
@@ -308,7 +310,10 @@ def test_matches_against_brute_force(spark):
 
     texts = ["".join(rng.choice(letters, 200)) + damage(items[i % 12], i % 8) + "".join(rng.choice(letters, 150)) for i in range(60)] + [None, "", items[0].upper(), "  ".join(items[1].split(" "))]
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    bench = spark.createDataFrame([*enumerate(items), (50, None), (51, ""), (None, items[0]), (52, "tiny")], "item_id long, text string")
+    short = "tiny wit"
+    texts += [f"a {short}.", f"a{short}", f"x {short}s", short.upper(), "tiny, wit"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([*enumerate(items), (50, None), (51, ""), (None, items[0]), (52, short)], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r["distance"] for r in pigeonhole.matches(table, bench).collect()}
     expected = {}
     for d, t in enumerate(texts):
@@ -317,11 +322,22 @@ def test_matches_against_brute_force(spark):
             n = edit_search(item, pigeonhole.normalize(t or "")) if t else 999
             if n <= int(len(item) * pigeonhole.ERROR_RATE):
                 expected[d, i] = n
+                if i == 0:
+                    expected[d, None] = n
+    # an item too short for an edit counts between word boundaries only
+    expected |= {(64, 52): 0, (67, 52): 0}
     assert got == expected
     left = {r["doc_id"] for r in pigeonhole.decontaminate(table.withColumn("item_id", F.lit("clash")), bench).collect()}
     assert left == set(range(len(texts))) - {d for d, _ in expected}
 
 
+def test_matches_of_named_items(spark, docs):
+    bench = spark.createDataFrame([("q/1", "some passage that no document holds at all"), ("q/2", "tiny wit")], "name string, body string")
+    table = spark.createDataFrame([(1, "Tiny  wit", "x"), (2, "some passage that no dokument holds at all", "y"), (None, "tiny wit", "z")], "doc_id long, text string, item_id string")
+    got = {(r["doc_id"], r["item_id"], r["distance"]) for r in pigeonhole.matches(table, bench, item_id="name", item_text="body").collect()}
+    assert got == {(1, "q/2", 0), (None, "q/2", 0), (2, "q/1", 1)}
+
+
 def test_matches_of_nothing(spark, docs, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert pigeonhole.matches(docs, none).count() == 0
