@@ -17,10 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialize, ship
+from ..runtime import map_in_arrow, materialize, release, ship
 from .common import Words, grams, mix, text_slices
 
 COORDINATES = 64
@@ -32,8 +32,13 @@ MAX_DEPTH = 7
 SMALL = 40
 #: A bucket that keeps this part of the one above it is dense.
 KEEPS = 0.6
-#: Smallest block of a dense group that one task compares with another.
-BLOCK = 256
+#: Classes of a block of a dense group; a task compares two blocks.
+BLOCK = 1024
+#: Columns of the matrix of sets that a comparison multiplies at a time.
+VOCABULARY = 2048
+#: Rows of one key that make it a hot one, which is joined by broadcast.
+HOT_ROWS = 1000
+PARTS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
 #: Rows of a few numbers that are broadcast at most.
 BROADCAST_ROWS = 1_000_000
 #: Bytes kept of a shingle's hash in stored sets.
@@ -127,7 +132,7 @@ def _sketch(docs: DataFrame, n: int) -> DataFrame:
                     names=["doc_id", "class", "size", "shingles", "signature"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, class long, size int, shingles binary, signature binary")
+    return map_in_arrow(docs, run, "doc_id long, class long, size int, shingles binary, signature binary")
 
 
 def _rows(column: pa.Array) -> np.ndarray:
@@ -143,7 +148,7 @@ def _paths(classes: DataFrame, runs: int) -> DataFrame:
                 [pa.array(np.repeat(batch.column(0).to_numpy(), k)), pa.array(np.repeat(batch.column(2).to_numpy(), k)), pa.array(paths.reshape(-1).view(np.int64))], names=["class", "size", "path"]
             )
 
-    return classes.select("class", "signature", "size").mapInArrow(run, "class long, size int, path long")
+    return map_in_arrow(classes.select("class", "signature", "size"), run, "class long, size int, path long")
 
 
 def _split(large: DataFrame) -> DataFrame:
@@ -158,7 +163,7 @@ def _split(large: DataFrame) -> DataFrame:
                 names=["class", "size", "path", "above"],
             )
 
-    return large.select("class", "size", "path", "signature").mapInArrow(run, "class long, size int, path long, above long")
+    return map_in_arrow(large.select("class", "size", "path", "signature"), run, "class long, size int, path long, above long")
 
 
 def _pairs_in_small(buckets: DataFrame, threshold: float) -> DataFrame:
@@ -183,7 +188,7 @@ def _pairs_in_small(buckets: DataFrame, threshold: float) -> DataFrame:
             last = max(0, len(path) - SMALL)
             rest = [x[last:] for x in cols]
 
-    return buckets.select("path", "class", "size", "group").mapInArrow(run, "a long, b long")
+    return map_in_arrow(buckets.select("path", "class", "size", "group"), run, "a long, b long")
 
 
 def _verify(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -199,7 +204,7 @@ def _verify(pairs: DataFrame, threshold: float) -> DataFrame:
                 keep[i] = similar(shared, len(x), len(y), threshold)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    return map_in_arrow(pairs.select("a", "b", "set_a", "set_b"), run, "a long, b long")
 
 
 def similar(shared, x, y, threshold: float):
@@ -212,54 +217,84 @@ def _set(raw: bytes) -> np.ndarray:
     return wide.view("<u8").reshape(-1)
 
 
-def _dense_links(members: DataFrame, threshold: float) -> DataFrame:
-    """members: group, n, class, shingles. A row (a, b, links) for each class and block it is compared with: links there, and the smallest linked class."""
-    width = F.greatest(F.lit(BLOCK), F.ceil(F.col("n") / 12)).cast("int")
-    placed = members.withColumn("blocks", F.ceil(F.col("n") / width).cast("int")).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keyed = spread.select("group", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "class", "shingles")
+def linked_parts(linked: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """Least node of the component of each of n nodes. left, right: node of each row and column of the matrix."""
+    label = np.arange(n, dtype=np.int32)
+    while True:
+        new = label.copy()
+        for matrix, mine, theirs in ((linked, left, right), (linked.T, right, left)):
+            some = np.flatnonzero(matrix.any(1))
+            if len(some):
+                np.minimum.at(new, mine[some], np.where(matrix[some], new[theirs][None, :], np.int32(n)).min(1))
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _compare(table: pa.Table, threshold: float) -> pa.Table:
+    """table: x, y, block, class, part, shingles; the rows of blocks x and y of a group. See _dense_links."""
+    x, block = table["x"][0].as_py(), table["block"].to_numpy()
+    own, part = table["class"].to_numpy(), table["part"].to_numpy()
+    if table["y"][0].as_py() == x:
+        left = right = np.arange(len(own))
+    else:
+        left, right = np.flatnonzero(block == x), np.flatnonzero(block != x)
+    if not len(left) or not len(right):
+        return PARTS.empty_table()
+    sets = [_set(s) for s in table["shingles"].to_pylist()]
+    lens = np.array([len(s) for s in sets])
+    value, code = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), lens)
+    # a shingle of one set is shared by none
+    again = np.flatnonzero(np.bincount(code, minlength=len(value))[code] > 1)
+    value, code = np.unique(code[again], return_inverse=True)
+    row = row[again]
+    by_code = np.argsort(code, kind="stable")
+    row, code = row[by_code], code[by_code]
+    shared = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, len(value), VOCABULARY):  # shared shingles, a slice of the vocabulary at a time
+        hit = slice(*np.searchsorted(code, [lo, lo + VOCABULARY]))
+        dense = np.zeros((len(sets), min(VOCABULARY, len(value) - lo)), np.float32)
+        dense[row[hit], code[hit] - lo] = 1
+        shared += dense[left] @ (dense if left is right else dense[right]).T
+    linked = similar(shared, lens[left][:, None], lens[right][None, :], threshold) & (own[left][:, None] != own[right][None, :])
+    links = np.zeros(len(own), np.int64)
+    links[left] += linked.sum(1)
+    if left is not right:
+        links[right] += linked.sum(0)
+    node, place = np.unique(part, return_inverse=True)
+    label = linked_parts(linked, place[left], place[right], len(node))
+    some, joined = np.flatnonzero(links), np.flatnonzero(label != np.arange(len(node)))
+    empty = np.zeros(len(joined), bool)
+    return pa.table([pa.array(np.concatenate([own[some], node[joined]])), pa.array(np.concatenate([own[some], node[label[joined]]])), pa.array(np.concatenate([links[some], empty]))], schema=PARTS)
+
+
+def _dense_links(members: DataFrame, threshold: float, edges: DataFrame | None) -> DataFrame:
+    """members: group, n, class, shingles. Rows (a, b, links): class a links to so many in one pair of blocks (a = b); parts a and b are connected (links 0).
+
+    A group is cut into blocks of BLOCK classes, and each pair of blocks is a task of its own. A part is what
+    the edges known already make of a class; so comparisons with a first block, by which most of a group is
+    joined, leave next to no edges to the rest. Without edges: that first round, in which parts are classes
+    and every block is compared with the first one; else all other pairs.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    placed = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    if edges is None:
+        placed = placed.withColumn("part", F.col("class"))
+        others = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0)))
+    else:
+        placed = placed.where("blocks > 1 AND block > 0").join(_small(edges.select(F.col("node").alias("class"), "label")), "class", "left").withColumn("part", F.coalesce("label", "class"))
+        others = F.sequence(F.lit(1), F.col("blocks") - 1)
+    spread = placed.withColumn("other", F.explode(others))
+    keyed = spread.select("group", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "class", "part", "shingles")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = list(batches)
-        if not batches:
-            return
-        table = pa.Table.from_batches(batches)
-        x, block = table["x"][0].as_py(), table["block"].to_numpy()
-        own = table["class"].to_numpy()
-        sets = [_set(s) for s in table["shingles"].to_pylist()]
-        if table["y"][0].as_py() == x:
-            left = right = np.arange(len(own))
-        else:
-            left, right = np.flatnonzero(block == x), np.flatnonzero(block != x)
-        if not len(left) or not len(right):
-            return
-        lens = np.array([len(s) for s in sets])
-        value, code = np.unique(np.concatenate(sets), return_inverse=True)
-        starts = np.concatenate([[0], np.cumsum(lens)])
-        shared = np.zeros((len(left), len(right)), np.float32)
-        for lo in range(0, len(value), 4096):  # shared shingles, a slice of the vocabulary at a time
-            hit = np.flatnonzero((code >= lo) & (code < lo + 4096))
-            dense = np.zeros((len(sets), min(4096, len(value) - lo)), np.float32)
-            dense[np.searchsorted(starts, hit, "right") - 1, code[hit] - lo] = 1
-            shared += dense[left] @ dense[right].T
-        linked = similar(shared, lens[left][:, None], lens[right][None, :], threshold) & (own[left][:, None] != own[right][None, :])
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for matrix, mine, theirs in ((linked, left, right), (linked.T, right, left))[: 1 if left is right else 2]:
-            n = matrix.sum(1)
-            some = np.flatnonzero(n)
-            best = np.where(matrix[some], own[theirs][None, :], np.iinfo(np.int64).max).min(1) if len(some) else np.empty(0, np.int64)
-            out.append((own[mine][some], best, n[some]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], names=["a", "b", "links"])
-
-    return keyed.groupBy("group", "x", "y").applyInArrow(_whole(run), "a long, b long, links long")
-
-
-def _whole(run):
-    def of(table: pa.Table) -> pa.Table:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
-        return pa.Table.from_batches(list(run(table.to_batches())), schema=schema)
-
-    return of
+    def run(table: pa.Table) -> pa.Table:
+        out = _compare(table, threshold)
+        release()
+        return out
+
+    return keyed.groupBy("group", "x", "y").applyInArrow(run, "a long, b long, links long")
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -280,22 +315,21 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(membership, links, dense): the Jaccard self-join of texts on word n-grams.
 
-    membership: doc_id, class, group_class, n_links, n_copies: one row for each row of docs. class: hash
-    of the shingle set, null for texts without words, which link with nothing. Rows with equal sets are
-    one class; n_copies counts them. n_links: other classes with a similarity of threshold or more.
-    group_class: label of the connected component. links: (a, b) pairs of classes, a < b, each once,
-    but for those inside dense groups. dense: (a, b, links) there: for a class, how many classes link to
-    it in a block, and the least of them. Null texts count as empty; null ids and repeated ids are rows
+    membership: doc_id, class, group_class, class_id, n_links, n_copies: one row for each row of docs.
+    class: hash of the shingle set, null for texts without words, which link with nothing. Rows with equal
+    sets are one class; n_copies counts them. n_links: other classes with a similarity of threshold or
+    more. group_class: label of the connected component; class_id: its least doc_id. links: (a, b) pairs
+    of classes, a < b, each once, but for those inside dense groups. dense: (a, b, links) there: for a
+    class a, to how many it links in a pair of blocks; with 0 links, that a and b are in one component. Null texts count as empty; null ids and repeated ids are rows
     like others; an empty table gives empty results; other columns of docs are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
     sketch = materialize(_sketch(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")), n), "jaccard-sketch")
     known = sketch.where("class IS NOT NULL")
-    narrow = known.select("class", "doc_id")
-    counted = materialize(narrow.groupBy("class").agg(F.count("*").alias("n_copies")), "jaccard-classes")
-    # the one row of each class that stands for it: hash of equal sets, so any of them does
-    first = materialize(known.groupBy("class").agg(F.min_by(F.struct("signature", "size"), F.hash("doc_id")).alias("s")).select("class", "s.signature", "s.size"), "jaccard-signatures")
+    # any row of a class may stand for it: its set is the same
+    per_class = known.groupBy("class").agg(F.min_by(F.struct("signature", "size"), F.hash("doc_id")).alias("s"), F.count("*").alias("n_copies"), F.min("doc_id").alias("first_id"))
+    first = materialize(per_class.select("class", "s.signature", "s.size", "n_copies", "first_id"), "jaccard-classes")
     runs = runs_for(recall, threshold)
 
     small, dense = [], []
@@ -314,16 +348,17 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
         above = counts.select(F.col("path").alias("above"), F.col("n").alias("above_n"))
         level = _split(large).join(_small(above), "above").drop("above")
 
-    groups = _dense_groups(spark, dense)
+    grouped = _dense_groups(dense)
     sets = known.select("class", "shingles", "doc_id")
-    if groups is None:
-        grouped = None
-        dense_links = spark.createDataFrame([], "a long, b long, links long")
-    else:
-        grouped = groups
-        total = groups.groupBy("group").agg(F.count("*").alias("n"))
-        inside = _one_set(sets.join(_small(groups), "class")).join(groups, "class").join(total, "group")
-        dense_links = materialize(_dense_links(inside, threshold), "jaccard-dense")
+    dense_links = spark.createDataFrame([], "a long, b long, links long")
+    if grouped is not None:
+        total = grouped.groupBy("group").agg(F.count("*").alias("n"))
+        inside = _one_set(sets.join(_small(grouped), "class")).join(_small(grouped), "class").join(_small(materialize(total, "jaccard-totals")), "group")
+        inside = materialize(inside, "jaccard-dense-sets")
+        dense_links = materialize(_dense_links(inside, threshold, None), "jaccard-dense")
+        if inside.where(F.col("n") > BLOCK).limit(1).count():
+            joined = components(dense_links.where("links = 0"), "jaccard-dense")
+            dense_links = dense_links.unionByName(materialize(_dense_links(inside, threshold, joined), "jaccard-dense"))
     rows = small[0]
     for s in small[1:]:
         rows = rows.unionByName(s)
@@ -334,13 +369,29 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
     full = found.join(some.select(F.col("class").alias("a"), F.col("shingles").alias("set_a")), "a").join(some.select(F.col("class").alias("b"), F.col("shingles").alias("set_b")), "b")
     links = materialize(_verify(full, threshold), "jaccard-links")
 
-    edges = links.select("a", "b").union(dense_links.select("a", "b"))
-    labels = components(edges, "jaccard")
-    each = links.select(F.col("a").alias("class"), F.lit(1).cast("long").alias("links")).union(links.select(F.col("b"), F.lit(1).cast("long"))).union(dense_links.select("a", "links"))
+    labels = components(links.select("a", "b").union(dense_links.where("links = 0").select("a", "b")), "jaccard")
+    one = F.lit(1).cast("long").alias("links")
+    each = links.select(F.col("a").alias("class"), one).union(links.select("b", one)).union(dense_links.where("links > 0").select("a", "links"))
     degree = each.groupBy("class").agg(F.sum("links").alias("n_links"))
-    table = counted.join(degree, "class", "left").join(labels.select(F.col("node").alias("class"), "label"), "class", "left")
-    table = materialize(table.select("class", F.coalesce("label", "class").alias("group_class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies"), "jaccard-table")
-    return sketch.select("doc_id", "class").join(table, "class", "left"), links, dense_links
+    table = first.select("class", "n_copies", "first_id").join(degree, "class", "left").join(labels.select(F.col("node").alias("class"), "label"), "class", "left")
+    table = materialize(table.select("class", F.coalesce("label", "class").alias("group_class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies", "first_id"), "jaccard-table")
+    heads = table.groupBy("group_class").agg(F.min("first_id").alias("class_id"), F.count("*").alias("n"))
+    heads = materialize(heads.where("n > 1"), "jaccard-heads")
+    alone = F.coalesce("class_id", "first_id").alias("class_id")
+    table = materialize(_join_hot(table, heads, "group_class").select("class", "group_class", alone, "n_links", "n_copies"), "jaccard-table")
+    return _join_hot(sketch.select("doc_id", "class"), table.withColumn("n", F.col("n_copies")), "class"), links, dense_links
+
+
+def _join_hot(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """rows left-joined to values, which has each key once and in n how many rows it has here.
+
+    Keys of HOT_ROWS and more don't meet in one task: they are at most a HOT_ROWS-th of the rows, and are
+    broadcast if their number is below BROADCAST_ROWS.
+    """
+    given = [c for c in values.columns if c != "n"]
+    hot = _small(values.where(F.col("n") >= HOT_ROWS).select(*given))
+    rest = rows.join(hot.select(key), key, "left_anti").join(values.where(F.col("n") < HOT_ROWS).select(*given), key, "left")
+    return rest.unionByName(rows.join(hot, key))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -353,17 +404,21 @@ def _one_set(rows: DataFrame) -> DataFrame:
     return rows.groupBy("class").agg(F.min_by("shingles", F.hash("doc_id")).alias("shingles"))
 
 
-def _dense_groups(spark: SparkSession, dense: list[DataFrame]) -> DataFrame | None:
-    """class and group: dense buckets that share a class are one group."""
+def _dense_groups(dense: list[DataFrame]) -> DataFrame | None:
+    """class and group: dense buckets that share a class are one group. Buckets are joined, not their classes, of which there are many more."""
     rows = dense[0]
     for d in dense[1:]:
         rows = rows.unionByName(d)
     rows = materialize(rows, "jaccard-dense-rows")
     if not rows.limit(1).count():
         return None
-    least = rows.groupBy("path").agg(F.min("class").alias("b"))
-    labels = components(rows.join(least, "path").select(F.col("class").alias("a"), "b"), "jaccard-groups")
-    return materialize(labels.select(F.col("node").alias("class"), F.when(F.col("label") == 0, 1).otherwise(F.col("label")).alias("group")), "jaccard-groups")
+    # the buckets of a class are BRANCHES ** MAX_DEPTH a run at most
+    paths = materialize(rows.groupBy("class").agg(F.min("path").alias("root"), F.collect_set("path").alias("paths")), "jaccard-dense-paths")
+    edges = paths.select(F.col("root").alias("a"), F.explode("paths").alias("b")).where("a != b")
+    labels = components(edges, "jaccard-groups")
+    found = paths.select("class", "root").join(_small(labels.select(F.col("node").alias("root"), "label")), "root", "left")
+    group = F.coalesce("label", "root")
+    return materialize(found.select("class", F.when(group == 0, 1).otherwise(group).alias("group")), "jaccard-groups")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
@@ -372,9 +427,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Texts without words have their own id as class_id. See join for links, nulls and ties.
     """
     membership, _, _ = join(docs, doc_id, text, n, threshold, recall)
-    least = membership.where("group_class IS NOT NULL").groupBy("group_class").agg(F.min("doc_id").alias("class_id"))
-    out = membership.join(least, "group_class", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
+    return membership.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

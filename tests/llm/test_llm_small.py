@@ -400,6 +400,44 @@ def test_large_group_of_near_copies(spark):
     assert got == near(rows)
 
 
+def test_dense_groups_in_blocks(spark, monkeypatch):
+    """Chains in which each text is near the next alone, among near copies of one text: with many blocks no link or component is lost."""
+    monkeypatch.setattr(chosen_path, "BLOCK", 16)
+    monkeypatch.setattr(chosen_path, "SMALL", 2)
+    monkeypatch.setattr(chosen_path, "HOT_ROWS", 7)
+    rng = np.random.default_rng(10)
+    texts = []
+    for c in range(3):
+        long = [f"{c}w{i}" for i in range(1000)]
+        texts += [" ".join(long[i * 14 : i * 14 + 200]) for i in range(50)]
+    base = [f"b{i}" for i in range(120)]
+    for _ in range(60):
+        t = list(base)
+        for i in rng.integers(0, 120, int(rng.integers(0, 4))):
+            t[i] = f"x{rng.integers(0, 50)}"
+        texts.append(" ".join(t))
+    texts += texts[:1] * 9 + ["", None, "one", "one"]
+    order = rng.permutation(len(texts))
+    rows = [(None if i % 40 == 3 else int(order[i]), t) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame([(i, t, 7, "c") for i, t in rows], "doc_id long, text string, class int, n string")
+    got = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in chosen_path.near_duplicates(frame).collect())
+    assert got == near(rows)
+
+
+def test_parts_of_a_block():
+    rng = np.random.default_rng(11)
+    for _ in range(20):
+        n = int(rng.integers(2, 30))
+        full = np.triu(rng.random((n, n)) < 0.05, 1)
+        full |= full.T
+        label = chosen_path.linked_parts(full, np.arange(n), np.arange(n), n)
+        expected = np.arange(n)
+        for _ in range(n):
+            for i, j in zip(*np.nonzero(full), strict=True):
+                expected[[i, j]] = min(expected[i], expected[j])
+        assert (label == expected).all()
+
+
 def test_keep_one(docs):
     kept = chosen_path.keep_one(docs)
     ids = [r["doc_id"] for r in kept.collect()]
