@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import contextlib
 import contextvars
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of an Arrow batch where the session has Spark's default of 10,000: of long texts that many are too much for a worker.
+BATCH_ROWS = 2000
+
 _shipped: set[str] = set()
 _own_dirs: dict[str, str] = {}
 _scopes: dict[str, list[str]] = {}
@@ -21,6 +26,8 @@ _scope = contextvars.ContextVar("scope", default="")
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers once per application, so no node needs it installed."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if sc.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.abspath(__file__))
@@ -65,6 +72,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow; a worker gives memory back when its task ends, as it may next serve another operator."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(whole, schema)
+
+
+def release() -> None:
+    """Returns freed memory of this process to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 @contextlib.contextmanager
 def scope(spark: SparkSession, name: str) -> Iterator[None]:
     """Scratch tables made inside belong to name. Entering a scope deletes what an earlier one of that name left."""
