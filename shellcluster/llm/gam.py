@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import ship
+from ..runtime import map_in_arrow, ship
 from .common import Words, grams, text_slices
 from .rules import STOP_WORDS
 
@@ -213,11 +213,15 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, usable: Column, doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, label and text of at most `rows` labelled documents, by a hash of the id; usable: which ids may be learnt from."""
+    """doc_id, label and text of at most `rows` labelled documents, by a hash of the id; usable: which ids may be learnt from.
+
+    Of several rows of one id and label the least text counts, so a repeated id adds no rows.
+    """
     kept = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & usable)
     picked = kept.orderBy(F.xxhash64("__id"), "__id", "label").limit(rows)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).select("doc_id", "label", "text")
+    found = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("__id"))
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", rows: int = SAMPLE_ROWS) -> Model:
@@ -232,7 +236,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qual
                 x = features(data, offsets)
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(at, len(x)) for i in (0, 1)] + [pa.array(x.tolist(), pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
-    found = sample.mapInArrow(run, "doc_id long, label int, x array<double>").toPandas().sort_values(["doc_id", "label"], kind="stable")
+    found = map_in_arrow(sample, run, "doc_id long, label int, x array<double>").toPandas().sort_values(["doc_id", "label"], kind="stable")
     return fit(np.array(found["x"].tolist()).reshape(-1, len(FEATURES)), found["label"].to_numpy(float))
 
 
@@ -252,4 +256,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
 
     from pyspark.sql import types as T
 
-    return given.mapInArrow(run, T.StructType([*given.schema.fields, T.StructField(name, T.DoubleType())]))
+    return map_in_arrow(given, run, T.StructType([*given.schema.fields, T.StructField(name, T.DoubleType())]))

@@ -1,10 +1,13 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax.
 
-A word is the bag of its character n-grams and itself, hashed into buckets with a vector each; a
-window of words is the mean of its vectors, and a linear softmax, trained jointly with them, tells
-its label. A misspelling that was never seen shares most n-grams, and so vectors, with the word. A
-text is as toxic as its worst window; a logistic curve over that and the text's length, fitted on
-documents that the vectors were not fitted on, makes it a probability.
+A word is the bag of its character n-grams and itself, hashed into buckets with a vector each; words
+together are the mean of their vectors, and a linear softmax, trained jointly with them, tells the
+label. A misspelling that was never seen shares most n-grams, and so vectors, with the word. Two such
+models are trained: the bags of the first are whole texts; those of the second are windows of words,
+the ones that the first finds worst and some others. Both are linear in the buckets, so their sum is
+one table. A mean over a whole text dilutes one insult in a thousand words, so a text is as toxic as
+its worst window; a logistic curve over that and the text's length, fitted on documents that the
+vectors were not fitted on, makes it a probability.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import materialize, ship
+from ..runtime import map_in_arrow, materialize, ship
 from .common import mix
 from .gam import labelled_sample
 
@@ -27,12 +30,18 @@ DIMENSIONS = 12
 SIZES = (3, 4, 5)
 WINDOW = 8
 STRIDE = 4
-#: Labelled documents learnt from at most, of each label, by a hash of their ids.
-SAMPLE_ROWS = 5_000
-#: Windows of a document that a round of training gets.
+#: Labelled documents learnt from at most, of each label, by a hash of their ids, and characters of them all: whole texts up to it.
+SAMPLE_ROWS = 1_500
+SAMPLE_CHARS = 16_000_000
+#: Windows of a document that the second model gets: the worst ones, and of clean documents some others.
 POSITIVE_WINDOWS = 2
 NEGATIVE_WINDOWS = 4
-ROUNDS = 4
+OTHER_WINDOWS = 4
+#: Grams that training on whole texts goes over, in so many rounds at least and at most.
+GRAM_VISITS = 60_000_000
+EPOCHS = (5, 25)
+#: Documents that a gram must be in to have a vector; others say nothing about new texts.
+LEAST_DOCUMENTS = 2
 
 _SEPARATORS = np.zeros(0x250, bool)
 _SEPARATORS[[i for i in range(0x250) if not (chr(i).isalnum() or chr(i) in "@$'")]] = True
@@ -192,30 +201,52 @@ def fit_curve(logit: np.ndarray, windows: np.ndarray, label: np.ndarray) -> tupl
     return float(beta[0]), float(beta[1]), float(beta[2])
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", rows: int = SAMPLE_ROWS) -> Model:
-    """Learns from at most `rows` documents of each label. usable: condition on `__id`.
+def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
+    """Learns from at most `rows` documents of each label, and of these from as many as have `chars` characters.
 
-    Each round picks, with the vectors so far, the worst windows of toxic documents and the worst and
-    other windows of clean ones; windows come to the driver, whole texts don't. Without documents of both
-    labels every score is the rate of the label.
+    usable: condition on `__id`. The buckets of sampled texts come to the driver, four bytes a gram; texts
+    don't. Without documents of both labels every score is the rate of the label.
     """
     spark = docs.sparkSession
     ship(spark)
     both = [labelled_sample(docs, labels.where(F.col(label) == y), label, rows, usable) for y in (0, 1)]
     sample = materialize(both[0].union(both[1]), "toxicity-sample")
+    sizes = sample.select("doc_id", "label", F.length("text").alias("n")).collect()  # 2 * rows at most
+    kept, held = [], 0
+    for r in sorted(sizes, key=lambda r: (hash_of(r["doc_id"]), r["label"])):
+        if held and held + r["n"] > chars:
+            break
+        kept.append((r["doc_id"], r["label"]))
+        held += r["n"]
     # shares of the sample are not those of the labels
     counts = {r[0]: r[1] for r in labels.select(F.col(label).cast("int").alias("y"), F.col("doc_id").alias("__id")).where(F.col("y").isin(0, 1) & usable).groupBy("y").count().collect()}
-    if not counts.get(0) or not counts.get(1):
+    if len({y for _, y in kept}) < 2:
         rate = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
         return Model(np.zeros(BUCKETS), 0.0, (0.0, 0.0, float(np.log(rate / (1 - rate)))))
-    value, bias = None, 0.0
-    for turn in range(ROUNDS):
-        shared = spark.sparkContext.broadcast(value)
-        found = sample.mapInArrow(_picker(shared, turn), "doc_id long, label int, part int, grams binary").toPandas().sort_values(["doc_id", "label", "part"], kind="stable")
+    sample = sample.join(F.broadcast(spark.createDataFrame(kept, "doc_id long, label int")), ["doc_id", "label"]).select("doc_id", "label", "text")
+
+    def bags_of(make) -> tuple[list[np.ndarray], np.ndarray]:
+        found = map_in_arrow(sample, make, "doc_id long, label int, part int, grams binary").toPandas().sort_values(["doc_id", "label", "part"], kind="stable")
         found = found[found["doc_id"].map(lambda i: hash_of(i) % 4 != 0)]
-        bags = [np.frombuffer(b, np.int32) for b in found["grams"]]
-        value, bias = fit_vectors(bags, found["label"].to_numpy(float), seed=5 + turn)
-    model = Model(value, bias, (1.0, 0.0, 0.0))
+        return [np.frombuffer(b, np.int32) for b in found["grams"]], found["label"].to_numpy(float)
+
+    bags, y = bags_of(_whole_texts)
+    if len(set(y)) < 2:
+        rate = counts[1] / (counts[0] + counts[1])
+        return Model(np.zeros(BUCKETS), 0.0, (0.0, 0.0, float(np.log(rate / (1 - rate)))))
+    seen = np.zeros(BUCKETS, np.int32)
+    for b in bags:
+        seen[np.unique(b)] += 1
+    known = seen >= LEAST_DOCUMENTS
+    visits = sum(len(b) for b in bags)
+    value, _ = fit_vectors([b[known[b]] for b in bags], y, epochs=int(np.clip(GRAM_VISITS // max(1, visits), *EPOCHS)), rate=4.0)
+    value = _scaled(value * known, bags, y)
+    del bags
+    shared = spark.sparkContext.broadcast(value)
+    windows, z = bags_of(_windows_of(shared))
+    again, _ = fit_vectors([b[known[b]] for b in windows], z, seed=6, rate=1.0)
+    value = value + _scaled(again * known, windows, z)
+    model = Model(value, 0.0, (1.0, 0.0, 0.0))
     shared = spark.sparkContext.broadcast(model)
 
     def worst(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,22 +257,49 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), pa.array(logit), pa.array(n.astype(np.int64))], names=["doc_id", "label", "logit", "n"])
                 at += len(texts)
 
-    seen = sample.mapInArrow(worst, "doc_id long, label int, logit double, n long").toPandas().sort_values(["doc_id", "label", "logit"], kind="stable")
-    other = seen[seen["doc_id"].map(lambda i: hash_of(i) % 4 == 0)]
+    judged = map_in_arrow(sample, worst, "doc_id long, label int, logit double, n long").toPandas().sort_values(["doc_id", "label", "logit"], kind="stable")
+    other = judged[judged["doc_id"].map(lambda i: hash_of(i) % 4 == 0)]
     if other["label"].nunique() < 2:
-        other = seen
+        other = judged
     curve = fit_curve(other["logit"].to_numpy(), other["n"].to_numpy(), other["label"].to_numpy(float))
     shift = np.log(counts[1] / counts[0]) - np.log(max(1, (other["label"] == 1).sum()) / max(1, (other["label"] == 0).sum()))
     model.curve = (curve[0], curve[1], curve[2] + float(shift))
     return model
 
 
-def hash_of(doc_id: int) -> int:
-    return int(mix(np.array([doc_id], np.int64).view(np.uint64))[0] >> np.uint64(8))
+def _scaled(value: np.ndarray, bags: list[np.ndarray], label: np.ndarray) -> np.ndarray:
+    """value, so that means of the bags deviate by 1 in either label."""
+    mean = np.array([value[b].mean() if len(b) else 0.0 for b in bags])
+    spread = np.sqrt(np.mean([mean[label == y].var() for y in (0, 1)]))
+    return value / spread if spread > 0 else value
+
+
+def hash_of(doc_id: int | None) -> int:
+    return int(mix(np.array([doc_id or 0], np.int64).view(np.uint64))[0] >> np.uint64(8))
+
+
+def _bag_rows(ids: list, labels: list, doc: np.ndarray, part: np.ndarray, grams: list[bytes]) -> pa.RecordBatch:
+    columns = [pa.array([ids[d] for d in doc], pa.int64()), pa.array([labels[d] for d in doc], pa.int32()), pa.array(part, pa.int32()), pa.array(grams, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "part", "grams"])
+
+
+def _whole_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Gram buckets of each text."""
+    for batch in batches:
+        at = 0
+        for texts in text_groups(batch.column(2)):
+            ids, labels = batch.column(0).slice(at, len(texts)).to_pylist(), batch.column(1).slice(at, len(texts)).to_pylist()
+            at += len(texts)
+            bags = Bags(texts)
+            doc = bags.doc[bags.word]
+            order = np.argsort(doc, kind="stable")
+            cuts = np.searchsorted(doc[order], np.arange(len(texts) + 1))
+            gram = bags.gram[order]
+            yield _bag_rows(ids, labels, np.arange(len(texts)), np.zeros(len(texts), np.int32), [gram[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)])
 
 
-def _picker(shared, turn: int):
-    """Windows of each document to train on, as gram buckets."""
+def _windows_of(shared):
+    """Windows of each document to train on, as gram buckets: the worst by the shared values, and others of clean ones by a seeded order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,27 +308,19 @@ def _picker(shared, turn: int):
                 ids, labels = batch.column(0).slice(at, len(texts)).to_pylist(), batch.column(1).slice(at, len(texts)).to_pylist()
                 at += len(texts)
                 bags = Bags(texts)
-                value = shared.value
-                logit, first, doc = bags.windows(np.zeros(BUCKETS) if value is None else value, len(texts))
-                if value is None:  # a seeded order
-                    logit = (mix(first.astype(np.uint64) + np.uint64(turn)) >> np.uint64(11)).astype(np.float64)
-                order = np.lexsort((-logit, doc))
-                rank = np.arange(len(order)) - np.searchsorted(doc[order], doc[order])
-                limit = np.where(np.array(labels)[doc[order]] == 1, POSITIVE_WINDOWS if value is not None else 4 * NEGATIVE_WINDOWS, NEGATIVE_WINDOWS)
-                # the worst, and from the first round's kind of order some others
-                picked = order[rank < limit]
-                if value is not None:
-                    other = np.lexsort((mix(first.astype(np.uint64) + np.uint64(turn)), doc))
-                    rank = np.arange(len(other)) - np.searchsorted(doc[other], doc[other])
-                    picked = np.unique(np.concatenate([picked, other[(rank < 2) & (np.array(labels)[doc[other]] == 0)]]))
+                logit, first, doc = bags.windows(shared.value, len(texts))
+                toxic = np.array(labels)[doc] == 1
+                picked = []
+                for by, limit in ((-logit, np.where(toxic, POSITIVE_WINDOWS, NEGATIVE_WINDOWS)), (mix(first.astype(np.uint64)), np.where(toxic, 0, OTHER_WINDOWS))):
+                    order = np.lexsort((by, doc))
+                    rank = np.arange(len(order)) - np.searchsorted(doc[order], doc[order])
+                    picked.append(order[rank < limit[order]])
+                picked = np.unique(np.concatenate(picked))
                 by_word = np.argsort(bags.word, kind="stable")
                 gram, word = bags.gram[by_word], bags.word[by_word]
                 ends = np.minimum(first[picked] + WINDOW, np.searchsorted(bags.doc, doc[picked], "right"))
                 lo, hi = np.searchsorted(word, first[picked]), np.searchsorted(word, ends)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[d] for d in doc[picked]], pa.int64()), pa.array([labels[d] for d in doc[picked]], pa.int32()), pa.array(np.arange(len(picked)), pa.int32()), pa.array([gram[a:b].tobytes() for a, b in zip(lo, hi, strict=True)], pa.binary())],
-                    names=["doc_id", "label", "part", "grams"],
-                )
+                yield _bag_rows(ids, labels, doc[picked], np.arange(len(picked)), [gram[a:b].tobytes() for a, b in zip(lo, hi, strict=True)])
 
     return run
 
@@ -288,4 +338,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
             z = [shared.value.score(texts) for texts in text_groups(batch.column(place))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(z) if z else np.empty(0))], names=[*batch.schema.names, name])
 
-    return given.mapInArrow(run, T.StructType([*given.schema.fields, T.StructField(name, T.DoubleType())]))
+    return map_in_arrow(given, run, T.StructType([*given.schema.fields, T.StructField(name, T.DoubleType())]))
