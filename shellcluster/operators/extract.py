@@ -405,6 +405,12 @@ def attach_borders(graph: DataFrame, labels: DataFrame, radii: DataFrame, rank:
 # --- the whole ------------------------------------------------------------------------------
 
 
+def single_layer(strata: DataFrame, background_group: int | None) -> tuple[DataFrame, int | None]:
+    """strata with all signal in group 0 and the background in group 1; and the background's group."""
+    is_background = F.lit(False) if background_group is None else F.col("group") == background_group
+    return strata.withColumn("group", is_background.cast("int")), None if background_group is None else 1
+
+
 def extract(graph: DataFrame, strata: DataFrame, background_group: int | None, config: ExtractionConfig | None = None) -> Extraction:
     """Labels from a graph and its strata (id, group, p_background)."""
     config = config or ExtractionConfig()
@@ -415,8 +421,7 @@ def extract(graph: DataFrame, strata: DataFrame, background_group: int | None, c
         raise ValueError("every row needs a stratum and a background probability")
     rank = config.connectivity_rank
     if config.signal_strata == "single_layer":
-        strata = strata.withColumn("group", F.when(F.col("group") == background_group, 1).otherwise(0))
-        background_group = 1 if background_group is not None else None
+        strata, background_group = single_layer(strata, background_group)
     d = F.get("dist", F.lit(config.core_rank - 1)).cast("double")
     rows = materialize(graph.select("id", d.alias("d")).join(strata, "id").withColumn("u", density.signal_log_odds(F.col("p_background"))), "extract-rows")
     is_background = F.lit(False) if background_group is None else F.col("group") == background_group

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,15 +129,7 @@ def global_positions(spark, sf):
 
 
 def connected(spark, sf):
-    o = spark.read.parquet(f"{sf}/orders.parquet")
-    edges = o.where("o_orderkey % 7 = 0").select((F.col("o_custkey") * 2).cast("long").alias("src"), (F.col("o_orderkey") % 50 * 2 + 1).cast("long").alias("dst"))
-    edges = edges.where("src % 3 = 0")
-    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
-    return components.connected_components(nodes, edges)
-
-
-def connected_orders(spark, sf):
-    """Components of customers and all their orders; without SQL, as `connected` keeps its own over a part."""
+    """Components of customers and all their orders."""
     o = spark.read.parquet(f"{sf}/orders.parquet")
     edges = o.select((F.col("o_custkey") * 2).cast("long").alias("src"), (F.col("o_orderkey") * 2 + 1).cast("long").alias("dst"))
     nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
@@ -176,13 +169,61 @@ def component_statistics(spark, sf):
 
 
 def borders(spark, sf):
-    """Rows of even id are core, labelled by their group; the others may join them."""
+    """Rows up to the median of their stratum are core, labelled by it; the others may join them."""
     graph, rows = strata_rows(spark, sf)
-    core = rows.where("id % 2 = 0")
-    found = extract.attach_borders(graph, core.select("id", F.col("group").cast("long").alias("label")), core.select("id", (F.col("d") * 0.9).alias("radius")), 4)
+    cut = extract.fixed_quantile(rows, 0.5).select("group", "threshold")
+    core = rows.join(F.broadcast(cut), "group").where("d <= threshold")
+    found = extract.attach_borders(graph, core.select("id", F.col("group").cast("long").alias("label")), core.select("id", F.col("threshold").alias("radius")), 4)
     return found.select("id", "label")
 
 
+def data_terms(spark, sf):
+    out, _ = density.shell_volumes(graph_of(spark, sf), (2, 4, 8), 2.0)
+    return out.select("id", F.round("data_term", 3).alias("term"))
+
+
+#: A mixture of three components for queries about one step of it.
+WEIGHTS, RATES = (0.5, 0.3, 0.2), ((3.0, 2.5, 2.0), (1.5, 1.2, 1.0), (0.5, 0.6, 0.7))
+
+
+def _mixture(spark, sf):
+    config = mixture.MixtureConfig(ranks=(2, 4, 8))
+    frame, shapes = density.shell_volumes(graph_of(spark, sf), config.ranks, 2.0)
+    rates = np.array(RATES)
+    return mixture.Shells(frame, shapes, config), mixture.Parameters(np.array(WEIGHTS), np.log(rates[:, 0]), np.zeros(3), rates), config
+
+
+def mixture_assignment(spark, sf):
+    rows, p, _ = _mixture(spark, sf)
+    found = rows.assignment(p, np.array([0, 0, 1]), np.array([2]))
+    return found.select("id", "group", F.round("p_background", 4).alias("p_background"))
+
+
+def em_step(spark, sf):
+    rows, p, config = _mixture(spark, sf)
+    stats = rows.statistics(p)
+    new = mixture.m_step(stats, rows.n, rows.shapes, config)
+    out = [(k, round(float(stats.effective[k]), 2), round(float(new.weights[k]), 4), round(float(new.slopes[k]), 3), round(float(new.mu[k]), 3), *(round(float(x), 3) for x in new.rates[k])) for k in range(len(p.weights))]
+    return spark.createDataFrame(out, "component long, effective double, weight double, slope double, mu double, rate_2 double, rate_4 double, rate_8 double")
+
+
+def information_scores(spark, sf):
+    rows, p, _ = _mixture(spark, sf)
+    ll, entropy = rows.statistics(p).log_likelihood, rows.entropy(p, None)
+    return spark.createDataFrame([(c, round(special.information_score(ll, entropy, 8, rows.n, c), 1)) for c in ("bic", "aicc", "icl")], "criterion string, score double")
+
+
+def window_sizes(spark, sf):
+    graph = graph_of(spark, sf)
+    ordered = components.with_position(knn.k_distance(graph, 4), "d", "id").select("id", "pos")
+    return extract.window_component_sizes(graph, ordered, 16, 4)
+
+
+def single_layer(spark, sf):
+    _, rows = strata_rows(spark, sf)
+    return extract.single_layer(rows, 2)[0].select("id", "group")
+
+
 def clustering_metrics(spark, sf):
     row = metrics.clustering_metrics_frame(labelled_docs(spark, sf))
     return row.select(*[F.round(F.col(c).cast("double"), 9).alias(c) for c in row.columns])
@@ -215,7 +256,7 @@ def evaluation(spark, sf):
 
 
 def mutual_information(spark, sf):
-    return spark.createDataFrame([(metrics.adjusted_mutual_information(labelled_docs(spark, sf)),)], "ami double")
+    return spark.createDataFrame([(round(metrics.adjusted_mutual_information(labelled_docs(spark, sf)), 6),)], "ami double")
 
 
 def peak_density(spark, sf):
@@ -229,14 +270,15 @@ def peak_parents(spark, sf):
     return _rounded(comparators.peak_parents(points, rho), "delta").select("id", "delta", "parent")
 
 
-def follow_parents(spark, sf):
-    c = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").cast("long").alias("id"))
-    parents = c.select("id", F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(F.col("id") - 1).alias("parent")).where("id >= 10")
-    return comparators.follow_parents(parents)
+def peak_centers(spark, sf):
+    points = plane(spark, sf).select("id", "features")
+    state = comparators.peak_parents(points, comparators.peak_density(points))
+    found, _, _ = comparators.peak_centers(state)
+    return spark.createDataFrame([(i,) for i in found], "center long")
 
 
-def follow_all_parents(spark, sf):
-    """Chains of all customers, 1 to 9 as their own roots; without SQL, as `follow_parents` keeps its own over a part."""
+def follow_parents(spark, sf):
+    """Chains of all customers, 1 to 9 as their own roots."""
     c = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").cast("long").alias("id"))
     own = (F.col("id") % 10 == 0) | (F.col("id") < 10)
     return comparators.follow_parents(c.select("id", F.when(own, F.col("id")).otherwise(F.col("id") - 1).alias("parent")))
@@ -265,7 +307,7 @@ def topology_evidence(spark, sf):
 
 
 def job_expansion(spark, sf):
-    return benchmark.job_frame(spark, benchmark.expand_jobs(benchmark.QUERY_PROTOCOL, "synthetic")).select("dataset_id", "method", "seed", "n")
+    return benchmark.job_frame(spark, benchmark.QUERY_PROTOCOL, "synthetic").select("dataset_id", "method", "seed", "n", F.element_at(F.split("job_id", "__"), -1).alias("digest"))
 
 
 def estimator_labels(spark, sf):
@@ -296,17 +338,39 @@ def synthetic_family(spark, sf):
     return synthetic.generate(spark, family, 42).groupBy("y").agg(F.count("*").alias("n"))
 
 
+def results_of_lineitem(spark, sf):
+    """Two result tables: jobs are kinds of lines by the year they were shipped in, or were to arrive in, 200 days later; quality is the mean discount."""
+    t = spark.read.parquet(f"{sf}/lineitem.parquet")
+    made = []
+    for wait in (0, 200):
+        year = F.year(F.date_add(F.col("l_shipdate").cast("date"), wait)).cast("long")
+        by = t.groupBy(F.col("l_returnflag").alias("suite"), F.col("l_linestatus").alias("dataset_id"), F.col("l_linenumber").cast("string").alias("method"), year.alias("seed"))
+        made.append(by.agg(F.when(F.count("*") % 5 == 0, "error").otherwise("ok").alias("status"), F.round(F.avg(F.col("l_discount").cast("double")), 6).alias("quality"), F.round(F.sum(F.col("l_quantity").cast("double")), 2).alias("runtime_seconds")))
+    return made
+
+
 def comparison(spark, sf):
-    return benchmark.compare_frames(*benchmark.example_results(spark))
+    return _rounded(benchmark.compare_frames(*results_of_lineitem(spark, sf)), "quality_delta", "runtime_ratio", digits=5)
+
+
+def comparison_by_suite(spark, sf):
+    stats = benchmark.compare_stats(benchmark.compare_frames(*results_of_lineitem(spark, sf)), 0.002)
+    return _rounded(stats, "median_quality_delta", "worst_quality_delta", "median_runtime_ratio", digits=5)
+
+
+def comparison_verdict(spark, sf):
+    """Of the jobs that both tables have."""
+    pairs = benchmark.compare_frames(*results_of_lineitem(spark, sf)).where("presence = 'both'")
+    return benchmark.verdict(benchmark.compare_stats(pairs.withColumn("new_failure", F.lit(False)), 0.01), 0.01, 0.5, 1.25)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         knn_edges, knn_lists_sorted, knn_distance, knn_grid, knn_gather, shared_neighbours, range_degree, dbscan, knn_dbscan, snn_dbscan, log_distances, signatures, shells,
-        intrinsic_dimension, boundary_terms, robust_scale, label_codes, global_positions, connected, connected_orders, stratum_events, threshold_sweep, fixed_quantile, component_statistics, borders,
-        clustering_metrics, contingency, pair_scores, target_summary, cluster_burden, adjusted_rand, evaluation, mutual_information, peak_density, peak_parents, follow_parents, follow_all_parents,
-        symmetric_edges, unit_vectors, signal_log_odds, topology_evidence, job_expansion, estimator_labels, stratification, background_scan, density_peaks, synthetic_family, comparison,
+        intrinsic_dimension, boundary_terms, robust_scale, label_codes, global_positions, connected, stratum_events, threshold_sweep, fixed_quantile, component_statistics, borders, data_terms, mixture_assignment, em_step, information_scores, window_sizes, single_layer,
+        clustering_metrics, contingency, pair_scores, target_summary, cluster_burden, adjusted_rand, evaluation, mutual_information, peak_density, peak_parents, peak_centers, follow_parents,
+        symmetric_edges, unit_vectors, signal_log_odds, topology_evidence, job_expansion, estimator_labels, stratification, background_scan, density_peaks, synthetic_family, comparison, comparison_by_suite, comparison_verdict,
     )
 } | {f"method_{m}": _method(m) for m in ("hdbscan", "optics", "vdbscan_2007", "amd_dbscan", "knn_leiden", "xshift")}
 
@@ -333,6 +397,27 @@ _STRATA = f"""{_knn(K)},
 d4 AS (SELECT src AS id, dist::FLOAT::DOUBLE AS d FROM knn WHERE rank = 4),
 strata AS MATERIALIZED (SELECT id, label AS "group", d, 0.5 - (id % 5) / 10.0 AS u, row_number() OVER (PARTITION BY label ORDER BY d, id) - 1 AS pos FROM d4 JOIN embeddings ON vec_id = id),
 events AS MATERIALIZED (SELECT a."group", k.src, k.dst, greatest(a.pos, b.pos) AS step FROM knn k JOIN strata a ON a.id = k.src JOIN strata b ON b.id = k.dst WHERE k.rank BETWEEN 3 AND 4 AND a."group" = b."group")"""
+_SHELLS = f"""{_knn(8)}, far AS (SELECT src AS id, ln(max(dist) FILTER (rank = 2)::FLOAT::DOUBLE) AS a, ln(max(dist) FILTER (rank = 4)::FLOAT::DOUBLE) AS b, ln(max(dist) FILTER (rank = 8)::FLOAT::DOUBLE) AS c FROM knn GROUP BY src),
+mid AS (SELECT quantile_cont(a, 0.5) AS mid FROM far), vol AS (SELECT id, exp(2 * (a - mid)) AS va, exp(2 * (b - mid)) AS vb, exp(2 * (c - mid)) AS vc FROM far, mid),
+shells AS MATERIALIZED (SELECT id, va AS s1, vb - va AS s2, vc - vb AS s3, ln(va) + ln(vb - va) + 3 * ln(vc - vb) - 2 * lgamma(2) - lgamma(4) AS term FROM vol)"""
+_COMPONENTS = ", ".join(f"({k}, {w}::DOUBLE, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for k, (w, (a, b, c)) in enumerate(zip(WEIGHTS, RATES, strict=True)))
+_E_STEP = f"""{_SHELLS}, comps(k, w, r1, r2, r3) AS (VALUES {_COMPONENTS}),
+joint AS (SELECT id, k::BIGINT AS k, s1, s2, s3, term + ln(w) + 2 * ln(r1) + 2 * ln(r2) + 4 * ln(r3) - r1 * s1 - r2 * s2 - r3 * s3 AS z FROM shells, comps),
+top AS (SELECT *, max(z) OVER (PARTITION BY id) AS t FROM joint),
+resp AS MATERIALIZED (SELECT id, k, s1, s2, s3, z, exp(z - t) / sum(exp(z - t)) OVER (PARTITION BY id) AS r FROM top)"""
+
+
+def _results(name: str, wait: int) -> str:
+    return f"""{name} AS (SELECT l_returnflag AS suite, l_linestatus AS dataset_id, l_linenumber::VARCHAR AS method, year(l_shipdate::DATE + {wait})::BIGINT AS seed,
+  CASE WHEN count(*) % 5 = 0 THEN 'error' ELSE 'ok' END AS status, round(avg(l_discount::DOUBLE), 6) AS quality, round(sum(l_quantity::DOUBLE), 2) AS seconds, true AS here FROM lineitem GROUP BY ALL)"""
+
+
+_RESULTS = f"""{_results("was", 0)}, {_results("now", 200)},
+jobs AS (SELECT suite, dataset_id, method, seed, CASE WHEN w.here AND n.here THEN 'both' WHEN w.here THEN 'reference' ELSE 'current' END AS presence,
+  coalesce(w.status = 'ok' AND n.status <> 'ok', false) AS new_failure, coalesce(w.status <> 'ok' AND n.status = 'ok', false) AS recovered,
+  CASE WHEN w.status = 'ok' AND n.status = 'ok' THEN w.quality END AS reference_quality, CASE WHEN w.status = 'ok' AND n.status = 'ok' THEN n.quality END AS current_quality,
+  CASE WHEN w.status = 'ok' AND n.status = 'ok' THEN n.quality - w.quality END AS quality_delta, CASE WHEN w.status = 'ok' AND n.status = 'ok' AND w.seconds > 0 THEN n.seconds / w.seconds END AS runtime_ratio
+  FROM was w FULL JOIN now n USING (suite, dataset_id, method, seed))"""
 _Y = "lab AS (SELECT (doc_id % 5 - 1)::BIGINT AS y, greatest(doc_id % 7 % 4 + quality - toxic - 1, -1)::BIGINT AS p FROM labels), c AS (SELECT y, p, count(*) AS n FROM lab GROUP BY ALL)"
 
 ORACLE_SQL: dict[str, str] = {
@@ -388,7 +473,7 @@ s AS (SELECT 1.4826 * quantile_cont(abs(p_size - a), 0.5) AS sa, 1.4826 * quanti
 SELECT p_partkey, round((p_size - a) / sa, 5) AS p_size, round((p_retailprice - b) / sb, 5) AS p_retailprice FROM part, m, s""",
     "label_codes": "SELECT event_id, (dense_rank() OVER (ORDER BY event_type) - 2)::BIGINT AS y FROM events",
     "global_positions": "SELECT c_custkey::BIGINT AS id, row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS pos FROM customer",
-    "connected": f"""WITH RECURSIVE e AS (SELECT (o_custkey * 2)::BIGINT AS src, (o_orderkey % 50 * 2 + 1)::BIGINT AS dst FROM orders WHERE o_orderkey % 7 = 0 AND (o_custkey * 2) % 3 = 0),
+    "connected": f"""WITH RECURSIVE e AS (SELECT (o_custkey * 2)::BIGINT AS src, (o_orderkey * 2 + 1)::BIGINT AS dst FROM orders),
 inner_edges AS MATERIALIZED (SELECT src, dst FROM e UNION SELECT dst, src FROM e), nodes AS MATERIALIZED (SELECT DISTINCT src AS id FROM inner_edges),
 {_components("nodes", "inner_edges")} SELECT id, min(label) AS component FROM cc GROUP BY id""",
     "stratum_events": f'WITH {_STRATA} SELECT "group"::INTEGER AS "group", step, count(*) AS n FROM events GROUP BY ALL',
@@ -407,8 +492,52 @@ inner_edges AS MATERIALIZED (SELECT src, dst FROM one UNION SELECT dst, src FROM
 comp AS MATERIALIZED (SELECT id, min(label) AS component FROM cc GROUP BY id),
 hits AS (SELECT a.component, count(*) AS n FROM knn k JOIN comp a ON a.id = k.src JOIN comp b ON b.id = k.dst WHERE k.rank BETWEEN 3 AND 4 AND a.component = b.component GROUP BY a.component)
 SELECT c.component, min(s."group")::INTEGER AS "group", count(*) AS size, coalesce(max(h.n), 0) AS successes, round(sum(u)::DOUBLE, 3) AS unary FROM comp c JOIN strata s USING (id) LEFT JOIN hits h ON h.component = c.component GROUP BY c.component""",
-    "borders": f"""WITH {_STRATA}, r AS (SELECT k.src AS id, c."group" AS label, k.dist::FLOAT::DOUBLE / (c.d * 0.9) AS ratio, k.rank FROM knn k JOIN strata c ON c.id = k.dst WHERE k.rank <= 4 AND k.dst % 2 = 0 AND k.src % 2 = 1)
+    "borders": f"""WITH {_STRATA}, q AS (SELECT "group", quantile_cont(d, 0.5) AS mid FROM strata GROUP BY "group"), core AS (SELECT id, "group", max(d) OVER (PARTITION BY "group") AS radius FROM strata JOIN q USING ("group") WHERE d <= mid),
+r AS (SELECT k.src AS id, c."group" AS label, k.dist::FLOAT::DOUBLE / c.radius AS ratio, k.rank FROM knn k JOIN core c ON c.id = k.dst WHERE k.rank <= 4 AND k.src NOT IN (SELECT id FROM core))
 SELECT id, label::BIGINT AS label FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY ratio, rank) = 1 AND ratio <= 1""",
+    "data_terms": f"WITH {_SHELLS} SELECT id, round(term, 3) AS term FROM shells",
+    "mixture_assignment": f"""WITH {_E_STEP} SELECT id, CASE WHEN arg_max(k, (z, -k)) = 2 THEN 1 ELSE 0 END::INTEGER AS "group", round(sum(r) FILTER (k = 2), 4) AS p_background FROM resp GROUP BY id""",
+    "em_step": f"""WITH RECURSIVE {_E_STEP}, s AS MATERIALIZED (SELECT k, sum(r) AS n, sum(r * s1) AS w1, sum(r * s2) AS w2, sum(r * s3) AS w3 FROM resp GROUP BY k),
+goal AS (SELECT (2 * ln(2) + 2 * ln(4) + 4 * ln(8)) / 8 AS t),
+b(k, lo, hi, i) AS (SELECT k, -20::DOUBLE, 20::DOUBLE, 0 FROM s UNION ALL
+  SELECT k, CASE WHEN pull > 0 THEN lo ELSE (lo + hi) / 2 END, CASE WHEN pull > 0 THEN (lo + hi) / 2 ELSE hi END, i + 1
+  FROM (SELECT b.*, w1 * power(2, (lo + hi) / 2) * (ln(2) - t) + w2 * power(4, (lo + hi) / 2) * (ln(4) - t) + w3 * power(8, (lo + hi) / 2) * (ln(8) - t) AS pull FROM b JOIN s USING (k), goal WHERE i < 60)),
+f AS (SELECT s.*, (lo + hi) / 2 AS slope FROM s JOIN b USING (k) WHERE i = 60),
+m AS (SELECT *, ln(n * 8) - ln(w1 * power(2, slope) + w2 * power(4, slope) + w3 * power(8, slope)) AS mu, sum(n) OVER () AS total FROM f)
+SELECT k AS component, round(n, 2) AS effective, round(n / total, 4) AS weight, round(slope, 3) AS slope, round(mu, 3) AS mu, round(exp(mu + slope * ln(2)), 3) AS rate_2, round(exp(mu + slope * ln(4)), 3) AS rate_4, round(exp(mu + slope * ln(8)), 3) AS rate_8 FROM m""",
+    "information_scores": f"""WITH {_E_STEP}, t AS (SELECT sum(z - ln(r)) FILTER (k = 0) AS ll, -sum(CASE WHEN r > 0 THEN r * ln(r) ELSE 0 END) AS h, count(*) FILTER (k = 0) AS n FROM resp)
+SELECT criterion, round(CASE criterion WHEN 'bic' THEN -2 * ll + 8 * ln(n) WHEN 'aicc' THEN -2 * ll + 16 + 2 * 8 * 9 / (n - 9)::DOUBLE ELSE -2 * ll + 8 * ln(n) + 2 * h END, 1) AS score FROM t, (VALUES ('bic'), ('aicc'), ('icl')) c(criterion)""",
+    "window_sizes": f"""WITH RECURSIVE {_knn(K)}, d4 AS (SELECT src AS id, dist::FLOAT::DOUBLE AS d FROM knn WHERE rank = 4),
+o AS MATERIALIZED (SELECT id, (row_number() OVER (ORDER BY d, id) - 1) // 16 AS w FROM d4),
+one AS (SELECT k.src, k.dst FROM knn k JOIN o a ON a.id = k.src JOIN o b ON b.id = k.dst WHERE k.rank <= 4 AND a.w = b.w),
+inner_edges AS MATERIALIZED (SELECT src, dst FROM one UNION SELECT dst, src FROM one), {_components("o", "inner_edges")},
+comp AS (SELECT id, min(label) AS component FROM cc GROUP BY id)
+SELECT w::BIGINT AS "window", max(n)::BIGINT AS size FROM (SELECT w, component, count(*) AS n FROM comp JOIN o USING (id) GROUP BY ALL) GROUP BY w""",
+    "single_layer": """SELECT vec_id::BIGINT AS id, CASE WHEN label = 2 THEN 1 ELSE 0 END::INTEGER AS "group" FROM embeddings""",
+    "mutual_information": f"""WITH {_Y}, m AS (SELECT y, greatest(p, -1) AS p, n::DOUBLE AS n FROM c WHERE y >= 0), a AS (SELECT y, sum(n) AS a FROM m GROUP BY y), b AS (SELECT p, sum(n) AS b FROM m GROUP BY p), t AS (SELECT sum(n) AS n FROM m),
+mi AS (SELECT sum(m.n / t.n * ln(m.n * t.n / (a.a * b.b))) AS mi FROM m JOIN a USING (y) JOIN b USING (p), t),
+h AS (SELECT (SELECT -sum(a / n * ln(a / n)) FROM a, t) AS ha, (SELECT -sum(b / n * ln(b / n)) FROM b, t) AS hb),
+g AS (SELECT a, b, n, unnest(generate_series(greatest(1, a + b - n)::BIGINT, least(a, b)::BIGINT))::DOUBLE AS x FROM a, b, t),
+e AS (SELECT sum(x / n * ln(n * x / (a * b)) * exp(lgamma(a + 1) + lgamma(b + 1) + lgamma(n - a + 1) + lgamma(n - b + 1) - lgamma(n + 1) - lgamma(x + 1) - lgamma(a - x + 1) - lgamma(b - x + 1) - lgamma(n - a - b + x + 1))) AS emi FROM g)
+SELECT round((mi - emi) / ((ha + hb) / 2 - emi), 6) AS ami FROM mi, h, e""",
+    "peak_centers": """WITH p AS (SELECT c_custkey::BIGINT AS id, (c_acctbal::DOUBLE / 1000)::FLOAT::DOUBLE AS x, c_nationkey::DOUBLE AS y FROM customer),
+pairs AS MATERIALIZED (SELECT a.id AS src, b.id AS dst, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist FROM p a JOIN p b ON a.id <> b.id),
+n AS (SELECT count(*) AS n, ceil(0.02 * count(*))::BIGINT AS k FROM p),
+near AS (SELECT src, dist, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS rank FROM pairs),
+l AS (SELECT src AS id, -sum(dist::FLOAT::DOUBLE * dist::FLOAT::DOUBLE) / max(k) AS g FROM near, n WHERE rank <= k GROUP BY src),
+rho AS MATERIALIZED (SELECT id, exp(g - max(g) OVER ()) AS rho FROM l),
+o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY rho DESC, id) AS place FROM rho),
+d AS (SELECT a.id, any_value(a.rho) AS rho, CASE WHEN any_value(a.place) = 1 THEN max(dist) ELSE min(dist) FILTER (b.place < a.place) END AS delta FROM pairs q JOIN o a ON a.id = q.src JOIN o b ON b.id = q.dst GROUP BY a.id),
+means AS (SELECT avg(rho) AS mr, avg(delta) AS md FROM d),
+c AS (SELECT id, rho * delta AS gamma FROM d, means WHERE rho > mr AND delta > md),
+g AS (SELECT id, gamma, row_number() OVER (ORDER BY gamma DESC, id) AS pos, gamma - lead(gamma) OVER (ORDER BY gamma DESC, id) AS gap, (max(gamma) OVER () - min(gamma) OVER ()) / count(*) OVER () AS mean FROM c)
+SELECT id AS center FROM g WHERE pos <= coalesce((SELECT max(pos) FROM g WHERE gap >= mean), 1)""",
+    "comparison": f"""WITH {_RESULTS} SELECT * EXCLUDE (quality_delta, runtime_ratio), round(quality_delta, 5) AS quality_delta, round(runtime_ratio, 5) AS runtime_ratio FROM jobs""",
+    "comparison_by_suite": f"""WITH {_RESULTS} SELECT suite, count(quality_delta) AS pairs, round(median(quality_delta), 5) AS median_quality_delta, round(min(quality_delta), 5) AS worst_quality_delta, count(*) FILTER (quality_delta > 0.002) AS improved_pairs, count(*) FILTER (quality_delta < -0.002) AS regressed_pairs,
+       round(median(runtime_ratio), 5) AS median_runtime_ratio, count(*) FILTER (presence <> 'both') AS unpaired, count(*) FILTER (new_failure) AS new_failures FROM jobs GROUP BY ROLLUP (suite)""",
+    "comparison_verdict": f"""WITH {_RESULTS}, b AS (SELECT * FROM jobs WHERE presence = 'both'), s AS (SELECT min(m) AS m FROM (SELECT median(quality_delta) AS m FROM b GROUP BY suite))
+SELECT CASE WHEN (SELECT m FROM s) < -0.01 OR median(quality_delta) < -0.01 OR min(quality_delta) < -0.5 THEN 'regressed' WHEN count(quality_delta) = 0 THEN 'incomparable'
+  ELSE CASE WHEN median(quality_delta) > 0.01 THEN 'improved' ELSE 'unchanged' END || CASE WHEN median(runtime_ratio) > 1.25 THEN '_slower' ELSE '' END END AS verdict FROM b""",
     "clustering_metrics": f"""WITH {_Y}, t AS (SELECT sum(s * (s - 1) / 2)::DOUBLE AS tp FROM (SELECT sum(n) AS s FROM c WHERE y >= 0 GROUP BY y)), q AS (SELECT sum(s * (s - 1) / 2)::DOUBLE AS pp, count(*) AS k FROM (SELECT sum(n) AS s FROM c WHERE p >= 0 GROUP BY p)),
 z AS (SELECT coalesce(sum(n * (n - 1) / 2) FILTER (y >= 0 AND p >= 0), 0)::DOUBLE AS b, coalesce(sum(n) FILTER (y >= 0 AND p >= 0), 0)::DOUBLE AS ss, sum(n) FILTER (p >= 0)::DOUBLE AS sp, sum(n) FILTER (y >= 0)::DOUBLE AS st,
              coalesce(sum(n) FILTER (y < 0 AND p < 0), 0)::DOUBLE AS nn, sum(n) FILTER (p < 0)::DOUBLE AS np, sum(n) FILTER (y < 0)::DOUBLE AS nt, sum(n)::DOUBLE AS n FROM c),
@@ -433,14 +562,16 @@ l AS (SELECT src AS id, -sum(dist::FLOAT::DOUBLE * dist::FLOAT::DOUBLE) / max(k)
     "peak_parents": f"""WITH {_knn(1)}, top AS (SELECT min(vec_id)::BIGINT AS id FROM embeddings)
 SELECT src AS id, round(min(dist) FILTER (dst < src), 4) AS delta, arg_min(dst, (dist, dst)) FILTER (dst < src) AS parent FROM pairs WHERE src <> (SELECT id FROM top) GROUP BY src
 UNION ALL SELECT src, round(max(dist), 4), -1 FROM pairs WHERE src = (SELECT id FROM top) GROUP BY src""",
-    "follow_parents": "SELECT c_custkey::BIGINT AS id, (c_custkey // 10 * 10)::BIGINT AS root FROM customer WHERE c_custkey >= 10",
+    "follow_parents": "SELECT c_custkey::BIGINT AS id, CASE WHEN c_custkey < 10 THEN c_custkey ELSE c_custkey // 10 * 10 END::BIGINT AS root FROM customer",
     "symmetric_edges": f"WITH {_knn(4)} SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM knn",
     "unit_vectors": """WITH p AS (SELECT c_custkey::BIGINT AS id, (c_acctbal::DOUBLE / 1000)::FLOAT::DOUBLE AS a, c_nationkey::FLOAT::DOUBLE AS b FROM customer)
 SELECT id, round(CASE WHEN sqrt(a * a + b * b) > 2.220446049250313e-16 THEN a / sqrt(a * a + b * b) ELSE a END, 5) AS x, round(CASE WHEN sqrt(a * a + b * b) > 2.220446049250313e-16 THEN b / sqrt(a * a + b * b) ELSE b END, 5) AS y FROM p""",
     "signal_log_odds": "WITH p AS (SELECT p_partkey, greatest(least(p_size / 50.0::DOUBLE, 1 - 2.220446049250313e-16), 2.220446049250313e-16) AS p FROM part) SELECT p_partkey, round(CASE WHEN p > 0.999 THEN ln(2.220446049250313e-16) - ln(p) ELSE ln(1 - p) - ln(p) END, 6) AS log_odds FROM p",
     "topology_evidence": """WITH p AS (SELECT p_partkey, p_size::BIGINT AS size, (p_partkey % (p_size * 4 + 1))::DOUBLE AS s, p_size * 4.0::DOUBLE AS t, (p_size - 1) / 499.0::DOUBLE AS p0 FROM part)
 SELECT p_partkey, CASE WHEN size >= 2 AND s >= 1 AND s <= t AND s / t > p0 THEN round(lgamma(s + 0.5) + lgamma(t - s + 0.5) - lgamma(t + 1) - ln(pi()) - s * ln(p0) - CASE WHEN t > s THEN (t - s) * ln(1 - p0) ELSE 0 END, 5) END AS evidence FROM p""",
-    "job_expansion": """SELECT c || '__' || t || '__n' || n AS dataset_id, m AS method, s::BIGINT AS seed, n::BIGINT AS n
-FROM (VALUES ('moons_2d'), ('rings_2d')) cases(c), (VALUES ('quality')) tiers(t), (VALUES (500), (1000)) sizes(n), (VALUES ('strata'), ('dbscan')) methods(m), (VALUES (42), (43)) seeds(s)""",
+    "job_expansion": """WITH j AS (SELECT c || '__' || t || '__n' || n AS dataset_id, m AS method, s::BIGINT AS seed, n::BIGINT AS n,
+       '{"dataset":{"dimension":2,"family":"' || f || '","id":"' || c || '","n":' || n || ',"noise_fraction":0.5,"tier":"' || t || '"},"dataset_id":"' || c || '__' || t || '__n' || n || '","method":"' || m || '","protocol_version":"query","schema_version":1,"seed":' || s || ',"suite":"synthetic"}' AS job
+FROM (VALUES ('moons_2d', 'moons'), ('rings_2d', 'rings')) cases(c, f), (VALUES ('quality')) tiers(t), (VALUES (500), (1000)) sizes(n), (VALUES ('strata'), ('dbscan')) methods(m), (VALUES (42), (43)) seeds(s))
+SELECT dataset_id, method, seed, n, sha256(job)[1:12] AS digest FROM j""",
     "synthetic_family": "SELECT * FROM (VALUES (-1::BIGINT, 15000::BIGINT), (0, {0}), (1, {1}), (2, {2}), (3, {3}), (4, {4}), (5, {5})) t(y, n)".format(*synthetic.multidensity_2d(20_000, seed=42).counts[:-1]),
 }

@@ -1,3 +1,5 @@
+import hashlib
+import json
 """The engine's operators against brute force and closed forms."""
 
 import math
@@ -319,27 +321,6 @@ def test_approximate_graph_finds_neighbours_in_a_dense_clump(spark):
     assert knn.recall(approx, exact, 8) > 0.99
 
 
-def test_queries_over_all_orders_and_customers(spark):
-    import __spark_entry__ as e
-
-    sf = "/root/testdata/sf0.001"
-    orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey", "o_orderkey").collect()
-    root = {}
-
-    def find(v):
-        while root.setdefault(v, v) != v:
-            v = root[v]
-        return v
-
-    for c, o in orders:
-        a, b = find(c * 2), find(o * 2 + 1)
-        root[max(a, b)] = min(a, b)
-    assert {r["id"]: r["component"] for r in e.queries()["connected_orders"](spark, sf).collect()} == {v: find(v) for v in list(root)}
-    ids = [r[0] for r in spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey").collect()]
-    got = e.queries()["follow_all_parents"](spark, sf).collect()
-    assert {r["id"]: r["root"] for r in got} == {i: i if i < 10 else i // 10 * 10 for i in ids} and len(got) == len(ids)
-
-
 def test_curve_is_whole_at_every_size(spark, monkeypatch):
     rng = np.random.default_rng(5)
     y = np.concatenate([rng.gamma(9, 0.02 * s, m) for s, m in ((1, 90_000), (8, 2_000), (30, 60_000), (80, 700), (200, 30_000))])
@@ -465,10 +446,10 @@ def test_components_paths_agree(spark, monkeypatch):
 
 
 def test_jobs(spark, tmp_path):
-    jobs = benchmark.expand_jobs(benchmark.QUERY_PROTOCOL, "synthetic")
+    jobs = benchmark.expand_jobs(spark, benchmark.QUERY_PROTOCOL, "synthetic")
     assert len(jobs) == 16 and len({j["job_id"] for j in jobs}) == 16
     fixed = dict(benchmark.QUERY_PROTOCOL, synthetic=dict(benchmark.QUERY_PROTOCOL["synthetic"], size_mode="fixed_signal_count"))
-    assert {j["dataset"]["n"] for j in benchmark.expand_jobs(fixed, "synthetic")} == {1000, 2000}
+    assert {j["dataset"]["n"] for j in benchmark.expand_jobs(spark, fixed, "synthetic")} == {1000, 2000}
     assert benchmark.select_jobs(jobs, ["# all", jobs[0]["job_id"]]) == [jobs[0]]
     with pytest.raises(ValueError):
         benchmark.select_jobs(jobs, ["other"])
@@ -484,9 +465,68 @@ def test_jobs(spark, tmp_path):
     frame_ = benchmark.results_frame(spark, [result])
     assert benchmark.compare(frame_, frame_)["verdict"].startswith("unchanged")
     assert "| synthetic | dbscan | 1 |" in benchmark.report(frame_, report)
-    a, b = benchmark.example_results(spark)
-    assert benchmark.compare(a, b)["verdict"] == "improved_slower"
+    assert result["resources"]["peak_resident_mb"] > 0
+    assert benchmark.run_with_limit(spark, job, 300, memory_mb=1)["status"] == "memory_limit"
+    assert benchmark.missing_modules(["dbscan", "other"]) == {"other": ["unknown method"]}
+    assert benchmark.drift(spark, {"a": "1", "b": "2"}, {"b": "3", "c": "4"}) == {"added": ["c"], "removed": ["a"], "changed": ["b"]}
+
+
+RESULT = "suite string, dataset_id string, method string, seed long, status string, quality double, runtime_seconds double"
+
+
+def test_verdicts(spark):
+    rows = [("synthetic", f"d{i}", "strata", 42, "ok" if i % 5 else "error", i / 10, 1.0 + i) for i in range(10)]
+    rows += [("gaia", "g", "strata", 42, "ok", 0.5, 0.0)]
+    a = spark.createDataFrame(rows, RESULT)
+    b = spark.createDataFrame([(*r[:5], r[5] + 0.01, r[6] * 2) for r in rows], RESULT)
+    found = benchmark.compare(a, b)
+    assert found["verdict"] == "improved_slower" and found["paired_jobs"] == 9
+    assert found["by_suite"]["gaia"] == {"pairs": 1, "median_quality_delta": pytest.approx(0.01), "worst_quality_delta": pytest.approx(0.01), "improved_pairs": 1, "regressed_pairs": 0, "median_runtime_ratio": None}
     assert benchmark.compare(b, a)["verdict"] == "regressed"
+    less = benchmark.compare(a, b.where("suite = 'synthetic'"))
+    assert less["verdict"] == "incomparable" and less["missing_current_jobs"] == ["gaia / g / strata / 42"]
+    failed = benchmark.compare(a, a.withColumn("status", F.when(F.col("dataset_id") == "d0", "ok").when(F.col("dataset_id") == "d1", "timeout").otherwise(F.col("status"))))
+    assert failed["verdict"] == "regressed" and failed["new_failures"] == ["synthetic / d1 / strata / 42"] and failed["recovered_jobs"] == ["synthetic / d0 / strata / 42"]
+    none = a.limit(0)
+    assert benchmark.compare(none, none)["verdict"] == "incomparable"
+
+
+def test_jobs_of_all_suites(spark, tmp_path):
+    for name in ("b", "a", "c d"):
+        (tmp_path / f"gaia_cone_{name}.csv").write_text("source_id\n1\n")
+    for i in (1, 2):
+        (tmp_path / f"ocfinder_table{i}.csv").write_text("Cluster,x\na,1\nb,2\nc d,3\nz,4\n")
+    protocol = benchmark.QUERY_PROTOCOL | {
+        "cytometry": {"datasets": [{"id": "cells", "path": "x.csv", "cofactor": 5}], "seeds": [1, 2]},
+        "gaia": {"data_root": str(tmp_path), "profiles": ["field", "catalog"], "seeds": [41, 42], "ruwe_max": 1.4, "field_selection": {"strategy": "stable_hash", "count": 2, "salt": "s"}},
+    }
+    evaluation = {
+        "schema_version": 1, "protocol_version": "1.0", "matching": {"strategy": "hungarian", "objective": "pairwise_f1", "unmatched_target_score": 0}, "aggregation": {}, "discovery_thresholds": {"purity": 0.9, "coverage": 0.1},
+        "fragment_min_target_fraction": 0.05, "failure_policy": "zero", "suites": {"synthetic": {"mode": "full_partition"}, "cytometry": {}, "gaia": {"dataset_overrides": {"a__field": {"mode": "full_partition"}}}},
+    }
+    jobs = benchmark.expand_jobs(spark, protocol, "all", evaluation)
+    by = {s: [j for j in jobs if j["suite"] == s] for s in benchmark.SUITES}
+    assert len(by["synthetic"]) == 16
+    # what draws runs with each seed, the rest once
+    assert {(j["method"], j["seed"]) for j in by["cytometry"]} == {("strata", 1), ("strata", 2), ("dbscan", 1)}
+    wanted = sorted(["a", "b", "c d"], key=lambda f: hashlib.sha256(f"s:{f}".encode()).hexdigest())[:2]
+    assert {j["dataset"]["field_id"] for j in by["gaia"]} == set(wanted) and len(by["gaia"]) == 2 * 2 * 3
+    for j in jobs:
+        bare = {k: v for k, v in j.items() if k != "job_id"}
+        digest = hashlib.sha256(json.dumps(bare, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:12]
+        assert j["job_id"].endswith(f"__{j['seed']}__{digest}") and " " not in j["job_id"]
+        assert metrics.EvaluationConfig.resolve(j["evaluation"], j["suite"]).discovery_purity == 0.9
+    assert all((j["evaluation"].get("mode") == "full_partition") == (j["dataset_id"] == "a__field") for j in by["gaia"])
+    with pytest.raises(ValueError):
+        benchmark.expand_jobs(spark, benchmark.QUERY_PROTOCOL, "gaia")
+    with pytest.raises(ValueError):
+        benchmark.check_protocol({"schema_version": 1})
+    with pytest.raises(TypeError):
+        benchmark.check_evaluation_protocol(evaluation | {"fragment_min_target_fraction": "x"})
+    with pytest.raises(ValueError):
+        benchmark.check_evaluation_protocol(evaluation | {"suites": {}})
+    (tmp_path / "p.json").write_text(json.dumps(protocol))
+    assert benchmark.main(["--protocol", str(tmp_path / "p.json"), "--output", str(tmp_path / "out"), "--dry-run"]) == 0
 
 
 def test_entry(spark):
