@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import map_in_arrow, materialize, release, ship
-from .common import Words, grams, mix, text_slices
+from .common import Words, grams, join_hot, mix, small, text_slices
 
 COORDINATES = 64
 BRANCHES = 2
@@ -36,11 +36,7 @@ KEEPS = 0.6
 BLOCK = 1024
 #: Columns of the matrix of sets that a comparison multiplies at a time.
 VOCABULARY = 2048
-#: Rows of one key that make it a hot one, which is joined by broadcast.
-HOT_ROWS = 1000
 PARTS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
-#: Rows of a few numbers that are broadcast at most.
-BROADCAST_ROWS = 1_000_000
 #: Bytes kept of a shingle's hash in stored sets.
 HASH_BYTES = 6
 
@@ -181,8 +177,8 @@ def _pairs_in_small(buckets: DataFrame, threshold: float) -> DataFrame:
                 old = len(rest[0]) if rest is not None else 0
                 i = np.flatnonzero(path[:-k] == path[k:])
                 i = i[i + k >= old]
-                small, great = np.minimum(size[i], size[i + k]), np.maximum(size[i], size[i + k])
-                i = i[(small >= threshold * great - 1e-9) & ((group[i] != group[i + k]) | (group[i] == 0)) & (own[i] != own[i + k])]
+                least, great = np.minimum(size[i], size[i + k]), np.maximum(size[i], size[i + k])
+                i = i[(least >= threshold * great - 1e-9) & ((group[i] != group[i + k]) | (group[i] == 0)) & (own[i] != own[i + k])]
                 if len(i):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own[i], own[i + k])), pa.array(np.maximum(own[i], own[i + k]))], names=["a", "b"])
             last = max(0, len(path) - SMALL)
@@ -284,7 +280,7 @@ def _dense_links(members: DataFrame, threshold: float, edges: DataFrame | None)
         placed = placed.withColumn("part", F.col("class"))
         others = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0)))
     else:
-        placed = placed.where("blocks > 1 AND block > 0").join(_small(edges.select(F.col("node").alias("class"), "label")), "class", "left").withColumn("part", F.coalesce("label", "class"))
+        placed = placed.where("blocks > 1 AND block > 0").join(small(edges.select(F.col("node").alias("class"), "label")), "class", "left").withColumn("part", F.coalesce("label", "class"))
         others = F.sequence(F.lit(1), F.col("blocks") - 1)
     spread = placed.withColumn("other", F.explode(others))
     keyed = spread.select("group", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "class", "part", "shingles")
@@ -332,40 +328,40 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
     first = materialize(per_class.select("class", "s.signature", "s.size", "n_copies", "first_id"), "jaccard-classes")
     runs = runs_for(recall, threshold)
 
-    small, dense = [], []
+    brute, dense = [], []
     level = _paths(first, runs).withColumn("above_n", F.lit(None).cast("long"))
     for depth in range(DEPTH, MAX_DEPTH + 1):
         level = materialize(level, "jaccard-paths")
         counts = level.groupBy("path").agg(F.count("*").alias("n"), F.max("above_n").alias("above_n")).where("n > 1")
         counts = materialize(counts, "jaccard-counts")
-        buckets = materialize(level.drop("above_n").join(_small(counts), "path"), "jaccard-buckets")
+        buckets = materialize(level.drop("above_n").join(small(counts), "path"), "jaccard-buckets")
         is_dense = (F.col("n") > SMALL) & (F.lit(depth == MAX_DEPTH) | (F.coalesce(F.col("n") >= KEEPS * F.col("above_n"), F.lit(False))))
-        small.append(buckets.where(F.col("n") <= SMALL).select("path", "class", "size"))
+        brute.append(buckets.where(F.col("n") <= SMALL).select("path", "class", "size"))
         dense.append(buckets.where(is_dense).select("path", "class"))
         if depth == MAX_DEPTH or not counts.where(F.col("n") > SMALL).limit(1).count():
             break
-        large = first.select("class", "signature").join(_small(buckets.where((F.col("n") > SMALL) & ~is_dense)), "class")
+        large = first.select("class", "signature").join(small(buckets.where((F.col("n") > SMALL) & ~is_dense)), "class")
         above = counts.select(F.col("path").alias("above"), F.col("n").alias("above_n"))
-        level = _split(large).join(_small(above), "above").drop("above")
+        level = _split(large).join(small(above), "above").drop("above")
 
     grouped = _dense_groups(dense)
     sets = known.select("class", "shingles", "doc_id")
     dense_links = spark.createDataFrame([], "a long, b long, links long")
     if grouped is not None:
         total = grouped.groupBy("group").agg(F.count("*").alias("n"))
-        inside = _one_set(sets.join(_small(grouped), "class")).join(_small(grouped), "class").join(_small(materialize(total, "jaccard-totals")), "group")
+        inside = _one_set(sets.join(small(grouped), "class")).join(small(grouped), "class").join(small(materialize(total, "jaccard-totals")), "group")
         inside = materialize(inside, "jaccard-dense-sets")
         dense_links = materialize(_dense_links(inside, threshold, None), "jaccard-dense")
         if inside.where(F.col("n") > BLOCK).limit(1).count():
             joined = components(dense_links.where("links = 0"), "jaccard-dense")
             dense_links = dense_links.unionByName(materialize(_dense_links(inside, threshold, joined), "jaccard-dense"))
-    rows = small[0]
-    for s in small[1:]:
+    rows = brute[0]
+    for s in brute[1:]:
         rows = rows.unionByName(s)
-    rows = rows.join(_small(grouped), "class", "left").withColumn("group", F.coalesce("group", F.lit(0))) if grouped is not None else rows.withColumn("group", F.lit(0).cast("long"))
+    rows = rows.join(small(grouped), "class", "left").withColumn("group", F.coalesce("group", F.lit(0))) if grouped is not None else rows.withColumn("group", F.lit(0).cast("long"))
     found = materialize(_pairs_in_small(rows.repartition(F.col("path")).sortWithinPartitions("path"), threshold).distinct(), "jaccard-candidates")
     wanted = found.select(F.col("a").alias("class")).union(found.select(F.col("b").alias("class"))).distinct()
-    some = materialize(_one_set(sets.join(_small(materialize(wanted, "jaccard-wanted")), "class")), "jaccard-sets")
+    some = materialize(_one_set(sets.join(small(materialize(wanted, "jaccard-wanted")), "class")), "jaccard-sets")
     full = found.join(some.select(F.col("class").alias("a"), F.col("shingles").alias("set_a")), "a").join(some.select(F.col("class").alias("b"), F.col("shingles").alias("set_b")), "b")
     links = materialize(_verify(full, threshold), "jaccard-links")
 
@@ -378,25 +374,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
     heads = table.groupBy("group_class").agg(F.min("first_id").alias("class_id"), F.count("*").alias("n"))
     heads = materialize(heads.where("n > 1"), "jaccard-heads")
     alone = F.coalesce("class_id", "first_id").alias("class_id")
-    table = materialize(_join_hot(table, heads, "group_class").select("class", "group_class", alone, "n_links", "n_copies"), "jaccard-table")
-    return _join_hot(sketch.select("doc_id", "class"), table.withColumn("n", F.col("n_copies")), "class"), links, dense_links
-
-
-def _join_hot(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
-    """rows left-joined to values, which has each key once and in n how many rows it has here.
-
-    Keys of HOT_ROWS and more don't meet in one task: they are at most a HOT_ROWS-th of the rows, and are
-    broadcast if their number is below BROADCAST_ROWS.
-    """
-    given = [c for c in values.columns if c != "n"]
-    hot = _small(values.where(F.col("n") >= HOT_ROWS).select(*given))
-    rest = rows.join(hot.select(key), key, "left_anti").join(values.where(F.col("n") < HOT_ROWS).select(*given), key, "left")
-    return rest.unionByName(rows.join(hot, key))
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it has BROADCAST_ROWS narrow rows at most; else Spark joins by shuffle."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    table = materialize(join_hot(table, heads, ["group_class"]).select("class", "group_class", alone, "n_links", "n_copies"), "jaccard-table")
+    return join_hot(sketch.select("doc_id", "class"), table.withColumn("n", F.col("n_copies")), ["class"]), links, dense_links
 
 
 def _one_set(rows: DataFrame) -> DataFrame:
@@ -416,7 +395,7 @@ def _dense_groups(dense: list[DataFrame]) -> DataFrame | None:
     paths = materialize(rows.groupBy("class").agg(F.min("path").alias("root"), F.collect_set("path").alias("paths")), "jaccard-dense-paths")
     edges = paths.select(F.col("root").alias("a"), F.explode("paths").alias("b")).where("a != b")
     labels = components(edges, "jaccard-groups")
-    found = paths.select("class", "root").join(_small(labels.select(F.col("node").alias("root"), "label")), "root", "left")
+    found = paths.select("class", "root").join(small(labels.select(F.col("node").alias("root"), "label")), "root", "left")
     group = F.coalesce("label", "root")
     return materialize(found.select("class", F.when(group == 0, 1).otherwise(group).alias("group")), "jaccard-groups")
 
@@ -434,5 +413,5 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     """docs without the near-duplicates: of each component the least id stays. All columns and rows of kept ids stay, and rows with a null id."""
     kept = near_duplicates(docs, doc_id, text, **options).where("class_id = doc_id").select(F.col("doc_id").alias("__kept_id")).distinct()
     # beyond the checked size the texts travel to the ids instead
-    kept = _small(materialize(kept, "jaccard-kept"))
+    kept = small(materialize(kept, "jaccard-kept"))
     return docs.join(kept, F.col(doc_id) == F.col("__kept_id"), "left_semi").unionByName(docs.where(F.col(doc_id).isNull()))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space of the word rule `[^\x20\x09-\x0D]+`.
@@ -12,6 +12,11 @@ SPACE = " \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SPACE_PATTERN = r"[\x20\x09-\x0D]+"
 
+#: Rows of a few numbers that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
+#: Rows of one key that make it a hot one, which is joined by broadcast.
+HOT_ROWS = 1000
+
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _MASK = (1 << 64) - 1
@@ -95,6 +100,23 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has BROADCAST_ROWS narrow rows at most; else Spark joins by shuffle."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def join_hot(rows: DataFrame, values: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """rows joined to values, which has each key once and in n how many rows it has here. how: left or inner.
+
+    Keys of HOT_ROWS and more don't meet in one task: they are at most a HOT_ROWS-th of the rows, and are
+    broadcast if their number is BROADCAST_ROWS or less.
+    """
+    given = [c for c in values.columns if c != "n"]
+    hot = small(values.where(F.col("n") >= HOT_ROWS).select(*given))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(values.where(F.col("n") < HOT_ROWS).select(*given), keys, how)
+    return rest.unionByName(rows.join(hot, keys))
+
+
 def text_slices(column: pa.Array, max_bytes: int = 2 << 20):
     """(first row, data, offsets) of runs of rows of about max_bytes; a longer text comes alone. Nulls are empty."""
     if column.null_count:

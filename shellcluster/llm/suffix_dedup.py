@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialize, ship
-from .common import Words, grams, mix, text_slices
+from ..runtime import map_in_arrow, materialize, ship
+from .common import Words, grams, join_hot, mix, text_slices
 
 WINDOW = 20
 GRAM = 8
@@ -34,7 +34,9 @@ PASS_ANCHORS = BITS // 8
 FREQUENT = 256
 #: Words of a shard's automaton, about.
 SHARD_WORDS = 20_000
-#: Null ids stand before all others.
+#: Windows of frequent anchors that a task remembers having sent.
+SENT = 200_000
+#: Null ids stand before all others, as this one.
 NO_ID = -(1 << 63)
 
 
@@ -94,9 +96,10 @@ def _scan(docs: DataFrame, make, schema: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, h = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             for at, data, offsets in text_slices(batch.column(1)):
-                found = make(ids[at : at + len(offsets) - 1], Anchored(data, offsets, WINDOW, GRAM))
+                own = slice(at, at + len(offsets) - 1)
+                found = make(ids[own], h[own], Anchored(data, offsets, WINDOW, GRAM))
                 if len(found[0]):
                     yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in found], names=names)
 
@@ -223,7 +226,7 @@ def _verdicts(segments: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return segments.mapInArrow(run, "key long, sequence long, doc long, text_key long, anchor long, mask long")
+    return map_in_arrow(segments, run, "key long, sequence long, doc long, text_key long, anchor long, mask long")
 
 
 def _runs(a: Anchored, repeated: np.ndarray, frequent: np.ndarray, which: int, passes: int):
@@ -248,24 +251,25 @@ def _runs(a: Anchored, repeated: np.ndarray, frequent: np.ndarray, which: int, p
 
 
 def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and cuts (array of (text_key, low, mask, all)): the windows of each document to remove; documents without any have no row.
+    """doc, h and cuts (array of (low, mask, whole)): the windows of each document to remove; documents without any have no row.
 
-    A window that starts at word low + j goes if all is true or bit j of mask is set. text_key tells
-    rows of one id apart. See deduplicate for nulls and ties.
+    doc: the id, NO_ID for a null one; h: a hash of the text, which tells rows of one id apart. A window
+    that starts at word low + j goes if bit j of mask is set; where whole isn't 0 all of them go. See
+    deduplicate for nulls and ties.
     """
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text).alias("text")).where("text IS NOT NULL")
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text).alias("text"), F.xxhash64(text).alias("h")).where("text IS NOT NULL")
 
-    def texts(ids, a):
+    def texts(ids, h, a):
         long = a.count >= WINDOW
-        return [ids[long], a.key[long], a.count[long].astype(np.int64)]
+        return [ids[long], h[long], a.key[long], a.count[long].astype(np.int64)]
 
-    whole = materialize(_scan(rows, texts, "doc long, text_key long, n long"), "spans-texts").distinct()
-    first = whole.groupBy("text_key").agg(F.min("doc").alias("first"))
-    copies = whole.join(first, "text_key").where("doc > first")
+    whole = materialize(_scan(rows, texts, "doc long, h long, text_key long, words long").distinct(), "spans-texts")
+    first = materialize(whole.groupBy("text_key").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1"), "spans-firsts")
+    copies = join_hot(whole, first, ["text_key"], "inner").where("doc > first")
 
-    def anchors(ids, a):
+    def anchors(ids, h, a):
         # of each document once, so the counts don't depend on copies
         key = a.key[a.doc]
         order = np.lexsort((key, a.hash))
@@ -285,12 +289,14 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     repeated = materialize(counted.where("again OR a != b").select("anchor", "n"), "spans-anchors")
     passes = max(1, -(-repeated.count() // PASS_ANCHORS))
 
-    cuts = copies.select("doc", "text_key", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("mask"), F.col("n").alias("whole"))
+    cuts = copies.select("doc", "h", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("mask"), F.col("words").alias("whole"))
     for which in range(passes):
         own = _positions(repeated, which, passes)
         shared = spark.sparkContext.broadcast((_bitmap(own.select("bit")), _bitmap(own.where(F.col("n") >= FREQUENT).select("bit"))))
 
-        def segments(ids, a, which=which, shared=shared):
+        sent: dict[int, tuple] = {}  # each task has its own
+
+        def segments(ids, _, a, which=which, shared=shared, sent=sent):
             doc, anchor, low, high, key, sequence, words, total = _runs(a, *shared.value, which, passes)
             base = a.first[doc]
             # equal segments of a slice: the first one stands for them
@@ -298,6 +304,17 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
             new = np.ones(len(order), bool)
             new[1:] = (key[order][1:] != key[order][:-1]) | (sequence[order][1:] != sequence[order][:-1])
             pick = order[new]
+            # a window of a frequent anchor is in nearly every slice: a task sends it again only where it has found an earlier place
+            keep = np.ones(len(pick), bool)
+            for i in np.flatnonzero(key[pick] == sequence[pick]).tolist():
+                j = pick[i]
+                place, window = (int(ids[doc[j]]), int(a.key[doc[j]]), int(anchor[j] - base[j])), int(key[j])
+                keep[i] = window not in sent or place < sent[window]
+                if keep[i]:
+                    sent[window] = place
+            if len(sent) > SENT:
+                sent.clear()
+            pick = pick[keep]
             size = np.diff(total)[pick]
             bounds = np.concatenate([[0], np.cumsum(size)])
             body = words[np.repeat(total[:-1][pick], size) + np.arange(bounds[-1]) - np.repeat(bounds[:-1], size)]
@@ -310,16 +327,18 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         ordered = distinct.select("key", "segment", "sequence", "p.doc", "p.text_key", "p.anchor").sortWithinPartitions("key", "doc", "text_key", "anchor")
         verdicts = materialize(_verdicts(ordered).select("key", "sequence", F.col("doc").alias("first_doc"), F.col("text_key").alias("first_key"), F.col("anchor").alias("first_anchor"), "mask"), "spans-verdicts")
 
-        def places(ids, a, which=which, shared=shared):
+        def places(ids, h, a, which=which, shared=shared):
             doc, anchor, low, high, key, sequence, _, _ = _runs(a, *shared.value, which, passes)
             base = a.first[doc]
-            return [key.view(np.int64), sequence.view(np.int64), ids[doc], a.key[doc], anchor - base, low - base, high - low + 1]
+            return [key.view(np.int64), sequence.view(np.int64), ids[doc], h[doc], a.key[doc], anchor - base, low - base, high - low + 1]
 
-        at = _scan(rows, places, "key long, sequence long, doc long, text_key long, anchor long, low long, n long")
+        # a passage of many documents is a key of many rows here: adaptive execution splits the side of the places
+        at = _scan(rows, places, "key long, sequence long, doc long, h long, text_key long, anchor long, low long, n long")
         is_first = F.expr("doc = first_doc AND text_key = first_key AND anchor = first_anchor")
         hit = at.join(verdicts, ["key", "sequence"]).withColumn("gone", F.when(is_first, F.col("mask")).otherwise(F.expr("shiftleft(1L, cast(n AS int)) - 1L")))
-        cuts = cuts.unionByName(hit.where("gone != 0").select("doc", "text_key", "low", F.col("gone").alias("mask"), F.lit(0).cast("long").alias("whole")))
-    grouped = cuts.groupBy("doc").agg(F.collect_list(F.struct("text_key", "low", "mask", "whole")).alias("cuts"))
+        cuts = cuts.unionByName(hit.where("gone != 0").select("doc", "h", "low", F.col("gone").alias("mask"), F.lit(0).cast("long").alias("whole")))
+    # a set: rows equal in id and text have the same cuts
+    grouped = cuts.groupBy("doc", "h").agg(F.collect_set(F.struct("low", "mask", "whole")).alias("cuts"))
     return materialize(grouped, "spans-cuts")
 
 
@@ -330,7 +349,7 @@ def _positions(repeated: DataFrame, which: int, passes: int) -> DataFrame:
             own = _pass_of(h, passes) == which
             yield pa.RecordBatch.from_arrays([pa.array(_bit(h[own])), pa.array(batch.column(1).to_numpy()[own])], names=["bit", "n"])
 
-    return repeated.mapInArrow(run, "bit long, n long")
+    return map_in_arrow(repeated, run, "bit long, n long")
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
@@ -344,7 +363,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wit
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     cuts = spans(docs, doc_id, text)
-    joined = rows.withColumn("doc", F.coalesce("doc_id", F.lit(NO_ID))).join(cuts, "doc", "left").select("doc_id", "text", "cuts")
+    joined = rows.withColumns({"doc": F.coalesce("doc_id", F.lit(NO_ID)), "h": F.xxhash64("text")}).join(cuts, ["doc", "h"], "left").select("doc_id", "text", "cuts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -357,8 +376,6 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wit
                     lo, n = int(a.first[i]), int(a.count[i])
                     gone = np.zeros(n + 1, np.int32)
                     for c in found or ():
-                        if c["text_key"] != a.key[i]:
-                            continue
                         if c["whole"]:
                             gone[0] += 1
                         mask, at_word = c["mask"], c["low"]
@@ -377,4 +394,4 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wit
                 columns = [batch.column(0).slice(at, len(cuts)), pa.array(a.count, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())] + [pa.array(kept, pa.string())] * with_text
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text)
 
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
+    return map_in_arrow(joined, run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)

@@ -408,7 +408,7 @@ def test_dense_groups_in_blocks(spark, monkeypatch):
     """Chains in which each text is near the next alone, among near copies of one text: with many blocks no link or component is lost."""
     monkeypatch.setattr(chosen_path, "BLOCK", 16)
     monkeypatch.setattr(chosen_path, "SMALL", 2)
-    monkeypatch.setattr(chosen_path, "HOT_ROWS", 7)
+    monkeypatch.setattr(common, "HOT_ROWS", 7)
     rng = np.random.default_rng(10)
     texts = []
     for c in range(3):
@@ -600,3 +600,13 @@ def test_substring_dedup_in_passes(spark, monkeypatch):
     expected = removed([(r["doc_id"], r["text"]) for r in table.collect()])
     got = {(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in suffix_dedup.deduplicate(table, with_text=False).collect()}
     assert got == {(i, *v) for (i, _), v in expected.items()}
+
+
+def test_substring_dedup_of_many_null_ids(spark, monkeypatch):
+    """Rows of null id and one text are one document, however many; a frequent passage meets no single task's array."""
+    monkeypatch.setattr(suffix_dedup, "FREQUENT", 4)
+    t, u = " ".join(f"t{i}" for i in range(30)), " ".join(f"u{i}" for i in range(40))
+    rows = [(None, t)] * 3000 + [(None, u)] + [(i, f"x{i} {t} y{i}") for i in range(40)] + [(50, u)]
+    table = spark.createDataFrame([(i, x, "clash", 3) for i, x in rows], "doc_id long, text string, h string, whole int").repartition(5)
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in suffix_dedup.deduplicate(table, with_text=False).collect())
+    assert got == Counter([(None, 30, 0)] * 3000 + [(None, 40, 0)] + [(i, 32, 30) for i in range(40)] + [(50, 40, 40)])
