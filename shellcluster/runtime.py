@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import contextvars
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -20,6 +22,7 @@ BATCH_ROWS = 2000
 _shipped: set[str] = set()
 _own_dirs: dict[str, str] = {}
 _scopes: dict[str, list[str]] = {}
+_roots: set[str] = set()
 _scope = contextvars.ContextVar("scope", default="")
 
 
@@ -43,25 +46,47 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder all executors share: spark.checkpoint.dir, on the cluster's file system where it names none.
+
+    Where that is unset, a local session gets a temporary folder; on a cluster there would be none that
+    executors share, so it raises.
+    """
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
-        app = spark.sparkContext.applicationId
-        found = _own_dirs.setdefault(app, "") or _own_dirs.update({app: "file://" + tempfile.mkdtemp(prefix="shellcluster-shared-")}) or _own_dirs[app]
-    return found if "://" in found or found.startswith("file:") else "file://" + os.path.abspath(found)
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        if sc.applicationId not in _own_dirs:
+            _own_dirs[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="shellcluster-shared-")
+        return _own_dirs[sc.applicationId]
+    path = sc._jvm.org.apache.hadoop.fs.Path(found)
+    return path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; it belongs to the current scope."""
-    path = f"{shared_dir(spark).rstrip('/')}/shellcluster/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    root = f"{shared_dir(spark).rstrip('/')}/shellcluster/{spark.sparkContext.applicationId}"
+    if root not in _roots:
+        _roots.add(root)
+        atexit.register(_delete_at_exit, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), root)
+    path = f"{root}/{name}-{uuid.uuid4().hex[:12]}"
     _scopes.setdefault(_scope.get(), []).append(path)
     return path
 
 
+def _delete_at_exit(jvm, conf, root: str) -> None:
+    # results may be read until then; a driver that dies leaves its folder, as it leaves its checkpoints
+    with contextlib.suppress(Exception):
+        _delete(jvm, conf, root)
+
+
 def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
+    _delete(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path)
+
+
+def _delete(jvm, conf, path: str) -> None:
     target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    target.getFileSystem(conf).delete(target, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
