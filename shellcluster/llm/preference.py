@@ -9,9 +9,13 @@ TURN = "array<struct<role:string,text:string>>"
 
 
 def turns(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """conv_id and turns: the turns of each conversation in order; nulls first, ties by role, then text. Null ids are one conversation."""
+    """conv_id and turns: the turns of each conversation in order; nulls first, ties by role, then text.
+
+    Rows without an id belong to no conversation and have no part in the result: all of them together
+    would be one group without bound. A conversation is as large as its turns.
+    """
     packed = F.sort_array(F.collect_list(F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))))
-    return rows.groupBy(F.col(conv_id).alias("conv_id")).agg(F.transform(packed, lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
+    return rows.where(F.col(conv_id).isNotNull()).groupBy(F.col(conv_id).alias("conv_id")).agg(F.transform(packed, lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
 
 
 def _render(turn: Column) -> Column:

@@ -111,7 +111,7 @@ def _spans_sql(part: str) -> str:
 
 ORACLE_SQL: dict[str, str] = {
     "op2_preference": f"""
-WITH c AS (SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS t FROM conversations GROUP BY conv_id),
+WITH c AS (SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS t FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
 l AS (SELECT conv_id, t, list_max(list_filter(range(1, len(t) + 1), lambda i: t[i].role = 'assistant')) AS z,
              list_min(list_filter(range(1, len(t) + 1), lambda i: t[i].role = 'assistant')) AS a FROM c),
 p AS (SELECT conv_id, t[1:z] AS chosen, list_append(t[1:z - 1], t[a]) AS rejected, z FROM l WHERE z IS NOT NULL AND t[z] IS DISTINCT FROM t[a]),
