@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import special
 from ..runtime import materialize, ship
 from . import density, knn
-from .components import connected_components, dense_labels, with_position
+from .components import connected_components, dense_labels, quantile, with_position
 
 #: Rows that a sequential method takes at most.
 SEQUENTIAL_ROWS = 200_000
@@ -45,7 +45,7 @@ def _rank_distances(points: DataFrame, rank: int) -> DataFrame:
 
 
 def _quantile(d: DataFrame, q: float) -> float:
-    return float(d.select(F.percentile("d", q)).first()[0])
+    return quantile(d, "d", q)
 
 
 def _placed_values(d: DataFrame) -> tuple[DataFrame, int]:

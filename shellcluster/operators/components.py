@@ -11,6 +11,8 @@ from ..runtime import materialize
 
 #: Edges up to which components are found on the driver.
 LOCAL_EDGES = 2_000_000
+#: Values that one task holds for an exact quantile.
+EXACT_ROWS = 4_000_000
 
 
 def label_edges(a: np.ndarray, b: np.ndarray, nodes: np.ndarray) -> np.ndarray:
@@ -53,6 +55,33 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
+def quantile(df: DataFrame, value: Column | str, q: float) -> float | None:
+    """The exact quantile of all values, with linear interpolation; nulls and NaN don't count, and without values there is none.
+
+    One task never holds more than EXACT_ROWS different values: beyond, passes narrow an interval around
+    the wanted place by approximate quantiles and exact counts, until few enough are left.
+    """
+    v = (F.col(value) if isinstance(value, str) else value).cast("double")
+    part = df.select(v.alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    inside, before = part.count(), 0
+    if not inside:
+        return None
+    rank, reach = q * (inside - 1), 0.01
+    while inside > EXACT_ROWS:
+        at = (rank - before) / (inside - 1)
+        low, high = part.approxQuantile("v", [max(0.0, at - reach), min(1.0, at + reach)], reach / 4)
+        under, upto = part.agg(F.count_if(F.col("v") < low), F.count_if(F.col("v") <= high)).first()
+        if before + under > int(rank) or before + upto <= min(int(rank) + 1, before + inside - 1):
+            reach *= 2
+            continue
+        if low == high:
+            return low
+        if upto - under == inside:  # ties: few different values
+            break
+        part, before, inside = part.where(F.col("v").between(low, high)), before + under, upto - under
+    return float(part.select(F.percentile("v", min(1.0, max(0.0, (rank - before) / max(1, inside - 1))))).first()[0])
+
+
 def with_position(df: DataFrame, *order: Column | str, name: str = "pos") -> DataFrame:
     """df with its row's place in the order, from 0: range partitions are counted, then numbered; no task sorts all rows."""
     columns = [F.col(o) if isinstance(o, str) else o for o in order]

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import special
+from .components import quantile
 
 RANKS = (4, 8, 16, 32)
 _TINY32 = float(np.finfo(np.float32).tiny)
@@ -43,7 +44,7 @@ def shell_volumes(graph: DataFrame, ranks: Sequence[int] = RANKS, dimension: flo
     of a row's log density that no component changes.
     """
     shapes = np.diff(np.concatenate([[0], ranks])).astype(float)
-    center = graph.select(F.percentile(_log_distance(ranks[0], special.TINY), 0.5)).first()[0] or 0.0
+    center = quantile(graph, _log_distance(ranks[0], special.TINY), 0.5) or 0.0
     volume = [F.exp(F.greatest(F.least(F.lit(float(dimension)) * (_log_distance(r, special.TINY) - float(center)), F.lit(60.0)), F.lit(-60.0))) for r in ranks]
     shells = F.array(*[F.greatest(b - a, F.lit(special.TINY)) for a, b in zip([F.lit(0.0), *volume], volume, strict=False)])
     constant = -sum(float(special.math.lgamma(a)) for a in shapes)
@@ -63,8 +64,8 @@ def intrinsic_dimension(graph: DataFrame) -> float:
     """Median over rows of the nearest-neighbour maximum-likelihood dimension; 1 without usable rows."""
     logs = F.expr(f"aggregate(slice(dist, 1, size(dist) - 1), 0D, (s, d) -> s + ln(greatest(cast(element_at(dist, -1) AS double), {special.TINY!r}) / greatest(cast(d AS double), {special.TINY!r})))")
     local = (F.size("dist") - 1.0) / F.greatest(logs, F.lit(special.TINY))
-    found = graph.select(local.alias("m")).where((F.col("m") > 0) & (F.col("m") < float("inf"))).select(F.percentile("m", 0.5)).first()[0]
-    return float(found) if found is not None else 1.0
+    found = quantile(graph.select(local.alias("m")).where((F.col("m") > 0) & (F.col("m") < float("inf"))), "m", 0.5)
+    return found if found is not None else 1.0
 
 
 def boundary_log_terms(graph: DataFrame, dimension: float, rank: int, k: int) -> DataFrame:

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.components import with_position
+from ..operators.components import quantile, with_position
 
 
 @dataclass
@@ -32,8 +32,8 @@ def finite(c: Column) -> Column:
 def robust_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Columns less their median, over 1.4826 times their median absolute deviation; a scale under 1e-8 counts as 1. Nulls and NaN are ignored in both."""
     clean = {c: F.when(F.isnan(F.col(c).cast("double")), None).otherwise(F.col(c).cast("double")) for c in columns}
-    medians = df.agg(*[F.percentile(clean[c], 0.5).alias(c) for c in columns]).first()
-    spread = df.agg(*[F.percentile(F.abs(clean[c] - F.lit(medians[c])), 0.5).alias(c) for c in columns]).first()
+    medians = {c: quantile(df, clean[c], 0.5) for c in columns}
+    spread = {c: quantile(df, F.abs(clean[c] - F.lit(medians[c])), 0.5) for c in columns}
     scale = {c: 1.4826 * (spread[c] or 0.0) for c in columns}
     return df.withColumns({c: (F.col(c).cast("double") - F.lit(medians[c])) / (scale[c] if scale[c] >= 1e-8 else 1.0) for c in columns})
 
@@ -93,7 +93,7 @@ def star_cone(spark: SparkSession, cone: str, clusters: str, members: str, field
     if stars.limit(33).count() < 33:
         raise ValueError("at least 33 usable stars are needed")
     if profile == "field":
-        center = stars.agg(*[F.percentile(c, 0.5).alias(c) for c in SKY[:5]]).first().asDict()
+        center = {c: quantile(stars, c, 0.5) for c in SKY[:5]}
     else:
         row = spark.read.csv(clusters, header=True).where(F.col("Cluster") == field_name).first()
         if row is None:

@@ -321,6 +321,17 @@ def test_approximate_graph_finds_neighbours_in_a_dense_clump(spark):
     assert knn.recall(approx, exact, 8) > 0.99
 
 
+@pytest.mark.parametrize("kind", ["spread", "ties", "mixed"])
+def test_quantiles_by_narrowing(spark, monkeypatch, kind):
+    rng = np.random.default_rng(3)
+    x = {"spread": rng.lognormal(0, 3, 3000), "ties": rng.integers(0, 3, 3000) * 1.0, "mixed": np.concatenate([np.full(1500, 2.0), rng.normal(2, 1, 1500)])}[kind]
+    rows = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "d double").repartition(5).cache()
+    monkeypatch.setattr(components, "EXACT_ROWS", 40)
+    for q in (0.0, 0.25, 0.5, 0.9, 1.0):
+        assert components.quantile(rows, "d", q) == pytest.approx(float(np.quantile(x, q)), rel=1e-12)
+    assert components.quantile(rows.limit(0), "d", 0.5) is None
+
+
 def test_curve_is_whole_at_every_size(spark, monkeypatch):
     rng = np.random.default_rng(5)
     y = np.concatenate([rng.gamma(9, 0.02 * s, m) for s, m in ((1, 90_000), (8, 2_000), (30, 60_000), (80, 700), (200, 30_000))])
