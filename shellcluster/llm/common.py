@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import at_release
+
 #: White space of the word rule `[^\x20\x09-\x0D]+`.
 SPACE = " \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -45,6 +47,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 _BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 _powers: dict[str, np.ndarray] = {}
+at_release.append(_powers.clear)
 
 
 def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +120,7 @@ def join_hot(rows: DataFrame, values: DataFrame, keys: list[str], how: str = "le
     return rest.unionByName(rows.join(hot, keys))
 
 
-def text_slices(column: pa.Array, max_bytes: int = 2 << 20):
+def text_slices(column: pa.Array, max_bytes: int = (2 << 20) - 1):
     """(first row, data, offsets) of runs of rows of about max_bytes; a longer text comes alone. Nulls are empty."""
     if column.null_count:
         column = column.fill_null("")

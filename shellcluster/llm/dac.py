@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..runtime import materialize, scratch_path, ship
+from ..runtime import map_in_arrow, materialize, scratch_path, ship
 from .common import text_slices
 
 MAGIC = b"DACODES1"
@@ -290,7 +290,7 @@ def write(docs: DataFrame, target: str, tokenizer_json: str, end_id: int = 2, do
         if sizes:
             yield flush()
 
-    index = materialize(ordered.mapInArrow(run, "part int, sequence int, path string, n_docs long, n_ids long"), "dac-index")
+    index = materialize(map_in_arrow(ordered, run, "part int, sequence int, path string, n_docs long, n_ids long"), "dac-index")
     # one total for each part of the shuffle, so that files are counted before no single task
     totals = {r[0]: int(r[1]) for r in index.groupBy("part").agg(F.sum("n_ids")).collect()}
     base, at = [], 0
@@ -320,7 +320,7 @@ def read(spark: SparkSession, index: DataFrame, target: str) -> DataFrame:
     # a fixed number, else the few small rows of the index are read by one task
     tasks = max(1, min(index.count(), 4 * spark.sparkContext.defaultParallelism))
     files = index.select("path", "start").repartition(tasks, "path")
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_in_arrow(files, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 2, target: str | None = None) -> DataFrame:

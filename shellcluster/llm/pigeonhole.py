@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialize, ship
+from ..runtime import at_release, map_in_arrow, materialize, ship
 
 #: Edits allowed for each character of an item.
 ERROR_RATE = 0.05
@@ -135,6 +135,7 @@ class Matcher:
 
 #: What a worker keeps: the matcher of the shard it has had last, by the shard's own name.
 _matchers: dict[tuple[str, float], Matcher] = {}
+at_release.append(_matchers.clear)
 
 
 def _id_type(benchmark: DataFrame, item_id: str) -> str:
@@ -191,7 +192,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "item_id", "distance", "start", "end"])
 
-        part = rows.mapInArrow(run, schema)
+        part = map_in_arrow(rows, run, schema)
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -216,5 +217,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
                 keep = [t is None or not matcher.find(normalize(t)) for t in batch.column(place).to_pylist()]
                 yield batch.filter(pc.fill_null(pa.array(keep, pa.bool_()), True))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_in_arrow(docs, run, docs.schema)
     return docs
