@@ -442,6 +442,28 @@ def test_parts_of_a_block():
         assert (label == expected).all()
 
 
+def test_recall_of_links(spark):
+    """Links of all documents against an inverted index of all shingles."""
+    table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    rows = [(r["doc_id"], r["text"]) for r in table.collect()]
+    sets = [frozenset(hash(x) for x in shingles(t)) for _, t in rows]
+    where = defaultdict(list)
+    for i, own in enumerate(sets):
+        for x in own:
+            where[x].append(i)
+    got = {r["doc_id"]: r["n_links"] for r in chosen_path.near_duplicates(table).collect()}
+    true = found = 0
+    for i, (doc, _) in enumerate(rows):
+        if sets[i]:
+            shared = Counter(j for x in sets[i] for j in where[x])
+            links = len({sets[j] for j, n in shared.items() if sets[j] != sets[i] and n >= 0.8 * (len(sets[i]) + len(sets[j]) - n) - 1e-9})
+            true += links
+            found += min(links, got[doc])
+            assert got[doc] <= links
+    print("recall of links", found, "of", true)
+    assert true > 100 and found >= 0.99 * true
+
+
 def test_keep_one(docs):
     kept = chosen_path.keep_one(docs)
     ids = [r["doc_id"] for r in kept.collect()]
