@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 
 from ..functions import special
 from . import mixture
+from .components import quantile
 from .mixture import MixtureConfig, Parameters, Shells
 
 
@@ -196,9 +197,7 @@ class _Model:
     def quantiles(self, at: list[float]) -> list[float]:
         if self.rows.local:
             return np.quantile(self.rows.score, at).tolist()
-        from pyspark.sql import functions as F
-
-        return list(self.rows.frame.select(F.percentile_approx("score", at, 100_000)).first()[0])
+        return [quantile(self.rows.frame, "score", q) for q in at]
 
     def split(self, fit: HeterogeneousFit):
         """The component of the largest weighted variance of score, cut at its mean; the background stays one component, of its sparser half."""

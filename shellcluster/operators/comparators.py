@@ -528,7 +528,10 @@ def run_xshift(points: DataFrame, profile: str, density_k: int = 62, candidates:
     e = knn.edges(graph, 1, size - 1).join(dense.select(F.col("id").alias("src"), F.col("density").alias("own")), "src").join(dense.select(F.col("id").alias("dst"), F.col("density").alias("other")), "dst")
     up = e.where("other > own").groupBy(F.col("src").alias("id")).agg(F.min_by("dst", "rank").alias("parent"))
     parents = materialize(dense.join(up, "id", "left").select("id", F.coalesce("parent", "id").alias("parent"), "density"), "xshift-parents")
-    roots = parents.where("parent = id").join(unit, "id").orderBy("id").toPandas()
+    modes = materialize(parents.where("parent = id").join(unit, "id"), "xshift-modes")
+    if modes.count() > SEQUENTIAL_ROWS:
+        raise ValueError(f"modes are merged one by one, {SEQUENTIAL_ROWS} at most")
+    roots = modes.orderBy("id").toPandas()
     links = _valley_links(unit, roots, n, d, k, candidates)
     joined = points.sparkSession.createDataFrame([(int(a), int(b)) for a, b in links.items()] or [], "id long, link long")
     rooted = parents.join(F.broadcast(joined), "id", "left").select("id", F.coalesce("link", "parent").alias("parent"))

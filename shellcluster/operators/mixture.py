@@ -148,6 +148,12 @@ def profiles(weighted: np.ndarray, effective: np.ndarray, shapes: np.ndarray, ra
     return mu, slope, np.clip(np.exp(mu[:, None] + slope[:, None] * place), config.min_rate, config.max_rate)
 
 
+def _widest(spread: np.ndarray, n: np.ndarray, mean: np.ndarray) -> int:
+    """The component of the largest spread, the first of equal ones; what rounding alone may give counts as none."""
+    noise = n * (8 * np.finfo(float).eps * np.maximum(1, np.abs(mean))) ** 2
+    return int(np.where(spread > noise, spread, 0.0).argmax())
+
+
 @dataclass
 class Statistics:
     effective: np.ndarray
@@ -174,8 +180,8 @@ class Shells:
             ship(frame.sparkSession)
             self.frame = materialize(frame.withColumn("score", F.log(F.aggregate("shells", F.lit(0.0), lambda s, x: s + x))), "shells")
 
-    def _partial(self, make: Callable[[np.ndarray, np.ndarray, np.ndarray], dict], columns: str = "score") -> dict:
-        """Sums over rows of what make gives of (shells, data_term, a column)."""
+    def _partial(self, make: Callable[[np.ndarray, np.ndarray, np.ndarray], dict], columns: str = "score", frame: DataFrame | None = None) -> dict:
+        """Sums over rows, or those of frame, of what make gives of (shells, data_term, a column)."""
         if self.local:
             raise RuntimeError("for rows in Spark")
         import pickle
@@ -190,7 +196,7 @@ class Shells:
                 yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(total)])], names=["sums"])
 
         out: dict = {}
-        for row in self.frame.select("shells", "data_term", columns).mapInArrow(run, "sums binary").collect():
+        for row in (self.frame if frame is None else frame).select("shells", "data_term", columns).mapInArrow(run, "sums binary").collect():
             for k, v in pickle.loads(row[0]).items():
                 out[k] = out[k] + v if k in out else v
         return out
@@ -253,7 +259,7 @@ class Shells:
             n = r.sum(0)
             mean = self.score @ r / np.maximum(n, special.TINY)
             spread = np.array([(r[:, k] * (self.score - mean[k]) ** 2).sum() for k in range(r.shape[1])])
-            k = int(spread.argmax())
+            k = _widest(spread, n, mean)
             running = np.cumsum(r[self.order, k])
             at = min(int(np.searchsorted(running, n[k] / 2)), self.n - 1)
             left = np.where(self.score <= self.score[self.order[at]], r[:, k], 0.0)
@@ -265,25 +271,17 @@ class Shells:
 
         def moments(x, term, score):
             r, _ = responsibilities(x, term, p, shapes)
-            return {"n": r.sum(0), "s": score @ r, "q": (score**2) @ r, "low": np.zeros(1), "w": r.T @ x}
+            return {"n": r.sum(0), "s": score @ r, "w": r.T @ x}
 
         m = self._partial(moments)
-        k = int((m["q"] - m["s"] ** 2 / np.maximum(m["n"], special.TINY)).argmax())
-        low, high = self.frame.agg(F.min("score"), F.max("score")).first()
-        below = 0.0
-        for _ in range(2):  # the median's bin, then within it
-            edges = np.linspace(low, high, 4097)
+        mean = m["s"] / np.maximum(m["n"], special.TINY)
 
-            def bins(x, term, score, edges=edges):
-                r, _ = responsibilities(x, term, p, shapes)
-                inside = (score >= edges[0]) & (score <= edges[-1])
-                return {"h": np.bincount(np.clip(np.searchsorted(edges, score[inside], "right") - 1, 0, 4095), weights=r[inside, k], minlength=4096)}
+        def around(x, term, score):  # squares about the mean don't cancel
+            r, _ = responsibilities(x, term, p, shapes)
+            return {"q": (r * (score[:, None] - mean) ** 2).sum(0)}
 
-            h = self._partial(bins)["h"]
-            at = min(int(np.searchsorted(below + np.cumsum(h), m["n"][k] / 2)), 4095)
-            below += h[:at].sum()
-            low, high = edges[at], edges[at + 1]
-        cut = high
+        k = _widest(self._partial(around)["q"], m["n"], mean)
+        cut = self._weighted_median(p, k, m["n"][k])
 
         def halves(x, term, score):
             r, _ = responsibilities(x, term, p, shapes)
@@ -291,10 +289,38 @@ class Shells:
             return {"n": np.array([left.sum()]), "w": left @ x}
 
         part = self._partial(halves)
+        if min(part["n"][0], m["n"][k] - part["n"][0]) <= np.finfo(float).eps:  # one score has all the weight
+
+            def alternate(x, term, pos):
+                r, _ = responsibilities(x, term, p, shapes)
+                left = np.where(pos % 2 == 0, r[:, k], 0.0)
+                return {"n": np.array([left.sum()]), "w": left @ x}
+
+            part = self._partial(alternate, "pos", with_position(self.frame, "id"))
         effective, weighted = np.append(m["n"], m["n"][k] - part["n"][0]), np.vstack([m["w"], m["w"][k] - part["w"]])
         effective[k], weighted[k] = part["n"][0], part["w"]
         return Statistics(effective, weighted)
 
+    def _weighted_median(self, p: Parameters, k: int, total: float) -> float:
+        """The least score up to which rows have half the weight of component k: bins within bins, until one holds a single number."""
+        shapes = self.shapes
+        least, most = self.frame.agg(F.min("score"), F.max("score")).first()
+        low, high, below = least, float(np.nextafter(most, np.inf)), 0.0
+        while np.nextafter(low, np.inf) < high:
+            edges = np.unique(np.linspace(low, high, 4097))
+
+            def bins(x, term, score, edges=edges):
+                r, _ = responsibilities(x, term, p, shapes)
+                return {"h": np.bincount(np.searchsorted(edges, score, "right") - 1, weights=r[:, k], minlength=len(edges) - 1)}
+
+            h = self._partial(bins, frame=self.frame.where((F.col("score") >= float(low)) & (F.col("score") < float(high)))).get("h", np.zeros(len(edges) - 1))
+            # sums are rounded, so the last bin with weight may stay a little under the half
+            last = int(np.flatnonzero(h)[-1]) if h.any() else 0
+            at = min(int(np.searchsorted(below + np.cumsum(h), total / 2)), last)
+            below += float(h[:at].sum())
+            low, high = float(edges[at]), float(edges[at + 1])
+        return low
+
     def assignment(self, p: Parameters, groups: np.ndarray, background: np.ndarray) -> DataFrame:
         """id, group and p_background of each row; groups: of each component."""
         shapes = self.shapes

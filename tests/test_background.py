@@ -37,6 +37,16 @@ def test_integrated_densities_match_quadrature():
         assert np.allclose(got, expected, atol=2e-3), kind
 
 
+def test_quantiles_of_both_paths_agree(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(i, v.tolist(), 0.0) for i, v in enumerate(rng.uniform(0.1, 5, (101, 2)))], "id long, shells array<double>, data_term double")
+    config, shapes = mixture.MixtureConfig(background_distribution=mixture.BACKGROUNDS[1]), np.array([4.0, 4.0])
+    local = background._Model(mixture.Shells(rows, shapes, config), config)
+    monkeypatch.setattr(mixture, "LOCAL_ROWS", 10)
+    spread = background._Model(mixture.Shells(rows, shapes, config), config)
+    assert np.allclose(local.quantiles([0.0, 0.31, 0.5, 0.995]), spread.quantiles([0.0, 0.31, 0.5, 0.995]))
+
+
 def test_assignment(spark):
     cores = spark.createDataFrame([(7, [0.0, 0.0], 0.5), (8, [3.0, 3.0], 0.4)], "label long, features array<float>, radius double")
     rows = spark.createDataFrame([(1, [0.1, 0.1]), (2, [2.8, 3.1]), (3, [1.5, 1.5])], "id long, features array<float>")

@@ -146,11 +146,28 @@ def test_em_raises_the_likelihood_and_paths_agree(spark, monkeypatch):
     assert not spread.local
     for a, b in ((local.cold(3, 0), spread.cold(3, 0)), (local.statistics(two.parameters), spread.statistics(two.parameters))):
         assert np.allclose(a.effective, b.effective) and np.allclose(a.weighted, b.weighted)
-    cut = spread.split(two.parameters)
-    assert len(cut.effective) == 3 and abs(cut.effective.sum() - local.n) < 1e-6
+    a, b = local.split(two.parameters), spread.split(two.parameters)
+    assert len(b.effective) == 3 and np.allclose(a.effective, b.effective) and np.allclose(a.weighted, b.weighted)
     assert abs(local.entropy(two.parameters, None) - spread.entropy(two.parameters, None)) < 1e-6
 
 
+def test_split_of_equal_scores_and_of_ties(spark, monkeypatch):
+    config, shapes = mixture.MixtureConfig(), np.array([4.0, 4, 8, 16])
+    rng = np.random.default_rng(5)
+    same = np.tile([1.0, 2, 4, 9], (41, 1)) + rng.permuted(np.tile([-0.5, 0.5, 0, 0], (41, 1)), axis=1)
+    tied = np.repeat(rng.uniform(0.5, 3, (9, 4)), [1, 20, 3, 1, 1, 9, 2, 2, 2], axis=0)
+    for x in (same, tied):
+        rows = spark.createDataFrame([(3 * i, v.tolist(), 0.0) for i, v in enumerate(x)], "id long, shells array<double>, data_term double")
+        p = mixture.Parameters(np.array([0.6, 0.4]), np.zeros(2), np.zeros(2), np.array([[4.0, 2, 2, 1], [2, 2, 1, 1]]))
+        local = mixture.Shells(rows, shapes, config)
+        monkeypatch.setattr(mixture, "LOCAL_ROWS", 10)
+        spread = mixture.Shells(rows, shapes, config)
+        monkeypatch.undo()
+        a, b = local.split(p), spread.split(p)
+        assert not spread.local and min(a.effective) > 0
+        assert np.allclose(a.effective, b.effective) and np.allclose(a.weighted, b.weighted)
+
+
 def test_rate_profile_meets_its_target():
     config = mixture.MixtureConfig()
     shapes, ranks = np.array([4.0, 4, 8, 16]), (4, 8, 16, 32)
