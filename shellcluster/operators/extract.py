@@ -153,6 +153,16 @@ def window_component_sizes(graph: DataFrame, ordered: DataFrame, width: int, ran
     return labelled.groupBy("window", "component").agg(F.count("*").alias("size")).groupBy("window").agg(F.max("size").alias("size"))
 
 
+def window_ranks(graph: DataFrame, ordered: DataFrame, n: int, widths: list[int], rank: int) -> list[tuple[int, int, int]]:
+    """(width, windows after the first whose component is as large as its or larger, windows) of each width, counted in Spark. ordered: n rows of id, pos."""
+    out = []
+    for w in widths:
+        sizes = materialize(window_component_sizes(graph, ordered, w, rank), "window-sizes")
+        first = sizes.where("window = 0").first()["size"]
+        out.append((w, sizes.where((F.col("window") > 0) & (F.col("size") >= first)).count(), -(-n // w)))
+    return out
+
+
 def _window_sizes(order: np.ndarray, place: np.ndarray, src: np.ndarray, dst: np.ndarray, width: int) -> np.ndarray:
     """The same on arrays. order: rows; place: of each row in order, -1 outside; src, dst: rows."""
     a, b = place[src], place[dst]
@@ -203,7 +213,8 @@ def _scan_local(table: DataFrame, edges: DataFrame, rank: int, dimension: float)
         order = rows[np.argsort(d[rows], kind="stable")]
         place = np.full(len(ids), -1)
         place[order] = np.arange(len(order))
-        best = _best_window([(w, _window_sizes(order, place, src, dst, w)) for w in widths])
+        sizes = [(w, _window_sizes(order, place, src, dst, w)) for w in widths]
+        best = _best_window([(w, int((s[1:] >= s[0]).sum()), len(s)) for w, s in sizes])
         if best is None or best[0] - math.log(2) <= 0:
             break
         gain, width, p, windows = best
@@ -232,15 +243,7 @@ def _scan_in_spark(graph: DataFrame, table: DataFrame, rank: int, dimension: flo
         if not widths:
             break
         order = with_position(active, "d", "id")
-        sizes = []
-        for w in widths:
-            s = window_component_sizes(graph, order, w, rank)
-            first = s.where("window = 0").first()["size"]
-            windows = -(-n // w)
-            later = s.where((F.col("window") > 0) & (F.col("size") >= first)).count()
-            sizes.append((w, first, later, windows))
-        scored = [(-math.log((1 + later) / windows) - math.log(len(widths)), w, (1 + later) / windows, windows) for w, _, later, windows in sizes if windows >= 2]
-        best = max(scored, key=lambda x: x[0]) if scored else None
+        best = _best_window(window_ranks(graph, order, n, widths, rank))
         if best is None or best[0] - math.log(2) <= 0:
             break
         gain, width, p, windows = best
@@ -265,17 +268,10 @@ def _widths(n: int, rank: int) -> list[int]:
     return out
 
 
-def _best_window(sizes: list[tuple[int, np.ndarray]]) -> tuple[float, int, float, int] | None:
-    """(gain, width, p, windows): the first of the widths with the largest gain. The first window counts in the denominator only."""
-    best = None
-    for w, s in sizes:
-        if len(s) < 2:
-            continue
-        p = (1 + int((s[1:] >= s[0]).sum())) / len(s)
-        gain = -math.log(p) - math.log(len(sizes))
-        if best is None or gain > best[0]:
-            best = (gain, w, p, len(s))
-    return best
+def _best_window(ranks: list[tuple[int, int, int]]) -> tuple[float, int, float, int] | None:
+    """(gain, width, p, windows) of window_ranks: the first of the widths with the largest gain. The first window counts in the denominator only."""
+    scored = [(-math.log((1 + later) / windows) - math.log(len(ranks)), w, (1 + later) / windows, windows) for w, later, windows in ranks if windows >= 2]
+    return max(scored, key=lambda x: x[0]) if scored else None
 
 
 def _judge(size: int, terms: float, window_gain: float, n: int, rank: int, widths: int) -> dict | None:

@@ -102,12 +102,8 @@ def graph_roles(graph: DataFrame, config: mixture.MixtureConfig):
             return proposed
         own = assigned(rows, fit).where(F.col("group") < len(proposed)).select("id", "d")
         order = extract.with_position(own, "d", "id")
-        widths = extract._widths(order.count(), rank)
-        sizes = []
-        for w in widths:
-            s = extract.window_component_sizes(graph, order, w, rank).orderBy("window").toPandas()["size"].to_numpy()
-            sizes.append((w, s))
-        best = extract._best_window(sizes) if sizes else None
+        size = order.count()
+        best = extract._best_window(extract.window_ranks(graph, order, size, extract._widths(size, rank), rank))
         return proposed if best is not None and best[0] - float(np.log(2)) > 0 else np.empty(0, int)
 
     def topology(rows, fit):

@@ -64,6 +64,21 @@ def test_approximate_graph_recall(spark):
     assert knn.recall(approx, knn.build_knn_graph(p, k=16, backend="block"), 4) >= 0.99
 
 
+@pytest.mark.parametrize("tables, kept", [(16, True), (1, False)])
+def test_auto_keeps_an_approximate_graph_only_of_measured_recall(spark, monkeypatch, tables, kept):
+    monkeypatch.setattr(knn, "AUTO_EXACT_ROWS", 500)
+    rng = np.random.default_rng(8)
+    x = (rng.normal(size=(40, 1, 5)) * 50 + rng.normal(size=(40, 25, 5))).reshape(-1, 5).astype(np.float32)
+    p = frame(spark, x)
+    config = knn.LSHConfig(tables=tables, bucket=64 if kept else 8)
+    exact = knn.build_knn_graph(p, k=8, backend="block")
+    found, plain = (knn.build_knn_graph(p, k=8, backend=b, config=config) for b in ("auto", "lsh"))
+    knn.validate(found, 8, deep=True)
+    assert (knn.recall(plain, exact, 8) >= 0.985) == kept
+    assert knn.recall(found, exact, 8) >= (0.985 if kept else 1.0)
+    assert knn.recall(exact.limit(0), exact, 8) is None
+
+
 def test_graph_errors(spark):
     p = frame(spark, [[0.0], [1.0], [3.0]])
     for k in (0, 3):
