@@ -325,6 +325,15 @@ def background_scan(spark, sf):
     return found if found is not None else spark.createDataFrame([], "id long, event long")
 
 
+def background_scan_family(spark, sf):
+    """The scan over a family whose background holds clusters, with how many rows each event has."""
+    points = materialize(synthetic.generate(spark, synthetic.multidensity_2d(4000, seed=42), 42), "family")
+    graph = materialize(knn.build_knn_graph(points.select("id", "features"), k=K), "query-graph")
+    found, _, _ = extract.background_scan(graph, knn.k_distance(graph, 4), K, 4)
+    found = found if found is not None else spark.createDataFrame([], "id long, event long")
+    return found.join(points, "id").groupBy("event").agg(F.count("*").alias("n"), F.count_if(F.col("y") >= 0).alias("of_clusters"))
+
+
 def density_peaks(spark, sf):
     return comparators.run_density_peaks(plane(spark, sf).select("id", "features")).labels
 
@@ -370,7 +379,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         knn_edges, knn_lists_sorted, knn_distance, knn_grid, knn_gather, shared_neighbours, range_degree, dbscan, knn_dbscan, snn_dbscan, log_distances, signatures, shells,
         intrinsic_dimension, boundary_terms, robust_scale, label_codes, global_positions, connected, stratum_events, threshold_sweep, fixed_quantile, component_statistics, borders, data_terms, mixture_assignment, em_step, information_scores, window_sizes, single_layer,
         clustering_metrics, contingency, pair_scores, target_summary, cluster_burden, adjusted_rand, evaluation, mutual_information, peak_density, peak_parents, peak_centers, follow_parents,
-        symmetric_edges, unit_vectors, signal_log_odds, topology_evidence, job_expansion, estimator_labels, stratification, background_scan, density_peaks, synthetic_family, comparison, comparison_by_suite, comparison_verdict,
+        symmetric_edges, unit_vectors, signal_log_odds, topology_evidence, job_expansion, estimator_labels, stratification, background_scan, background_scan_family, density_peaks, synthetic_family, comparison, comparison_by_suite, comparison_verdict,
     )
 } | {f"method_{m}": _method(m) for m in ("hdbscan", "optics", "vdbscan_2007", "amd_dbscan", "knn_leiden", "xshift")}
 

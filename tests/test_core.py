@@ -416,6 +416,14 @@ def test_density_peaks(spark):
     assert whole == {r["id"]: r["parent"] for r in comparators.peak_parents(p, rho, block_bytes=900).collect()}
 
 
+def test_xshift_modes_are_bounded(spark, monkeypatch):
+    x = np.concatenate([np.random.default_rng(2).normal(0, 0.05, (30, 2)) + c for c in ((1, 0), (0, 1), (-1, 0))])
+    assert comparators.run_xshift(frame(spark, x), "low_dim").labels.count() == 90
+    monkeypatch.setattr(comparators, "SEQUENTIAL_ROWS", 1)
+    with pytest.raises(ValueError, match="modes"):
+        comparators.run_xshift(frame(spark, x), "low_dim")
+
+
 def test_xshift_tiny(spark):
     assert sorted(r["label"] for r in comparators.run_xshift(frame(spark, [[0.0, 1], [1, 0]]), "low_dim").labels.collect()) == [0, 1]
 
