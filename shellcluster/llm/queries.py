@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import chosen_path, context_mixing, dac, gam, mixing, pigeonhole, preference, rules, suffix_dedup, toxicity
+from . import chosen_path, context_mixing, dac, gam, mixing, pigeonhole, preference, prefix_trie, rules, suffix_dedup, toxicity
 from .common import fold, word_count
 
 
@@ -81,6 +81,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicate(documents(spark, sf_dir).select("doc_id", "text"), with_text=False)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = prefix_trie.turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return prefix_trie.trie(*prefix_trie.inherit(rows))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_preference": op2_preference,
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_context_mixing": op8_context_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _STOP_LIST = ", ".join(f"'{w}'" for w in rules.STOP_WORDS)
@@ -138,4 +144,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND {rules.verdict_sql()} AS kept
 FROM m""",
+    "op13_prefix_trie": r"""
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+                  coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT c, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                    lambda a, b: list_reduce(list_concat([xor(a, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                                             lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 6 AS h
+      FROM (SELECT DISTINCT c FROM t)),
+r AS (SELECT h.c, 0 AS part, t.pos, role, text FROM h JOIN t ON t.c = h.c - h.c % 100 AND t.pos <= h
+      UNION ALL SELECT h.c, 1, t.pos, role, text FROM h JOIN t ON t.c = h.c AND t.pos > h),
+n AS (SELECT c, row_number() OVER w AS d, length(text) AS size, md5(role) || md5(text) AS turn FROM r WINDOW w AS (PARTITION BY c ORDER BY part, pos)),
+p AS (SELECT c, d, size, md5(string_agg(turn, '') OVER (PARTITION BY c ORDER BY d)) AS k FROM n UNION ALL SELECT c, 0, 0, 'root' FROM h),
+z AS (SELECT c, max(d) AS d FROM p GROUP BY c),
+m AS (SELECT d, k, min(c) AS o, count(*) AS n_convs, (count(*) - 1) * min(size) AS saved FROM p GROUP BY d, k),
+u AS (SELECT m.*, q.o AS up, q.k AS up_k FROM m LEFT JOIN p ON p.c = m.o AND p.d = m.d - 1 LEFT JOIN m AS q ON q.d = p.d AND q.k = p.k),
+b AS (SELECT d - 1 AS d, up_k AS k, count(*) AS kids FROM u WHERE d > 0 GROUP BY ALL),
+v AS (SELECT u.*, coalesce(kids, 0) AS kids FROM u LEFT JOIN b USING (d, k)),
+s AS (SELECT p.d, p.k, sum(v.saved) AS saved, count_if(v.kids = 0) AS leaves FROM v JOIN p ON p.c = v.o AND p.d <= v.d GROUP BY ALL),
+e AS (SELECT p.d, p.k, string_agg(p.c::VARCHAR, ',' ORDER BY p.c) AS ids FROM z JOIN p USING (c, d) GROUP BY ALL)
+SELECT v.o AS conv_id, v.d::BIGINT AS depth, v.up AS parent_conv_id, n_convs::BIGINT AS n_convs, kids::BIGINT AS n_children, s.leaves::BIGINT AS n_leaves,
+       s.saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM v JOIN s USING (d, k) LEFT JOIN e USING (d, k)""",
 }
