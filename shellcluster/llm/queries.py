@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import chosen_path, context_mixing, dac, gam, mixing, pigeonhole, preference, prefix_trie, rules, suffix_dedup, toxicity
+from . import block_wand, chosen_path, context_mixing, dac, gam, mixing, pigeonhole, preference, prefix_trie, rules, suffix_dedup, toxicity
 from .common import fold, word_count
 
 
@@ -81,6 +81,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicate(documents(spark, sf_dir).select("doc_id", "text"), with_text=False)
 
 
+def op12_block_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_wand.rank(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = prefix_trie.turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     return prefix_trie.trie(*prefix_trie.inherit(rows))
@@ -97,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_context_mixing": op8_context_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_block_wand": op12_block_wand,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
@@ -144,6 +149,19 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND {rules.verdict_sql()} AS kept
 FROM m""",
+    "op12_block_wand": r"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents WHERE text IS NOT NULL),
+d AS (SELECT doc_id, r, terms, len(terms) AS n FROM t WHERE len(terms) > 0),
+a AS (SELECT count(*)::BIGINT AS nd, sum(n)::BIGINT AS nl FROM d),
+q AS (SELECT item_id, i, term, count(*)::BIGINT AS times FROM
+      (SELECT item_id, i, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+       FROM (SELECT *, row_number() OVER () AS i FROM benchmark)) GROUP BY ALL),
+o AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(nd) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM o, a GROUP BY term),
+s AS (SELECT item_id, i, doc_id, r, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nd) // nl))))::BIGINT AS score
+      FROM q JOIN o USING (term) JOIN w USING (term) JOIN d USING (r), a GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k WHERE rank <= 20""",
     "op13_prefix_trie": r"""
 WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
                   coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
