@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import block_wand, chosen_path, context_mixing, dac, gam, mixing, pigeonhole, preference, prefix_trie, rules, suffix_dedup, toxicity
+from . import block_wand, chosen_path, context_mixing, cross_polytope, dac, gam, mixing, pigeonhole, preference, prefix_trie, rules, suffix_dedup, toxicity
 from .common import fold, word_count
 
 
@@ -81,6 +81,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicate(documents(spark, sf_dir).select("doc_id", "text"), with_text=False)
 
 
+def op11_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
 def op12_block_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_wand.rank(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -101,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_context_mixing": op8_context_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_cross_polytope": op11_cross_polytope,
     "op12_block_wand": op12_block_wand,
     "op13_prefix_trie": op13_prefix_trie,
 }
