@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import special
 from ..runtime import materialize, ship
-from . import density, knn
+from . import density, knn, space
 from .components import connected_components, dense_labels, quantile, with_position
 
 #: Rows that a sequential method takes at most.
@@ -144,47 +144,12 @@ def label_cores(core: DataFrame, edges: DataFrame, min_size: int = 1) -> DataFra
 # --- range search ---------------------------------------------------------------------------
 
 
-def pairs_within(points: DataFrame, eps: float, block_bytes: int = knn.BLOCK_BYTES) -> DataFrame:
-    """src, dst, dist of ordered pairs within eps: cells in up to three dimensions, else past broadcast blocks of bounded size."""
-    d = knn.dimension(points)
-    if d <= 3 and points.count() > 4096:
-        return knn.range_edges(points, eps)
-    spark = points.sparkSession
-    ship(spark)
-    n = points.count()
-    blocks = max(1, -(-n * (8 * d + 8) // block_bytes))
-    placed = points.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    out = None
-    for b in range(blocks):
-        rows = placed.where(F.col("block") == b).select("id", "features").toArrow().sort_by("id").combine_chunks()
-        shared = spark.sparkContext.broadcast((rows["id"].to_numpy(), knn._matrix(rows["features"].combine_chunks()) if len(rows) else np.empty((0, d))))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, x = shared.value
-            norm = (x * x).sum(1)
-            for batch in batches:
-                own, q = batch.column(0).to_numpy(), knn._matrix(batch.column(1))
-                for a in range(0, len(own), 256):
-                    part = q[a : a + 256]
-                    near = norm[None] - 2 * part @ x.T + (part * part).sum(1)[:, None]
-                    slack = 1e-9 * (1 + np.abs(near).max(initial=0))
-                    i, j = np.nonzero(near <= eps * eps + slack)
-                    dist = np.sqrt(((part[i] - x[j]) ** 2).sum(1))
-                    keep = (dist <= eps) & (own[a + i] != ids[j])
-                    yield pa.RecordBatch.from_arrays([pa.array(own[a + i[keep]]), pa.array(ids[j[keep]]), pa.array(dist[keep])], names=["src", "dst", "dist"])
-
-        tasks = max(1, min(spark.sparkContext.defaultParallelism, -(-n // 512)))
-        part = points.select("id", "features").repartition(tasks, "id").mapInArrow(run, "src long, dst long, dist double")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def dbscan(points: DataFrame, eps: float, min_samples: int = 5) -> DataFrame:
     """Density-connected components; a border row takes the lowest label among its core neighbours."""
     if eps <= 0:
         cores = points.select("id").limit(0).withColumn("label", F.lit(0).cast("long"))
         return finish(points, cores, None)
-    pairs = materialize(pairs_within(points, eps).select("src", "dst"), "range-pairs")
+    pairs = materialize(knn.range_edges(points, eps).select("src", "dst"), "range-pairs")
     core = materialize(pairs.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") + 1 >= min_samples).select("id"), "range-cores")
     labels = label_cores(core, pairs)
     outside = pairs.join(core.select(F.col("id").alias("src")), "src", "left_anti")
@@ -411,54 +376,40 @@ def _dense(points: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 # --- density peaks --------------------------------------------------------------------------
 
 
-def peak_density(points: DataFrame) -> DataFrame:
-    """id and rho: exp of minus the mean squared distance to the nearest 2 percent, scaled to a largest of 1."""
+def peak_graph(points: DataFrame) -> DataFrame:
+    """The nearest 2 percent of each row."""
     n = points.count()
-    k = min(max(1, math.ceil(0.02 * n)), n - 1)
-    graph = knn.block_graph(points, points, k, n, knn.dimension(points))
-    log = materialize(graph.select("id", (-F.aggregate("dist", F.lit(0.0), lambda s, x: s + x.cast("double") * x) / k).alias("log_rho")), "peak-density")
+    return materialize(knn.block_graph(points, points, peak_k(n), n, knn.dimension(points)), "peak-graph")
+
+
+def peak_k(n: int) -> int:
+    return min(max(1, math.ceil(0.02 * n)), n - 1)
+
+
+def peak_density(graph: DataFrame) -> DataFrame:
+    """id and rho: exp of minus the mean squared distance to the rows of the graph's lists, scaled to a largest of 1."""
+    log = materialize(graph.select("id", (-F.aggregate("dist", F.lit(0.0), lambda s, x: s + x.cast("double") * x) / F.size("dist")).alias("log_rho")), "peak-density")
     top = log.agg(F.max("log_rho")).first()[0]
     return log.select("id", F.exp(F.col("log_rho") - float(top)).alias("rho"))
 
 
-def peak_parents(points: DataFrame, rho: DataFrame, block_bytes: int = knn.BLOCK_BYTES) -> DataFrame:
-    """id, rho, delta, parent: the nearest row that comes before in the order (rho descending, id); of the first, the farthest distance and -1."""
-    spark = points.sparkSession
-    ship(spark)
+def first_neighbours(graph: DataFrame, k: int = 32) -> DataFrame:
+    return graph.select("id", F.slice("nbr", 1, k).alias("nbr"), F.slice("dist", 1, k).alias("dist"))
+
+
+def peak_parents(points: DataFrame, rho: DataFrame, graph: DataFrame | None = None) -> DataFrame:
+    """id, rho, delta, parent: the nearest row that comes before in the order (rho descending, id); of the first, the farthest distance and -1.
+
+    With a graph (exact nearest rows) most rows have theirs in it; the others search cells: see space.nearest_before.
+    """
     n, d = points.count(), knn.dimension(points)
-    rows = materialize(points.join(rho, "id").select("id", "features", "rho"), "peak-rows")
-    first = rows.orderBy(F.desc("rho"), "id").first()["id"]
-    blocks = max(1, -(-n * (8 * d + 16) // block_bytes))
-    placed = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    out = None
-    for b in range(blocks):
-        t = placed.where(F.col("block") == b).toArrow().sort_by("id").combine_chunks()
-        shared = spark.sparkContext.broadcast((t["id"].to_numpy(), t["rho"].to_numpy(), knn._matrix(t["features"].combine_chunks()) if len(t) else np.empty((0, d))))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, r, x = shared.value
-            for batch in batches:
-                own, q, mine = batch.column(0).to_numpy(), knn._matrix(batch.column(1)), batch.column(2).to_numpy()
-                delta, parent = np.full(len(own), np.inf), np.full(len(own), -1)
-                for i in range(len(own)):
-                    dist = ((x - q[i]) ** 2).sum(1)
-                    if own[i] == first:
-                        delta[i] = math.sqrt(dist.max(initial=0.0))
-                        continue
-                    before = np.flatnonzero((r > mine[i]) | ((r == mine[i]) & (ids < own[i])))
-                    if len(before):
-                        j = before[dist[before] == dist[before].min()]
-                        j = j[np.lexsort((ids[j], -r[j]))[0]]
-                        delta[i], parent[i] = math.sqrt(dist[j]), ids[j]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(delta), pa.array(parent)], names=["id", "rho", "delta", "parent"])
-
-        tasks = max(1, min(spark.sparkContext.defaultParallelism, -(-n // 256)))
-        part = rows.select("id", "features", "rho").repartition(tasks, "id").mapInArrow(run, "id long, rho double, delta double, parent long")
-        out = part if out is None else out.unionByName(part)
-    if blocks == 1:
-        return out
-    best = F.when(F.col("id") == first, F.max(F.struct("delta", "parent"))).otherwise(F.min(F.struct("delta", "parent")))
-    return out.groupBy("id").agg(F.first("rho").alias("rho"), best.alias("b")).select("id", "rho", "b.delta", "b.parent")
+    rows = materialize(points.join(rho, "id").select("id", F.col("features").cast("array<float>").alias("features"), F.col("rho").cast("double").alias("rho")), "peak-rows")
+    first = rows.orderBy(F.desc("rho"), "id").first()
+    found, _ = space.nearest_before(rows, n, d, graph)
+    gap = F.transform(F.arrays_zip("features", F.lit(first["features"]).cast("array<float>").alias("top")), lambda s: (s["features"].cast("double") - s["top"]) ** 2)
+    far = rows.agg(F.max(F.sqrt(F.aggregate(gap, F.lit(0.0), lambda a, v: a + v)))).first()[0]
+    top = F.col("id") == first["id"]
+    return rows.select("id", "rho").join(found, "id", "left").select("id", "rho", F.when(top, F.lit(far)).otherwise(F.col("delta")).alias("delta"), F.coalesce("parent", F.lit(-1)).cast("long").alias("parent"))
 
 
 def peak_centers(state: DataFrame) -> tuple[list[int], float | None, bool]:
@@ -498,7 +449,8 @@ def run_density_peaks(points: DataFrame, profile: str | None = None) -> Clusteri
     n = points.count()
     if n < 2 or bad:
         raise ValueError("density peaks need at least two rows of finite values")
-    state = materialize(peak_parents(points, peak_density(points)), "peaks")
+    graph = peak_graph(points)
+    state = materialize(peak_parents(points, peak_density(graph), first_neighbours(graph)), "peaks")
     centers, gap, fallback = peak_centers(state)
     numbers = points.sparkSession.createDataFrame(list(zip(centers, range(len(centers)), strict=True)), "id long, label long")
     # the densest row of all is a root even where it is no centre; it then has no label to give
@@ -506,7 +458,7 @@ def run_density_peaks(points: DataFrame, profile: str | None = None) -> Clusteri
     ends = follow_parents(rooted).join(numbers.select(F.col("id").alias("root"), "label"), "root", "left")
     if ends.where("label IS NULL").limit(1).count():
         raise RuntimeError("a chain ends at a row that is no centre")
-    return Clustering(materialize(ends.select("id", "label"), "peak-labels"), {"k": min(max(1, math.ceil(0.02 * n)), n - 1), "centers": centers, "gap_threshold": gap, "fallback": fallback})
+    return Clustering(materialize(ends.select("id", "label"), "peak-labels"), {"k": peak_k(n), "centers": centers, "gap_threshold": gap, "fallback": fallback})
 
 
 # --- X-shift --------------------------------------------------------------------------------

@@ -69,7 +69,7 @@ def shared_neighbours(spark, sf):
 
 
 def range_degree(spark, sf):
-    pairs = comparators.pairs_within(embeddings(spark, sf).select("id", "features"), EPS)
+    pairs = knn.range_edges(embeddings(spark, sf).select("id", "features"), EPS)
     return pairs.groupBy("src").agg(F.count("*").alias("n"))
 
 
@@ -260,7 +260,7 @@ def mutual_information(spark, sf):
 
 
 def peak_density(spark, sf):
-    return _rounded(comparators.peak_density(embeddings(spark, sf).select("id", "features")), "rho")
+    return _rounded(comparators.peak_density(comparators.peak_graph(embeddings(spark, sf).select("id", "features"))), "rho")
 
 
 def peak_parents(spark, sf):
@@ -272,7 +272,8 @@ def peak_parents(spark, sf):
 
 def peak_centers(spark, sf):
     points = plane(spark, sf).select("id", "features")
-    state = comparators.peak_parents(points, comparators.peak_density(points))
+    graph = comparators.peak_graph(points)
+    state = comparators.peak_parents(points, comparators.peak_density(graph), comparators.first_neighbours(graph))
     found, _, _ = comparators.peak_centers(state)
     return spark.createDataFrame([(i,) for i in found], "center long")
 

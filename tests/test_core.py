@@ -95,7 +95,7 @@ def test_range_pairs(spark):
         x = np.random.default_rng(3).normal(size=(150, d)).astype(np.float32)
         full = np.sqrt(((x[:, None].astype(float) - x[None].astype(float)) ** 2).sum(2))
         expected = {(i, j) for i in range(150) for j in range(150) if i != j and full[i, j] <= 0.7}
-        assert {(r["src"], r["dst"]) for r in comparators.pairs_within(frame(spark, x), 0.7).collect()} == expected
+        assert {(r["src"], r["dst"]) for r in knn.range_edges(frame(spark, x), 0.7).collect()} == expected
     assert {(r["src"], r["dst"]) for r in knn.range_edges(frame(spark, x[:, :2]), 0.7).collect()}
 
 
@@ -403,7 +403,7 @@ def test_peak_centers_beyond_the_sequential_bound(spark, monkeypatch):
 
 
 def test_density_peaks(spark):
-    rho = {r["id"]: r["rho"] for r in comparators.peak_density(frame(spark, [[0.0], [1.0], [3.0], [10.0]])).collect()}
+    rho = {r["id"]: r["rho"] for r in comparators.peak_density(comparators.peak_graph(frame(spark, [[0.0], [1.0], [3.0], [10.0]]))).collect()}
     assert max(rho.values()) == 1
     state = spark.createDataFrame([(i, float(v), float(v), 0) for i, v in enumerate([10, 9, 8, 1, 1])], "id long, rho double, delta double, parent long")
     assert comparators.peak_centers(state) == ([0, 1], 12.0, False)
@@ -411,9 +411,11 @@ def test_density_peaks(spark):
     assert all(r["label"] >= 0 for r in rows)
     x = np.random.default_rng(2).normal(size=(80, 3)).astype(np.float32)
     p = frame(spark, x)
-    rho = comparators.peak_density(p)
-    whole = {r["id"]: r["parent"] for r in comparators.peak_parents(p, rho).collect()}
-    assert whole == {r["id"]: r["parent"] for r in comparators.peak_parents(p, rho, block_bytes=900).collect()}
+    graph = comparators.peak_graph(p)
+    rho = comparators.peak_density(graph)
+    whole = {r["id"]: (r["parent"], r["delta"]) for r in comparators.peak_parents(p, rho).collect()}
+    assert whole == {r["id"]: (r["parent"], r["delta"]) for r in comparators.peak_parents(p, rho, comparators.first_neighbours(graph)).collect()}
+    assert [r for r in whole.values() if r[0] < 0] == [(-1, max(np.sqrt(((x.astype(float) - q) ** 2).sum(1)).max() for i, q in enumerate(x.astype(float)) if whole[i][0] < 0))]
 
 
 def test_xshift_modes_are_bounded(spark, monkeypatch):
