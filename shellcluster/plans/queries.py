@@ -250,9 +250,19 @@ def adjusted_rand(spark, sf):
 
 
 def evaluation(spark, sf):
+    """Each target with its cluster under the best one-to-one assignment."""
+    found = metrics.target_frame(labelled_docs(spark, sf), metrics.EvaluationConfig.resolve(None, "synthetic"))
+    found = found.select("y", "target_size", F.col("fragments").cast("long").alias("fragments"), "p", F.col("overlap").cast("long").alias("overlap"), "target_noise_loss", "f1")
+    return _rounded(found, "target_noise_loss", "f1", digits=9)
+
+
+def evaluation_summary(spark, sf):
+    """What an evaluation says over all targets."""
     found = metrics.evaluate(labelled_docs(spark, sf), "synthetic", [f"t{i}" for i in range(4)])
-    rows = [(r["target"], r["target_label"], r["target_size"], r["matched_predicted_cluster"], r["overlap"], r["f1"], r["fragments"]) for r in found["target_matches"]]
-    return spark.createDataFrame(rows, "target string, target_label long, target_size long, matched_predicted_cluster long, overlap long, f1 double, fragments int")
+    names = ["macro_target_f1", "weighted_target_f1", "macro_target_purity", "weighted_target_coverage", "target_success_rate_f1_080", "mean_target_fragments", "macro_target_noise_loss", "noise_aware_macro_f1"]
+    counts = ["extra_signal_fragments", "merged_predicted_clusters", "unmatched_predicted_cluster_count", "recovered_truth_clusters_f1_090"]
+    row = [round(float(found[n]), 9) for n in names] + [int(found[n]) for n in counts]
+    return spark.createDataFrame([tuple(row)], ", ".join([f"{n} double" for n in names] + [f"{n} long" for n in counts]))
 
 
 def mutual_information(spark, sf):
@@ -379,7 +389,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         knn_edges, knn_lists_sorted, knn_distance, knn_grid, knn_gather, shared_neighbours, range_degree, dbscan, knn_dbscan, snn_dbscan, log_distances, signatures, shells,
         intrinsic_dimension, boundary_terms, robust_scale, label_codes, global_positions, connected, stratum_events, threshold_sweep, fixed_quantile, component_statistics, borders, data_terms, mixture_assignment, em_step, information_scores, window_sizes, single_layer,
-        clustering_metrics, contingency, pair_scores, target_summary, cluster_burden, adjusted_rand, evaluation, mutual_information, peak_density, peak_parents, peak_centers, follow_parents,
+        clustering_metrics, contingency, pair_scores, target_summary, cluster_burden, adjusted_rand, evaluation, evaluation_summary, mutual_information, peak_density, peak_parents, peak_centers, follow_parents,
         symmetric_edges, unit_vectors, signal_log_odds, topology_evidence, job_expansion, estimator_labels, stratification, background_scan, background_scan_family, density_peaks, synthetic_family, comparison, comparison_by_suite, comparison_verdict,
     )
 } | {f"method_{m}": _method(m) for m in ("hdbscan", "optics", "vdbscan_2007", "amd_dbscan", "knn_leiden", "xshift")}
@@ -430,6 +440,15 @@ jobs AS (SELECT suite, dataset_id, method, seed, CASE WHEN w.here AND n.here THE
   FROM was w FULL JOIN now n USING (suite, dataset_id, method, seed))"""
 _Y = "lab AS (SELECT (doc_id % 5 - 1)::BIGINT AS y, greatest(doc_id % 7 % 4 + quality - toxic - 1, -1)::BIGINT AS p FROM labels), c AS (SELECT y, p, count(*) AS n FROM lab GROUP BY ALL)"
 
+#: Of all one-to-one assignments that of the largest sum of f1: targets one after another take a cluster that is left, or none.
+_MATCHED = """t AS (SELECT y, sum(n)::BIGINT AS target_size, coalesce(sum(n) FILTER (p < 0), 0) AS lost, greatest(1, ceil(sum(n) * 0.05)) AS least, row_number() OVER (ORDER BY y) AS i FROM c WHERE y >= 0 GROUP BY y),
+z AS (SELECT p, sum(n) AS cs FROM c WHERE p >= 0 GROUP BY p), w AS (SELECT y, p, n, cs, 2.0 * n / (target_size + cs) AS f1 FROM c JOIN t USING (y) JOIN z USING (p)),
+o AS (SELECT y, p, f1 FROM w UNION ALL SELECT y, NULL, 0 FROM t),
+a AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS picks, 0::DOUBLE AS total UNION ALL
+      SELECT t.i, list_append(picks, p), total + f1 FROM a JOIN t ON t.i = a.i + 1 JOIN o USING (y) WHERE p IS NULL OR NOT list_contains(picks, p)),
+b AS (SELECT picks FROM a WHERE i = (SELECT max(i) FROM t) ORDER BY total DESC LIMIT 1),
+m AS (SELECT t.*, w.p, w.n, w.cs, w.f1, (SELECT count(*) FROM w AS x WHERE x.y = t.y AND x.n >= t.least) AS fragments FROM t, b LEFT JOIN w ON w.y = t.y AND w.p = picks[t.i])"""
+
 ORACLE_SQL: dict[str, str] = {
     "knn_edges": f"WITH {_knn(K)} SELECT src, rank, dst FROM knn",
     "knn_lists_sorted": f"SELECT vec_id::BIGINT AS id, least({K}, (SELECT count(*) - 1 FROM embeddings))::BIGINT AS n, false AS has_self FROM embeddings",
@@ -565,6 +584,15 @@ SELECT y, ts::BIGINT AS target_size, round(lost / ts, 9) AS target_noise_loss, c
     "cluster_burden": f"""WITH {_Y}, q AS (SELECT p, sum(n) AS s, coalesce(sum(n) FILTER (y >= 0), 0) AS hit FROM c WHERE p >= 0 GROUP BY p), t AS (SELECT count(DISTINCT y) AS k FROM c WHERE y >= 0)
 SELECT count(*) AS predicted_cluster_count, count(*) FILTER (hit > 0) AS candidate_clusters_with_target_overlap, count(*) FILTER (hit = 0) AS background_only_predicted_clusters,
        count(*) FILTER (s - hit > hit) AS background_majority_predicted_clusters, round(count(*) / max(k), 9) AS candidate_clusters_per_target FROM q, t""",
+    "evaluation": f"""WITH RECURSIVE {_Y}, {_MATCHED}
+SELECT y, target_size, fragments, p, coalesce(n, 0)::BIGINT AS overlap, round(lost / target_size, 9) AS target_noise_loss, round(coalesce(f1, 0), 9) AS f1 FROM m""",
+    "evaluation_summary": f"""WITH RECURSIVE {_Y}, {_MATCHED}, noise AS (SELECT 2 * sum(n) FILTER (y < 0 AND p < 0) / (sum(n) FILTER (p < 0) + sum(n) FILTER (y < 0)) AS f1 FROM c),
+held AS (SELECT count(*) AS n FROM (SELECT p FROM w JOIN t USING (y) WHERE n >= least GROUP BY p HAVING count(*) > 1)), q AS (SELECT count(DISTINCT p) AS n FROM c WHERE p >= 0),
+s AS (SELECT avg(coalesce(f1, 0)) AS macro, sum(coalesce(f1, 0) * target_size) / sum(target_size) AS weighted, avg(coalesce(n / cs, 0)) AS purity, sum(coalesce(n / target_size, 0) * target_size) / sum(target_size) AS coverage,
+  avg((coalesce(f1, 0) >= 0.8)::INTEGER) AS success, avg(fragments) AS fragments, avg(lost / target_size) AS lost, sum(greatest(fragments - 1, 0))::BIGINT AS extra, count(p) AS matched, count(*) FILTER (f1 >= 0.9) AS recovered FROM m)
+SELECT round(macro, 9) AS macro_target_f1, round(weighted, 9) AS weighted_target_f1, round(purity, 9) AS macro_target_purity, round(coverage, 9) AS weighted_target_coverage, round(success, 9) AS target_success_rate_f1_080,
+  round(fragments, 9) AS mean_target_fragments, round(lost, 9) AS macro_target_noise_loss, round(CASE WHEN macro > 0 AND noise.f1 > 0 THEN 2 / (1 / macro + 1 / noise.f1) ELSE 0 END, 9) AS noise_aware_macro_f1,
+  extra AS extra_signal_fragments, held.n AS merged_predicted_clusters, q.n - matched AS unmatched_predicted_cluster_count, recovered AS recovered_truth_clusters_f1_090 FROM s, noise, held, q""",
     "adjusted_rand": f"""WITH {_Y}, m AS (SELECT * FROM c WHERE y >= 0), a AS (SELECT sum(s * (s - 1) / 2)::DOUBLE AS a FROM (SELECT sum(n) AS s FROM m GROUP BY y)), b AS (SELECT sum(s * (s - 1) / 2)::DOUBLE AS b FROM (SELECT sum(n) AS s FROM m GROUP BY p)),
 z AS (SELECT sum(n * (n - 1) / 2)::DOUBLE AS z, sum(n)::DOUBLE AS n FROM m) SELECT round((z - a * b / (n * (n - 1) / 2)) / ((a + b) / 2 - a * b / (n * (n - 1) / 2)), 9) AS ari FROM a, b, z""",
     "peak_density": """WITH n AS (SELECT count(*) AS n, ceil(0.02 * count(*))::BIGINT AS k FROM embeddings), """ + _knn(1_000_000) + """,

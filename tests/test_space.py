@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from shellcluster.operators import knn, space
+from shellcluster.operators import descent, knn, space
 
 
 def shapes():
@@ -99,3 +99,45 @@ def test_bounds_hold_every_row(rows):
         assert all((i, own[j]) in seen for i, j in zip(*np.nonzero(dist <= radius[:, None])))
         far = cells.within(x, 7)
         assert ((dist <= far[:, None]).sum(axis=1) >= 7).all()
+
+
+def graph_frame(spark, x):
+    return spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(np.asarray(x, np.float32))], "id long, features array<float>").repartition(4).cache()
+
+
+@pytest.mark.parametrize("d", [2, 16])
+def test_refined_graph(spark, d):
+    """Lists that begin with few buckets find nearly all neighbours; each row has k of them."""
+    x = np.random.default_rng(42).normal(size=(3000, d))
+    df = graph_frame(spark, x)
+    graph = knn.build_knn_graph(df, k=12, backend="descent").cache()
+    knn.validate(graph, 12, deep=True)
+    exact = knn.block_graph(df, df, 12, 3000, d).cache()
+    assert knn.recall(graph, exact, 4) >= 0.99 and knn.recall(graph, exact, 12) >= 0.98
+
+
+def test_refinement_of_crowds_and_hubs(spark):
+    """Rows at one place, one row near all others, and rows that no bucket brings together with others."""
+    rng = np.random.default_rng(1)
+    sphere = rng.normal(size=(500, 6))
+    x = np.concatenate([np.zeros((300, 6)), sphere / np.linalg.norm(sphere, axis=1, keepdims=True), 50 * rng.normal(size=(20, 6))])
+    df = graph_frame(spark, x)
+    graph = knn.build_knn_graph(df, k=5, backend="descent", config=knn.LSHConfig(max_bucket=64, bucket=32)).cache()
+    knn.validate(graph, 5, deep=True)
+    told = {r["id"]: r["dist"] for r in graph.collect()}
+    full = np.sqrt(((x[:, None].astype(np.float32) - x[None].astype(np.float32)) ** 2).sum(axis=2))
+    np.fill_diagonal(full, np.inf)
+    best = np.sort(full, axis=1)[:, :5]
+    assert np.mean([np.allclose(told[i], best[i], atol=1e-5) for i in range(len(x))]) >= 0.95
+
+
+def test_meetings_against_all_pairs():
+    """What a meeting gives is each fresh pair that is nearer than the list's last, with its distance."""
+    rng = np.random.default_rng(2)
+    size = np.array([3, 1, 5, 2])
+    ids, x, fresh, last = np.arange(11) * 7, rng.normal(size=(11, 3)), rng.random(11) < 0.5, rng.uniform(0.5, 3, 11)
+    src, dst, dist = descent._pairs(ids, x, size, fresh, last)
+    group = np.repeat(np.arange(4), size)
+    wanted = {(ids[i], ids[j]) for i in range(11) for j in range(11) if i != j and group[i] == group[j] and (fresh[i] or fresh[j]) and np.linalg.norm(x[i] - x[j]) < last[i]}
+    assert set(zip(src, dst)) == wanted and len(src) == len(wanted)
+    assert np.allclose(dist, np.linalg.norm(x[src // 7] - x[dst // 7], axis=1))
