@@ -11,6 +11,8 @@ from ..runtime import materialize
 
 #: Edges up to which components are found on the driver.
 LOCAL_EDGES = 2_000_000
+#: Rows of a key that is joined by broadcast, and such keys at most.
+HUB_ROWS, HUBS = 10_000, 1_000_000
 #: Values that one task holds for an exact quantile.
 EXACT_ROWS = 4_000_000
 
@@ -42,17 +44,46 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         return spark.createDataFrame(pa.table({"id": pa.array(ids, pa.int64()), "component": pa.array(labels, pa.int64())}))
-    both = materialize(edges.union(edges.select("dst", "src")).where("src != dst").distinct(), "component-edges")
-    labels = nodes.select("id", F.col("id").alias("component"))
+    stars = star_edges(edges)
+    return nodes.select("id").join(stars.select(F.col("high").alias("id"), "low"), "id", "left").select("id", F.coalesce("low", "id").alias("component"))
+
+
+def star_edges(edges: DataFrame) -> DataFrame:
+    """high and low: each node but its component's smallest, with that. edges: src, dst.
+
+    Large and small stars by turns (each node's larger neighbours are tied to its smallest neighbour, then its smaller
+    ones and itself are), until nothing changes: about log n rounds. A node's smallest neighbour comes from a
+    grouping, which tasks combine beforehand, and reaches its edges by joined_to_hubs.
+    """
+    tied = edges.select(F.greatest("src", "dst").alias("high"), F.least("src", "dst").alias("low")).where("high != low").distinct()
+    tied, known = materialize(tied, "star-edges"), None
     while True:
-        labels = materialize(labels, "component-labels")
-        near = both.join(labels.select(F.col("id").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("near"))
-        step = labels.join(near, "id", "left").select("id", "component", F.least("component", F.coalesce("near", "component")).alias("to"))
-        far = step.select(F.col("id").alias("to"), F.col("to").alias("far"))
-        new = materialize(step.join(far, "to").select("id", F.least("to", "far").alias("component"), (F.least("to", "far") != F.col("component")).alias("moved")), "component-step")
-        labels = new.drop("moved")
-        if not new.where("moved").limit(1).count():
-            return labels
+        state = tied.agg(F.count("*"), F.bit_xor(F.xxhash64("high", "low"))).first()
+        if state == known or not state[0]:
+            return tied
+        known = state
+        least = materialize(tied.groupBy("high").agg(F.min("low").alias("least"), F.count("*").alias("n")), "star-least")
+        under = tied.groupBy("low").agg(F.count("*").alias("n"))
+        large = joined_to_hubs(tied, least.select(F.col("high").alias("low"), "least").join(under, "low"), "low")
+        tied = materialize(large.select("high", F.coalesce("least", "low").alias("low")).distinct(), "star-edges")
+        least = materialize(tied.groupBy("high").agg(F.min("low").alias("least"), F.count("*").alias("n")), "star-least")
+        small = joined_to_hubs(tied, least, "high").where("low != least").select(F.col("low").alias("high"), F.col("least").alias("low"))
+        tied = materialize(small.union(least.select("high", "least")).distinct(), "star-edges")
+
+
+def joined_to_hubs(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """rows left-joined to values, which has each key once and in n how many rows it has here.
+
+    Keys of HUB_ROWS and more don't meet in one task: there is no more than one for so many rows, and they are broadcast
+    while there are HUBS or fewer (beyond, a hub is less than a HUBS-th of all rows, and joins by shuffle).
+    """
+    given = [c for c in values.columns if c != "n"]
+    hubs = materialize(values.where(F.col("n") >= HUB_ROWS).select(*given), "hubs")
+    n = hubs.limit(HUBS + 1).count()
+    if not n or n > HUBS:
+        return rows.join(values.select(*given), key, "left")
+    plain = rows.join(F.broadcast(hubs.select(key)), key, "left_anti").join(values.where(F.col("n") < HUB_ROWS).select(*given), key, "left")
+    return plain.unionByName(rows.join(F.broadcast(hubs), key))
 
 
 def quantile(df: DataFrame, value: Column | str, q: float) -> float | None:

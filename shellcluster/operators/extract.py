@@ -113,10 +113,15 @@ def threshold_sweep(ordered: DataFrame, events: DataFrame, n_reference: int, ran
 
 
 def fixed_quantile(ordered: DataFrame, q: float) -> DataFrame:
-    """group, size, threshold, gain: rows up to the q quantile of d; there is no gain."""
-    cut = ordered.groupBy("group").agg(F.percentile("d", q).alias("cut"))
-    kept = ordered.join(F.broadcast(cut), "group").where("d <= cut")
-    return kept.groupBy("group").agg(F.count("*").alias("size"), F.max("d").alias("threshold"), F.lit(float("nan")).alias("gain"))
+    """group, size, threshold, gain: rows up to the q quantile of d (linear between rows, so all rows as near as the one before it); there is no gain.
+
+    Places come from prefix_sums, so no task sorts a group.
+    """
+    run = prefix_sums(ordered.where("d IS NOT NULL"), "group", ["d", "id"], {"one": F.lit(1.0)}, "d")
+    ends = run.where(F.col("next_value").isNull() | (F.col("next_value") != F.col("d")))
+    at = ends.where(F.col("place") > F.floor(F.lit(q) * (F.col("group_size") - 1)))
+    first = F.min(F.struct("place", "d")).alias("b")
+    return at.groupBy("group").agg(first).select("group", F.col("b.place").alias("size"), F.col("b.d").alias("threshold"), F.lit(float("nan")).alias("gain"))
 
 
 def component_statistics(graph: DataFrame, candidates: DataFrame, rank: int, n_reference: int) -> tuple[DataFrame, DataFrame]:

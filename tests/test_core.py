@@ -489,6 +489,29 @@ def test_robust_scale_and_positions(spark):
     assert sorted(r["pos"] for r in placed.collect()) == list(range(1000))
 
 
+def test_quantiles_of_groups(spark):
+    """Also with ties at the cut and in groups of one row."""
+    rng = np.random.default_rng(6)
+    rows = [(int(i), int(g), float(v)) for i, (g, v) in enumerate(zip(rng.integers(0, 4, 300), np.round(rng.random(300), 1)))] + [(900, 7, 2.5)]
+    df = spark.createDataFrame(rows, "id long, group int, d double").repartition(5)
+    for q in (0.0, 0.31, 0.5, 1.0):
+        found = {r["group"]: (r["size"], r["threshold"]) for r in extract.fixed_quantile(df, q).collect()}
+        for g in (0, 1, 2, 3, 7):
+            d = np.array([v for _, h, v in rows if h == g])
+            kept = d[d <= np.quantile(d, q)]
+            assert found[g] == (len(kept), kept.max())
+
+
+def test_stars(spark, monkeypatch):
+    """Hubs at either end, paths and loops, with few rows a key."""
+    monkeypatch.setattr(components, "LOCAL_EDGES", 1)
+    monkeypatch.setattr(components, "HUB_ROWS", 5)
+    hub = [(i, 1000) for i in range(200, 260)] + [(i, 100) for i in range(300, 360)] + [(5, 5)] + [(i, i + 1) for i in range(20, 60)] + [(60, 20), (359, 259)]
+    nodes = spark.createDataFrame([(i,) for i in sorted({i for e in hub for i in e} | {7})], "id long")
+    found = {r["id"]: r["component"] for r in components.connected_components(nodes, spark.createDataFrame(hub, "src long, dst long")).collect()}
+    assert found == {i: 5 if i == 5 else 7 if i == 7 else 20 if i <= 60 else 100 for i in found} and len(found) == nodes.count()
+
+
 def test_components_paths_agree(spark, monkeypatch):
     rng = np.random.default_rng(4)
     edges = spark.createDataFrame([tuple(map(int, e)) for e in rng.integers(0, 300, (200, 2))], "src long, dst long")
