@@ -177,6 +177,14 @@ def borders(spark, sf):
     return found.select("id", "label")
 
 
+def growth(spark, sf):
+    """Core rows of the strata under 5 start clusters; those of the others join clusters they touch, or start further ones."""
+    graph, rows = strata_rows(spark, sf)
+    cut = extract.fixed_quantile(rows, 0.5).select("group", "threshold")
+    core = rows.join(F.broadcast(cut), "group").where("d <= threshold")
+    return extract.grow(graph, core.select("id", (F.col("group") >= 5).cast("int").alias("group"), F.col("threshold").alias("radius")))
+
+
 def data_terms(spark, sf):
     out, _ = density.shell_volumes(graph_of(spark, sf), (2, 4, 8), 2.0)
     return out.select("id", F.round("data_term", 3).alias("term"))
@@ -318,7 +326,17 @@ def topology_evidence(spark, sf):
 
 
 def job_expansion(spark, sf):
-    return benchmark.job_frame(spark, benchmark.QUERY_PROTOCOL, "synthetic").select("dataset_id", "method", "seed", "n", F.element_at(F.split("job_id", "__"), -1).alias("digest"))
+    """Jobs of a protocol with a seed for each nation, over as many rows as there are suppliers and customers."""
+    seeds = [r[0] for r in spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").cast("long")).orderBy("n_nationkey").collect()]
+    sizes = [spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("supplier", "customer")]
+    protocol = dict(benchmark.QUERY_PROTOCOL, synthetic=dict(benchmark.QUERY_PROTOCOL["synthetic"], quality_seeds=seeds, quality_sizes=sizes))
+    return benchmark.job_frame(spark, protocol, "synthetic").select("dataset_id", "method", "seed", "n", F.element_at(F.split("job_id", "__"), -1).alias("digest"))
+
+
+def field_choice(spark, sf):
+    """Of all parts the hundred whose names' salted hashes are the least."""
+    names = spark.read.parquet(f"{sf}/part.parquet").select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("field"))
+    return benchmark.stable_choice(names, {"strategy": "stable_hash", "count": 100, "salt": "query"})
 
 
 def estimator_labels(spark, sf):
@@ -331,20 +349,15 @@ def stratification(spark, sf):
 
 
 def background_scan(spark, sf):
-    graph = graph_of(spark, sf)
+    """The scan over all customers, spread by balance and key, but for the first few, who stand close together: one event."""
+    c = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").cast("long").alias("id"), F.col("c_acctbal").cast("double").alias("b"))
+    at = [F.col("b") / 1000, (F.col("id") * 104729 % 10007) / 1000.0]
+    points = c.select("id", F.array(*[F.when(F.col("id") <= 4, 20 + v / 500).otherwise(v).cast("float") for v in at]).alias("features"))
+    graph = materialize(knn.build_knn_graph(points, k=K), "query-graph")
     found, _, _ = extract.background_scan(graph, knn.k_distance(graph, 4), K, 4)
     return found if found is not None else spark.createDataFrame([], "id long, event long")
 
 
-def background_scan_family(spark, sf):
-    """The scan over a family whose background holds clusters, with how many rows each event has."""
-    points = materialize(synthetic.generate(spark, synthetic.multidensity_2d(4000, seed=42), 42), "family")
-    graph = materialize(knn.build_knn_graph(points.select("id", "features"), k=K), "query-graph")
-    found, _, _ = extract.background_scan(graph, knn.k_distance(graph, 4), K, 4)
-    found = found if found is not None else spark.createDataFrame([], "id long, event long")
-    return found.join(points, "id").groupBy("event").agg(F.count("*").alias("n"), F.count_if(F.col("y") >= 0).alias("of_clusters"))
-
-
 def density_peaks(spark, sf):
     return comparators.run_density_peaks(plane(spark, sf).select("id", "features")).labels
 
@@ -354,7 +367,8 @@ def _method(name):
 
 
 def synthetic_family(spark, sf):
-    family = synthetic.multidensity_2d(20_000, seed=42)
+    """Sizes of the clusters of a family of as many rows as there are orders."""
+    family = synthetic.density_contrast(spark.read.parquet(f"{sf}/orders.parquet").count(), dimension=2, density_ratio=10.0)
     return synthetic.generate(spark, family, 42).groupBy("y").agg(F.count("*").alias("n"))
 
 
@@ -388,9 +402,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         knn_edges, knn_lists_sorted, knn_distance, knn_grid, knn_gather, shared_neighbours, range_degree, dbscan, knn_dbscan, snn_dbscan, log_distances, signatures, shells,
-        intrinsic_dimension, boundary_terms, robust_scale, label_codes, global_positions, connected, stratum_events, threshold_sweep, fixed_quantile, component_statistics, borders, data_terms, mixture_assignment, em_step, information_scores, window_sizes, single_layer,
+        intrinsic_dimension, boundary_terms, robust_scale, label_codes, global_positions, connected, stratum_events, threshold_sweep, fixed_quantile, component_statistics, borders, growth, data_terms, mixture_assignment, em_step, information_scores, window_sizes, single_layer,
         clustering_metrics, contingency, pair_scores, target_summary, cluster_burden, adjusted_rand, evaluation, evaluation_summary, mutual_information, peak_density, peak_parents, peak_centers, follow_parents,
-        symmetric_edges, unit_vectors, signal_log_odds, topology_evidence, job_expansion, estimator_labels, stratification, background_scan, background_scan_family, density_peaks, synthetic_family, comparison, comparison_by_suite, comparison_verdict,
+        symmetric_edges, unit_vectors, signal_log_odds, topology_evidence, job_expansion, field_choice, estimator_labels, stratification, background_scan, density_peaks, synthetic_family, comparison, comparison_by_suite, comparison_verdict,
     )
 } | {f"method_{m}": _method(m) for m in ("hdbscan", "optics", "vdbscan_2007", "amd_dbscan", "knn_leiden", "xshift")}
 
@@ -524,6 +538,17 @@ SELECT c.component, min(s."group")::INTEGER AS "group", count(*) AS size, coales
     "borders": f"""WITH {_STRATA}, q AS (SELECT "group", quantile_cont(d, 0.5) AS mid FROM strata GROUP BY "group"), core AS (SELECT id, "group", max(d) OVER (PARTITION BY "group") AS radius FROM strata JOIN q USING ("group") WHERE d <= mid),
 r AS (SELECT k.src AS id, c."group" AS label, k.dist::FLOAT::DOUBLE / c.radius AS ratio, k.rank FROM knn k JOIN core c ON c.id = k.dst WHERE k.rank <= 4 AND k.src NOT IN (SELECT id FROM core))
 SELECT id, label::BIGINT AS label FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY ratio, rank) = 1 AND ratio <= 1""",
+    "growth": f"""WITH RECURSIVE {_STRATA}, q AS (SELECT "group", quantile_cont(d, 0.5) AS mid FROM strata GROUP BY "group"),
+core AS MATERIALIZED (SELECT id, ("group" >= 5)::INTEGER AS g, max(d) OVER (PARTITION BY "group") AS radius FROM strata JOIN q USING ("group") WHERE d <= mid),
+e AS MATERIALIZED (SELECT k.src, k.dst, k.dist::FLOAT::DOUBLE AS dist, k.rank, a.g AS ga, b.g AS gb, a.radius AS ra, b.radius AS rb FROM knn k JOIN core a ON a.id = k.src JOIN core b ON b.id = k.dst),
+inner_edges AS MATERIALIZED (SELECT src, dst, dist FROM e WHERE ga = gb AND dist <= ra UNION SELECT dst, src, dist FROM e WHERE ga = gb AND dist <= ra), {_components("core", "inner_edges")},
+comp AS MATERIALIZED (SELECT id, g, min(label) AS component FROM cc JOIN core USING (id) GROUP BY id, g),
+old AS MATERIALIZED (SELECT id, dense_rank() OVER (ORDER BY component) - 1 AS label FROM comp WHERE g = 0),
+seeds AS MATERIALIZED (SELECT src AS id, arg_min(label, (dist, rank)) AS label FROM e JOIN old ON old.id = dst WHERE ga = 1 AND gb = 0 AND dist <= rb GROUP BY src),
+fresh AS (SELECT id, dense_rank() OVER (ORDER BY component) + coalesce((SELECT max(label) FROM old), -1) AS label FROM comp WHERE g = 1 AND component NOT IN (SELECT component FROM comp JOIN seeds USING (id))),
+walk(id, label, far, i) AS (SELECT id, label, 0::DOUBLE, 0 FROM seeds UNION ALL
+  SELECT id, arg_min(label, (far, label)), min(far), i + 1 FROM (SELECT * FROM walk UNION ALL SELECT x.dst, label, far + x.dist, i FROM walk JOIN inner_edges x ON x.src = walk.id) WHERE i < 60 GROUP BY id, i)
+SELECT id, label::BIGINT AS label FROM old UNION ALL SELECT id, label::BIGINT FROM fresh UNION ALL SELECT id, label::BIGINT FROM walk WHERE i = 60""",
     "data_terms": f"WITH {_SHELLS} SELECT id, round(term, 3) AS term FROM shells",
     "mixture_assignment": f"""WITH {_E_STEP} SELECT id, CASE WHEN arg_max(k, (z, -k)) = 2 THEN 1 ELSE 0 END::INTEGER AS "group", round(sum(r) FILTER (k = 2), 4) AS p_background FROM resp GROUP BY id""",
     "em_step": f"""WITH RECURSIVE {_E_STEP}, s AS MATERIALIZED (SELECT k, sum(r) AS n, sum(r * s1) AS w1, sum(r * s2) AS w2, sum(r * s3) AS w3 FROM resp GROUP BY k),
@@ -542,6 +567,20 @@ one AS (SELECT k.src, k.dst FROM knn k JOIN o a ON a.id = k.src JOIN o b ON b.id
 inner_edges AS MATERIALIZED (SELECT src, dst FROM one UNION SELECT dst, src FROM one), {_components("o", "inner_edges")},
 comp AS (SELECT id, min(label) AS component FROM cc GROUP BY id)
 SELECT w::BIGINT AS "window", max(n)::BIGINT AS size FROM (SELECT w, component, count(*) AS n FROM comp JOIN o USING (id) GROUP BY ALL) GROUP BY w""",
+    "background_scan": f"""WITH RECURSIVE v AS (SELECT c_custkey::BIGINT AS id, c_acctbal::DOUBLE / 1000 AS x, (c_custkey * 104729 % 10007) / 1000.0::DOUBLE AS y FROM customer),
+p AS MATERIALIZED (SELECT id, (CASE WHEN id <= 4 THEN 20 + x / 500 ELSE x END)::FLOAT::DOUBLE AS x, (CASE WHEN id <= 4 THEN 20 + y / 500 ELSE y END)::FLOAT::DOUBLE AS y FROM v),
+knn AS MATERIALIZED (SELECT a.id AS src, b.id AS dst, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist, row_number() OVER (PARTITION BY a.id ORDER BY dist, b.id) AS rank FROM p a JOIN p b ON a.id <> b.id QUALIFY rank <= 4),
+o AS MATERIALIZED (SELECT src AS id, row_number() OVER (ORDER BY dist::FLOAT, src) - 1 AS pos FROM knn WHERE rank = 4), n AS (SELECT count(*) AS n FROM o),
+widths AS (SELECT (4 * power(2, j))::BIGINT AS w FROM range(40) t(j), n WHERE 8 * power(2, j) <= n),
+one AS (SELECT w, a.pos AS src, b.pos AS dst FROM knn k JOIN o a ON a.id = k.src JOIN o b ON b.id = k.dst, widths WHERE a.pos // w = b.pos // w),
+both_ways AS MATERIALIZED (SELECT w, src, dst FROM one UNION SELECT w, dst, src FROM one),
+cc(w, pos, label) AS (SELECT w, pos, pos FROM o, widths UNION SELECT e.w, e.dst, c.label FROM cc c JOIN both_ways e ON e.w = c.w AND e.src = c.pos AND c.label < e.dst),
+comp AS MATERIALIZED (SELECT w, pos, min(label) AS label FROM cc GROUP BY w, pos),
+sizes AS MATERIALIZED (SELECT w, pos // w AS win, label, count(*) AS size FROM comp GROUP BY ALL), largest AS (SELECT w, win, max(size) AS size FROM sizes GROUP BY ALL),
+ranks AS (SELECT a.w, count(*) FILTER (b.win > 0 AND b.size >= a.size) AS later, count(*) AS windows FROM largest a JOIN largest b USING (w) WHERE a.win = 0 GROUP BY a.w),
+best AS (SELECT w FROM ranks WHERE windows >= 2 ORDER BY -ln((1 + later) / windows) DESC, w LIMIT 1),
+top AS (SELECT w, label FROM sizes JOIN best USING (w) WHERE win = 0 ORDER BY size DESC, label LIMIT 1)
+SELECT o.id, 0::BIGINT AS event FROM comp JOIN top USING (w, label) JOIN o USING (pos)""",
     "single_layer": """SELECT vec_id::BIGINT AS id, CASE WHEN label = 2 THEN 1 ELSE 0 END::INTEGER AS "group" FROM embeddings""",
     "mutual_information": f"""WITH {_Y}, m AS (SELECT y, greatest(p, -1) AS p, n::DOUBLE AS n FROM c WHERE y >= 0), a AS (SELECT y, sum(n) AS a FROM m GROUP BY y), b AS (SELECT p, sum(n) AS b FROM m GROUP BY p), t AS (SELECT sum(n) AS n FROM m),
 mi AS (SELECT sum(m.n / t.n * ln(m.n * t.n / (a.a * b.b))) AS mi FROM m JOIN a USING (y) JOIN b USING (p), t),
@@ -609,7 +648,9 @@ SELECT id, round(CASE WHEN sqrt(a * a + b * b) > 2.220446049250313e-16 THEN a /
 SELECT p_partkey, CASE WHEN size >= 2 AND s >= 1 AND s <= t AND s / t > p0 THEN round(lgamma(s + 0.5) + lgamma(t - s + 0.5) - lgamma(t + 1) - ln(pi()) - s * ln(p0) - CASE WHEN t > s THEN (t - s) * ln(1 - p0) ELSE 0 END, 5) END AS evidence FROM p""",
     "job_expansion": """WITH j AS (SELECT c || '__' || t || '__n' || n AS dataset_id, m AS method, s::BIGINT AS seed, n::BIGINT AS n,
        '{"dataset":{"dimension":2,"family":"' || f || '","id":"' || c || '","n":' || n || ',"noise_fraction":0.5,"tier":"' || t || '"},"dataset_id":"' || c || '__' || t || '__n' || n || '","method":"' || m || '","protocol_version":"query","schema_version":1,"seed":' || s || ',"suite":"synthetic"}' AS job
-FROM (VALUES ('moons_2d', 'moons'), ('rings_2d', 'rings')) cases(c, f), (VALUES ('quality')) tiers(t), (VALUES (500), (1000)) sizes(n), (VALUES ('strata'), ('dbscan')) methods(m), (VALUES (42), (43)) seeds(s))
+FROM (VALUES ('moons_2d', 'moons'), ('rings_2d', 'rings')) cases(c, f), (VALUES ('quality')) tiers(t), (SELECT count(*) FROM supplier UNION ALL SELECT count(*) FROM customer) sizes(n), (VALUES ('strata'), ('dbscan')) methods(m), (SELECT n_nationkey FROM nation) seeds(s))
 SELECT dataset_id, method, seed, n, sha256(job)[1:12] AS digest FROM j""",
-    "synthetic_family": "SELECT * FROM (VALUES (-1::BIGINT, 15000::BIGINT), (0, {0}), (1, {1}), (2, {2}), (3, {3}), (4, {4}), (5, {5})) t(y, n)".format(*synthetic.multidensity_2d(20_000, seed=42).counts[:-1]),
+    "field_choice": "SELECT 'part-' || p_partkey AS field FROM part ORDER BY sha256('query:part-' || p_partkey) LIMIT 100",
+    "synthetic_family": """WITH o AS (SELECT count(*) AS n, round_even(0.75 * count(*), 0)::BIGINT AS signal FROM orders)
+SELECT i::BIGINT AS y, signal // 6 + (i < signal % 6)::BIGINT AS n FROM o, range(6) t(i) UNION ALL SELECT -1, n - signal FROM o""",
 }
