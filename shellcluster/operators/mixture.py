@@ -203,14 +203,21 @@ class Shells:
 
     def statistics(self, p: Parameters) -> Statistics:
         """One E step."""
+        return self.statistics_of([p])[0]
+
+    def statistics_of(self, models: list[Parameters]) -> list[Statistics]:
+        """An E step of several models, in one pass over the rows."""
         shapes = self.shapes
 
         def make(x, term, _):
-            r, ll = responsibilities(x, term, p, shapes)
-            return {"effective": r.sum(0), "weighted": r.T @ x, "ll": float(ll.sum())}
+            out = {}
+            for i, p in enumerate(models):
+                r, ll = responsibilities(x, term, p, shapes)
+                out |= {(i, "effective"): r.sum(0), (i, "weighted"): r.T @ x, (i, "ll"): float(ll.sum())}
+            return out
 
         s = make(self.shells, self.data_term, None) if self.local else self._partial(make)
-        return Statistics(s["effective"], s["weighted"], s["ll"])
+        return [Statistics(s[i, "effective"], s[i, "weighted"], s[i, "ll"]) for i in range(len(models))]
 
     def entropy(self, p: Parameters, merge: np.ndarray | None) -> float:
         """Of responsibilities; merge: components that count as one background."""
@@ -346,27 +353,30 @@ def m_step(s: Statistics, n: int, shapes: np.ndarray, config: MixtureConfig) ->
     return Parameters(effective / n, mu, slopes, rates)
 
 
-def em(rows: Shells, start: Statistics, config: MixtureConfig) -> Fit:
-    """EM from first statistics, until the log likelihood moves by less than tolerance of itself."""
-    stats, before, p, done, i = start, -math.inf, None, False, 0
+def em(rows: Shells, starts: list[Statistics], config: MixtureConfig) -> list[Fit]:
+    """EM from each of some first statistics, until the log likelihood moves by less than tolerance of itself. A round of all that aren't done is one pass over the rows."""
+    stats, before, fits = dict(enumerate(starts)), dict.fromkeys(range(len(starts)), -math.inf), {}
     for i in range(1, config.max_iter + 1):
-        p = m_step(stats, rows.n, rows.shapes, config)
-        stats = rows.statistics(p)
-        if math.isfinite(before) and abs(stats.log_likelihood - before) <= config.tolerance * (1 + abs(before)):
-            done = True
+        models = {j: m_step(s, rows.n, rows.shapes, config) for j, s in stats.items()}
+        stats = dict(zip(models, rows.statistics_of(list(models.values()))))
+        for j, s in list(stats.items()):
+            done = math.isfinite(before[j]) and abs(s.log_likelihood - before[j]) <= config.tolerance * (1 + abs(before[j]))
+            before[j] = s.log_likelihood
+            if done or i == config.max_iter:
+                fits[j] = Fit(models[j].sorted(), s.log_likelihood, i, done)
+                del stats[j]
+        if not stats:
             break
-        before = stats.log_likelihood
-    return Fit(p.sorted(), stats.log_likelihood, i, done)
+    return [fits[j] for j in sorted(fits)]
 
 
 def fit_components(rows: Shells, components: int, config: MixtureConfig, previous: Fit | None = None) -> Fit:
     """The best of n_init starts; a split of the previous size's fit counts as one."""
-    starts, fits = config.n_init, []
+    starts = []
     if config.split_warm_start and previous is not None and len(previous.parameters.mu) + 1 == components:
-        fits.append(em(rows, rows.split(previous.parameters), config))
-        starts -= 1
-    fits += [em(rows, rows.cold(components, r), config) for r in range(starts)]
-    return max(fits, key=lambda f: f.log_likelihood)
+        starts.append(rows.split(previous.parameters))
+    starts += [rows.cold(components, r) for r in range(config.n_init - len(starts))]
+    return max(em(rows, starts, config), key=lambda f: f.log_likelihood)
 
 
 def largest_rate_gap(p: Parameters, least: float) -> np.ndarray:

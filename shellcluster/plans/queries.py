@@ -215,6 +215,21 @@ def em_step(spark, sf):
     return spark.createDataFrame(out, "component long, effective double, weight double, slope double, mu double, rate_2 double, rate_4 double, rate_8 double")
 
 
+#: Rounds of em_rounds.
+ROUNDS = 4
+
+
+def em_rounds(spark, sf):
+    """Two mixtures after a fixed number of rounds of EM, each round a pass for both."""
+    rows, p, config = _mixture(spark, sf)
+    other = mixture.Parameters(p.weights[::-1].copy(), p.mu, p.slopes, p.rates * 0.5)
+    models = [p, other]
+    for _ in range(ROUNDS):
+        models = [mixture.m_step(s, rows.n, rows.shapes, config) for s in rows.statistics_of(models)]
+    out = [(m, k, round(float(p.weights[k]), 4), round(float(p.slopes[k]), 3), *(round(float(x), 3) for x in p.rates[k])) for m, p in enumerate(models) for k in range(len(p.weights))]
+    return spark.createDataFrame(out, "model long, component long, weight double, slope double, rate_2 double, rate_4 double, rate_8 double")
+
+
 def information_scores(spark, sf):
     rows, p, _ = _mixture(spark, sf)
     ll, entropy = rows.statistics(p).log_likelihood, rows.entropy(p, None)
@@ -402,7 +417,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         knn_edges, knn_lists_sorted, knn_distance, knn_grid, knn_gather, shared_neighbours, range_degree, dbscan, knn_dbscan, snn_dbscan, log_distances, signatures, shells,
-        intrinsic_dimension, boundary_terms, robust_scale, label_codes, global_positions, connected, stratum_events, threshold_sweep, fixed_quantile, component_statistics, borders, growth, data_terms, mixture_assignment, em_step, information_scores, window_sizes, single_layer,
+        intrinsic_dimension, boundary_terms, robust_scale, label_codes, global_positions, connected, stratum_events, threshold_sweep, fixed_quantile, component_statistics, borders, growth, data_terms, mixture_assignment, em_step, em_rounds, information_scores, window_sizes, single_layer,
         clustering_metrics, contingency, pair_scores, target_summary, cluster_burden, adjusted_rand, evaluation, evaluation_summary, mutual_information, peak_density, peak_parents, peak_centers, follow_parents,
         symmetric_edges, unit_vectors, signal_log_odds, topology_evidence, job_expansion, field_choice, estimator_labels, stratification, background_scan, density_peaks, synthetic_family, comparison, comparison_by_suite, comparison_verdict,
     )
@@ -463,6 +478,22 @@ a AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS picks, 0::DOUBLE AS total UNION ALL
 b AS (SELECT picks FROM a WHERE i = (SELECT max(i) FROM t) ORDER BY total DESC LIMIT 1),
 m AS (SELECT t.*, w.p, w.n, w.cs, w.f1, (SELECT count(*) FROM w AS x WHERE x.y = t.y AND x.n >= t.least) AS fragments FROM t, b LEFT JOIN w ON w.y = t.y AND w.p = picks[t.i])"""
 
+
+def _em_round(i: int) -> str:
+    """comps{i + 1} from comps{i}: responsibilities, sums, the slope by halving, and weights and rates from it."""
+    return f"""joint{i} AS (SELECT id, m, k, s1, s2, s3, term + ln(w) + 2 * ln(r1) + 2 * ln(r2) + 4 * ln(r3) - r1 * s1 - r2 * s2 - r3 * s3 AS z FROM shells, comps{i}),
+top{i} AS (SELECT *, max(z) OVER (PARTITION BY id, m) AS t FROM joint{i}), resp{i} AS (SELECT *, exp(z - t) / sum(exp(z - t)) OVER (PARTITION BY id, m) AS r FROM top{i}),
+sums{i} AS MATERIALIZED (SELECT m, k, sum(r) AS n, sum(r * s1) AS w1, sum(r * s2) AS w2, sum(r * s3) AS w3 FROM resp{i} GROUP BY m, k),
+halved{i}(m, k, lo, hi, i) AS (SELECT m, k, -20::DOUBLE, 20::DOUBLE, 0 FROM sums{i} UNION ALL
+  SELECT m, k, CASE WHEN pull > 0 THEN lo ELSE (lo + hi) / 2 END, CASE WHEN pull > 0 THEN (lo + hi) / 2 ELSE hi END, i + 1
+  FROM (SELECT b.*, w1 * power(2, (lo + hi) / 2) * (ln(2) - t) + w2 * power(4, (lo + hi) / 2) * (ln(4) - t) + w3 * power(8, (lo + hi) / 2) * (ln(8) - t) AS pull FROM halved{i} b JOIN sums{i} USING (m, k), goal WHERE i < 60)),
+fit{i} AS (SELECT *, (lo + hi) / 2 AS slope, sum(n) OVER (PARTITION BY m) AS total FROM sums{i} JOIN halved{i} USING (m, k) WHERE i = 60),
+scaled{i} AS (SELECT *, ln(n * 8) - ln(w1 * power(2, slope) + w2 * power(4, slope) + w3 * power(8, slope)) AS mu FROM fit{i}),
+comps{i + 1} AS MATERIALIZED (SELECT m, k, n / total AS w, exp(mu + slope * ln(2)) AS r1, exp(mu + slope * ln(4)) AS r2, exp(mu + slope * ln(8)) AS r3, slope FROM scaled{i})"""
+
+
+_TWO = ", ".join(f"({m}::BIGINT, {k}::BIGINT, {w}::DOUBLE, {a * f}::DOUBLE, {b * f}::DOUBLE, {c * f}::DOUBLE)" for m, (weights, f) in enumerate(((WEIGHTS, 1.0), (WEIGHTS[::-1], 0.5))) for k, (w, (a, b, c)) in enumerate(zip(weights, RATES, strict=True)))
+
 ORACLE_SQL: dict[str, str] = {
     "knn_edges": f"WITH {_knn(K)} SELECT src, rank, dst FROM knn",
     "knn_lists_sorted": f"SELECT vec_id::BIGINT AS id, least({K}, (SELECT count(*) - 1 FROM embeddings))::BIGINT AS n, false AS has_self FROM embeddings",
@@ -559,6 +590,9 @@ b(k, lo, hi, i) AS (SELECT k, -20::DOUBLE, 20::DOUBLE, 0 FROM s UNION ALL
 f AS (SELECT s.*, (lo + hi) / 2 AS slope FROM s JOIN b USING (k) WHERE i = 60),
 m AS (SELECT *, ln(n * 8) - ln(w1 * power(2, slope) + w2 * power(4, slope) + w3 * power(8, slope)) AS mu, sum(n) OVER () AS total FROM f)
 SELECT k AS component, round(n, 2) AS effective, round(n / total, 4) AS weight, round(slope, 3) AS slope, round(mu, 3) AS mu, round(exp(mu + slope * ln(2)), 3) AS rate_2, round(exp(mu + slope * ln(4)), 3) AS rate_4, round(exp(mu + slope * ln(8)), 3) AS rate_8 FROM m""",
+    "em_rounds": f"""WITH RECURSIVE {_SHELLS}, goal AS (SELECT (2 * ln(2) + 2 * ln(4) + 4 * ln(8)) / 8 AS t), comps0(m, k, w, r1, r2, r3) AS (VALUES {_TWO}),
+{", ".join(_em_round(i) for i in range(ROUNDS))}
+SELECT m AS model, k AS component, round(w, 4) AS weight, round(slope, 3) AS slope, round(r1, 3) AS rate_2, round(r2, 3) AS rate_4, round(r3, 3) AS rate_8 FROM comps{ROUNDS}""",
     "information_scores": f"""WITH {_E_STEP}, t AS (SELECT sum(z - ln(r)) FILTER (k = 0) AS ll, -sum(CASE WHEN r > 0 THEN r * ln(r) ELSE 0 END) AS h, count(*) FILTER (k = 0) AS n FROM resp)
 SELECT criterion, round(CASE criterion WHEN 'bic' THEN -2 * ll + 8 * ln(n) WHEN 'aicc' THEN -2 * ll + 16 + 2 * 8 * 9 / (n - 9)::DOUBLE ELSE -2 * ll + 8 * ln(n) + 2 * h END, 1) AS score FROM t, (VALUES ('bic'), ('aicc'), ('icl')) c(criterion)""",
     "window_sizes": f"""WITH RECURSIVE {_knn(K)}, d4 AS (SELECT src AS id, dist::FLOAT::DOUBLE AS d FROM knn WHERE rank = 4),
