@@ -408,9 +408,13 @@ def comparison_by_suite(spark, sf):
 
 
 def comparison_verdict(spark, sf):
-    """Of the jobs that both tables have."""
-    pairs = benchmark.compare_frames(*results_of_lineitem(spark, sf)).where("presence = 'both'")
-    return benchmark.verdict(benchmark.compare_stats(pairs.withColumn("new_failure", F.lit(False)), 0.01), 0.01, 0.5, 1.25)
+    """Of all jobs, of those that both tables have, and of those of them that don't fail anew."""
+    pairs = materialize(benchmark.compare_frames(*results_of_lineitem(spark, sf)), "query-comparison")
+    out = None
+    for jobs, which in (("all", "true"), ("paired", "presence = 'both'"), ("sound", "presence = 'both' AND NOT new_failure")):
+        one = benchmark.verdict(benchmark.compare_stats(pairs.where(which), 0.01), 0.01, 0.5, 1.25).select(F.lit(jobs).alias("jobs"), "verdict")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -637,9 +641,10 @@ SELECT id AS center FROM g WHERE pos <= coalesce((SELECT max(pos) FROM g WHERE g
     "comparison": f"""WITH {_RESULTS} SELECT * EXCLUDE (quality_delta, runtime_ratio), round(quality_delta, 5) AS quality_delta, round(runtime_ratio, 5) AS runtime_ratio FROM jobs""",
     "comparison_by_suite": f"""WITH {_RESULTS} SELECT suite, count(quality_delta) AS pairs, round(median(quality_delta), 5) AS median_quality_delta, round(min(quality_delta), 5) AS worst_quality_delta, count(*) FILTER (quality_delta > 0.002) AS improved_pairs, count(*) FILTER (quality_delta < -0.002) AS regressed_pairs,
        round(median(runtime_ratio), 5) AS median_runtime_ratio, count(*) FILTER (presence <> 'both') AS unpaired, count(*) FILTER (new_failure) AS new_failures FROM jobs GROUP BY ROLLUP (suite)""",
-    "comparison_verdict": f"""WITH {_RESULTS}, b AS (SELECT * FROM jobs WHERE presence = 'both'), s AS (SELECT min(m) AS m FROM (SELECT median(quality_delta) AS m FROM b GROUP BY suite))
-SELECT CASE WHEN (SELECT m FROM s) < -0.01 OR median(quality_delta) < -0.01 OR min(quality_delta) < -0.5 THEN 'regressed' WHEN count(quality_delta) = 0 THEN 'incomparable'
-  ELSE CASE WHEN median(quality_delta) > 0.01 THEN 'improved' ELSE 'unchanged' END || CASE WHEN median(runtime_ratio) > 1.25 THEN '_slower' ELSE '' END END AS verdict FROM b""",
+    "comparison_verdict": f"""WITH {_RESULTS}, x AS (SELECT 'all' AS c, * FROM jobs UNION ALL SELECT 'paired', * FROM jobs WHERE presence = 'both' UNION ALL SELECT 'sound', * FROM jobs WHERE presence = 'both' AND NOT new_failure),
+m AS (SELECT c, min(m) AS m FROM (SELECT c, median(quality_delta) AS m FROM x GROUP BY c, suite) GROUP BY c)
+SELECT c AS jobs, CASE WHEN count(*) FILTER (presence <> 'both') > 0 THEN 'incomparable' WHEN count(*) FILTER (new_failure) > 0 OR min(m) < -0.01 OR min(quality_delta) < -0.5 THEN 'regressed' WHEN count(quality_delta) = 0 THEN 'incomparable'
+  ELSE CASE WHEN median(quality_delta) > 0.01 THEN 'improved' ELSE 'unchanged' END || CASE WHEN median(runtime_ratio) > 1.25 THEN '_slower' ELSE '' END END AS verdict FROM x JOIN m USING (c) GROUP BY c""",
     "clustering_metrics": f"""WITH {_Y}, t AS (SELECT sum(s * (s - 1) / 2)::DOUBLE AS tp FROM (SELECT sum(n) AS s FROM c WHERE y >= 0 GROUP BY y)), q AS (SELECT sum(s * (s - 1) / 2)::DOUBLE AS pp, count(*) AS k FROM (SELECT sum(n) AS s FROM c WHERE p >= 0 GROUP BY p)),
 z AS (SELECT coalesce(sum(n * (n - 1) / 2) FILTER (y >= 0 AND p >= 0), 0)::DOUBLE AS b, coalesce(sum(n) FILTER (y >= 0 AND p >= 0), 0)::DOUBLE AS ss, sum(n) FILTER (p >= 0)::DOUBLE AS sp, sum(n) FILTER (y >= 0)::DOUBLE AS st,
              coalesce(sum(n) FILTER (y < 0 AND p < 0), 0)::DOUBLE AS nn, sum(n) FILTER (p < 0)::DOUBLE AS np, sum(n) FILTER (y < 0)::DOUBLE AS nt, sum(n)::DOUBLE AS n FROM c),
