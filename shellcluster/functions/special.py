@@ -224,27 +224,27 @@ def savitzky_golay(y: np.ndarray, window: int, order: int) -> np.ndarray:
 
 
 def prominent_peaks(y: np.ndarray, prominence: float, distance: int, place: np.ndarray | None = None) -> np.ndarray:
-    """Local maxima (middles of flat ones) at least `distance` apart, higher ones first, of at least this prominence. place: where the values stand, if only turns are given."""
+    """Local maxima (middles of flat ones) at least `distance` apart, higher ones first, of at least this prominence. place: where the values stand, if only turns and the ends of flat stretches are given."""
     place = np.arange(len(y)) if place is None else place
-    peaks, i = [], 1
+    found, i = [], 1
     while i < len(y) - 1:
         if y[i - 1] < y[i]:
             j = i
             while j + 1 < len(y) and y[j + 1] == y[i]:
                 j += 1
             if j < len(y) - 1 and y[j + 1] < y[i]:
-                peaks.append((i + j) // 2)
+                found.append((i, (place[i] + place[j]) // 2))
             i = j
         i += 1
-    kept = np.ones(len(peaks), bool)
-    peaks = np.array(peaks, int)
+    kept = np.ones(len(found), bool)
+    peaks, middle = np.array(found, int).reshape(-1, 2).T
     for k in np.argsort(y[peaks], kind="stable")[::-1] if len(peaks) else []:
         if kept[k]:
-            near = np.abs(place[peaks] - place[peaks[k]]) < distance
+            near = np.abs(middle - middle[k]) < distance
             near[k] = False
             kept &= ~near
     out = []
-    for p in peaks[kept]:
+    for p, at in zip(peaks[kept], middle[kept]):
         left = p
         low_left = y[p]
         while left >= 0 and y[left] <= y[p]:
@@ -255,5 +255,5 @@ def prominent_peaks(y: np.ndarray, prominence: float, distance: int, place: np.n
             low_right = min(low_right, y[right])
             right += 1
         if y[p] - max(low_left, low_right) >= prominence:
-            out.append(int(place[p]))
+            out.append(int(at))
     return np.array(out, int)

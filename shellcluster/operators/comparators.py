@@ -90,7 +90,7 @@ def _placed_knee(placed: DataFrame, n: int, degree: int = 7) -> float:
 
 
 def _placed_extrema(placed: DataFrame, n: int, window: int, part: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
-    """Places where the slope of the smoothed curve turns or stays level, and both ends, ascending; the slope there."""
+    """Places where the slope of the smoothed curve turns, or begins or ends to stay level, and both ends, ascending; the slope there."""
     ship(placed.sparkSession)
     half = window // 2
     reach = window + 3
@@ -105,8 +105,9 @@ def _placed_extrema(placed: DataFrame, n: int, window: int, part: int = 1 << 16)
         pos, y = table["pos"].to_numpy(), table["d"].to_numpy()
         slope = np.gradient(special.savitzky_golay(y, window, min(3, window - 2)))
         low, high = k * part, n if k == parts - 1 else (k + 1) * part
-        # flat stretches keep all their places
-        mid = (slope[1:-1] - slope[:-2]) * (slope[2:] - slope[1:-1]) <= 0
+        # of a flat stretch its ends are enough
+        before, after = np.sign(slope[1:-1] - slope[:-2]), np.sign(slope[2:] - slope[1:-1])
+        mid = (before != after) & ((before * after < 0) | (before == 0) | (after == 0))
         keep = np.concatenate([[True], mid, [True]]) & (pos >= low) & (pos < high)
         keep[0] &= pos[0] == 0
         keep[-1] &= pos[-1] == n - 1

@@ -23,7 +23,7 @@ from .space import matrix
 #: Rounds at most, and the share of all list entries that must change for another round.
 ROUNDS, CHANGED = 12, 0.001
 #: Members of a meeting that are new to it, from its own list and from those that point to it, each.
-NEW = 12
+NEW = 16
 #: Pairs a task holds before it drops what no list will take.
 GATHER = 1_000_000
 

@@ -441,14 +441,13 @@ def extract(graph: DataFrame, strata: DataFrame, background_group: int | None, c
         else:
             best = fixed_quantile(signal, config.fixed_core_quantile)
         chosen = best.collect()
-    kept_components: dict[int, list[float]] = {}
+    kept_components: dict[int, tuple[int, float]] = {}
     if chosen:
         cut = spark.createDataFrame([(r["group"], r["threshold"]) for r in chosen], "group int, threshold double")
         candidates = materialize(signal.join(F.broadcast(cut), "group").where("d <= threshold"), "extract-candidates")
         labelled, stats = component_statistics(graph, candidates.select("id", "group", "u"), rank, n)
         good = materialize(stats.where("gain > 0"), "extract-good")
-        for r in good.select("group", "gain").orderBy("group", "component").collect():
-            kept_components.setdefault(r[0], []).append(r[1])
+        kept_components = {r[0]: (r[1], r[2]) for r in good.groupBy("group").agg(F.count("*"), F.sum("gain")).collect()}
         core = labelled.join(good.select("component"), "component", "left_semi").join(F.broadcast(cut), "group").select("id", "group", F.col("threshold").alias("radius"))
     events: list[dict] = []
     dimension = float("nan")
@@ -473,11 +472,11 @@ def extract(graph: DataFrame, strata: DataFrame, background_group: int | None, c
             groups.append({"group": g, "rows": sizes[g], "is_background": True, "size": sum(e["component_size"] for e in events), "threshold": None, "gain": sum(e["gain"] for e in events), "components": len(events)})
         else:
             r = by_group.get(g)
-            groups.append({"group": g, "rows": sizes[g], "is_background": False, "size": r["size"] if r else 0, "threshold": r["threshold"] if r else 0.0, "gain": r["gain"] if r else 0.0, "components": len(kept_components.get(g, []))})
+            groups.append({"group": g, "rows": sizes[g], "is_background": False, "size": r["size"] if r else 0, "threshold": r["threshold"] if r else 0.0, "gain": r["gain"] if r else 0.0, "components": kept_components.get(g, (0, 0.0))[0]})
     attached = borders.agg(F.count("*"), F.coalesce(F.sum(-F.log(F.greatest("ratio", F.lit(special.TINY)))), F.lit(0.0))).first()
     n_core, clusters = labels.agg(F.count("*"), F.count_distinct("label")).first()
     profile = {
-        "description_gain": sum(sum(v) for v in kept_components.values()) + sum(e["gain"] for e in events) + attached[1], "clusters": clusters, "core_fraction": n_core / n,
+        "description_gain": sum(v for _, v in kept_components.values()) + sum(e["gain"] for e in events) + attached[1], "clusters": clusters, "core_fraction": n_core / n,
         "border_fraction": attached[0] / n, "noise_fraction": 1 - (n_core + attached[0]) / n, "background_dimension": dimension, "evidence_ranks": [rank + 1, 2 * rank],
     }
     return Extraction(out, groups, events, profile)

@@ -134,6 +134,12 @@ def test_driver_special_functions():
     y = np.arange(50.0) ** 2
     assert np.allclose(special.savitzky_golay(y, 9, 3), y)
     assert special.prominent_peaks(np.array([0, 1, 0, 3, 3, 0, 0.5, 0]), 0.9, 1).tolist() == [1, 3]
+    rng = np.random.default_rng(0)
+    for _ in range(50):  # the ends of flat stretches are enough
+        y = np.repeat(rng.integers(0, 5, 30), rng.integers(1, 5, 30)).astype(float)
+        before, after = np.sign(y[1:-1] - y[:-2]), np.sign(y[2:] - y[1:-1])
+        some = np.flatnonzero(np.concatenate([[True], (before != after) & ((before * after < 0) | (before == 0) | (after == 0)), [True]]))
+        assert special.prominent_peaks(y, 1, 3).tolist() == special.prominent_peaks(y[some], 1, 3, some).tolist()
 
 
 def test_information_scores():
