@@ -117,16 +117,6 @@ def common_fields(cones: Sequence[str], clusters: DataFrame, members: DataFrame)
     return sorted(r[0] for r in names.collect() if r[0] in have)
 
 
-def add_background(points: DataFrame, n: int, *, margin: float = 2.5, seed: int = 42) -> DataFrame:
-    """points with rows of a uniform background in their bounding box, widened by margin, up to n rows, in a seeded order."""
-    have, d = points.count(), points.select(F.size("features")).first()[0]
-    box = points.agg(*[f(F.col("features")[i]) for i in range(d) for f in (F.min, F.max)]).first()
-    axes = [(F.rand(seed + 1 + i) * (box[2 * i + 1] - box[2 * i] + 2 * margin) + (box[2 * i] - margin)).cast("float") for i in range(d)]
-    noise = points.sparkSession.range(max(0, n - have)).select((F.col("id") + have).alias("id"), F.array(*axes).alias("features"), F.lit(-1).cast("long").alias("y"))
-    both = points.select("id", "features", "y").unionByName(noise)
-    return with_position(both, F.xxhash64(F.lit(seed), F.col("id")), "id", name="__new").select(F.col("__new").alias("id"), "features", "y")
-
-
 # --- sinks ----------------------------------------------------------------------------------
 
 
@@ -146,8 +136,17 @@ def write_json(value, path: str, attempts: int = 6) -> None:
 
 
 def write_state(labelled: DataFrame, path: str) -> None:
-    """id, y, p as Parquet: what every metric can be computed from again."""
+    """id, y, p as Parquet: what every metric can be computed from again. Beside it, in <path>-contingency, y, p and n of all pairs of labels, to audit it by."""
     labelled.select("id", "y", "p").write.mode("overwrite").parquet(path)
+    kept = labelled.sparkSession.read.parquet(path)
+    kept.groupBy("y", "p").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path.rstrip('/')}-contingency")
+
+
+def check_state(spark: SparkSession, path: str) -> bool:
+    """Whether the contingency beside a state is that of its rows."""
+    rows = spark.read.parquet(path).groupBy("y", "p").agg(F.count("*").alias("n"))
+    told = spark.read.parquet(f"{path.rstrip('/')}-contingency")
+    return rows.exceptAll(told).union(told.exceptAll(rows)).limit(1).count() == 0
 
 
 def fingerprint(df: DataFrame) -> str:

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..runtime import ship
 
@@ -23,11 +24,15 @@ Draw = Callable[[int, np.random.Generator, np.ndarray], np.ndarray]
 
 @dataclass
 class Family:
-    """counts: rows of labels 0.. and last of the background; draw: from a label (-1 background), a generator and places within the label to points."""
+    """counts: rows of labels 0.. and last of the background; draw: from a label (-1 background), a generator and places within the label to points.
+
+    With a margin the background is uniform in the box of all other rows, that much wider on each side; draw isn't asked for it.
+    """
 
     counts: list[int]
     draw: Draw
     metadata: dict = field(default_factory=dict)
+    margin: float | None = None
 
     @property
     def names(self) -> list[str]:
@@ -35,7 +40,20 @@ class Family:
 
 
 def generate(spark: SparkSession, family: Family, seed: int) -> DataFrame:
-    """id, features and y."""
+    """id, features and y. A box that follows from the other rows is measured on them, in a pass before."""
+    if family.margin is None or not family.counts[-1]:
+        return _generated(spark, family, seed)
+    d = family.draw(0, np.random.default_rng(0), np.array([0])).shape[1]
+    hollow = replace(family, draw=lambda c, rng, place: family.draw(c, rng, place) if c >= 0 else np.zeros((len(place), d)))
+    rows = _generated(spark, hollow, seed).where("y >= 0")
+    box = rows.agg(*[f(F.col("features")[i]) for f in (F.min, F.max) for i in range(d)]).first()
+    if box[0] is None:
+        raise ValueError("a background by the box of the other rows needs some")
+    noise = _uniform(np.array(box[:d]) - family.margin, np.array(box[d:]) + family.margin)
+    return _generated(spark, replace(family, draw=lambda c, rng, place: family.draw(c, rng, place) if c >= 0 else noise(rng, len(place))), seed)
+
+
+def _generated(spark: SparkSession, family: Family, seed: int) -> DataFrame:
     ship(spark)
     n, ends = sum(family.counts), np.cumsum(family.counts)
     step = next(a for a in range(max(1, int(n * 0.6180339887)), 2 * n + 2) if math.gcd(a, n) == 1) if n > 1 else 1
@@ -162,9 +180,8 @@ def overlapping_density_16d(n: int, *, seed: int = 42, signal_fraction: float =
     return Family([*_dealt(signal, weights, seed), n - signal], draw)
 
 
-def _with_box(signal: Draw, low: np.ndarray, high: np.ndarray) -> Draw:
-    noise = _uniform(low - 2.5, high + 2.5)
-    return lambda c, rng, place: noise(rng, len(place)) if c < 0 else signal(c, rng, place)
+#: How much wider than the other rows the box of a background is.
+MARGIN = 2.5
 
 
 def moons_or_rings(family: str, n: int, *, noise_fraction: float, seed: int = 42) -> Family:
@@ -182,8 +199,7 @@ def moons_or_rings(family: str, n: int, *, noise_fraction: float, seed: int = 42
         t = 2 * np.pi * place / counts[c]
         return (0.35 if c else 1.0) * np.column_stack([np.cos(t), np.sin(t)]) + rng.normal(0, 0.04, (len(place), 2))
 
-    box = (np.array([-1.2, -0.7]), np.array([2.2, 1.2])) if family == "moons" else (np.full(2, -1.1), np.full(2, 1.1))
-    return Family([*counts, n - signal], _with_box(draw, *box))
+    return Family([*counts, n - signal], draw, margin=MARGIN)
 
 
 def gaussians(family: str, n: int, *, dimension: int, noise_fraction: float, seed: int = 42) -> Family:
@@ -198,7 +214,7 @@ def gaussians(family: str, n: int, *, dimension: int, noise_fraction: float, see
     scales = rng.uniform(0.35, 1.1, (k, dimension)) * (1.45 if overlap else 1)
     weights = np.ones(k) if overlap else np.geomspace(1, 10, k)
     draw = lambda c, r, place: r.normal(size=(len(place), dimension)) * scales[c] + centers[c]
-    return Family([*_dealt(signal, weights, seed), n - signal], _with_box(draw, (centers - 3 * scales).min(0), (centers + 3 * scales).max(0)))
+    return Family([*_dealt(signal, weights, seed), n - signal], draw, margin=MARGIN)
 
 
 def contamination(n: int, *, signal_size: int, noise_fraction: float, background_intensity: float = 12.0, background_strip_height: float = 10.0, background_inner_edge: float = 6.0, dimension: int = 2, seed: int = 42) -> Family:
