@@ -26,6 +26,10 @@ CELL, MOST_CELLS, PER_CELL = 512, 8192, 32
 BLOCK, SEARCHERS = 4096, 65536
 #: Dimensions up to which boxes are used; beyond, pivots.
 BOX_DIMENSIONS = 3
+#: Products that take as long as a row that travels, and copies of a row that may travel: beyond, all rows pass broadcast blocks.
+ROW_WORK, COPIES = 200, 64
+#: Bytes of a block that is broadcast, and its rows that are met at once.
+BLOCK_BYTES, AT_ONCE = 64 << 20, 8192
 #: Relative slack of bounds, for rounding.
 _SLACK = 1e-9
 
@@ -419,6 +423,37 @@ def meet(rows: DataFrame, part: Partition, work: Callable[[Side, Side], pa.Recor
     return map_in_arrow(rows.repartition(part.tasks, "cell", "part").sortWithinPartitions("cell", "part", "side"), run, schema)
 
 
+def costly(part: Partition, seen: np.ndarray) -> bool:
+    """Whether pivots spare so little that it is cheaper to compare all rows than to deal them out."""
+    copies = float((seen * part.blocks).sum())
+    pairs = (seen.astype(float) * part.cells.count).sum()
+    return isinstance(part.cells, Pivots) and (copies > COPIES * part.n or ROW_WORK * copies + pairs > part.n**2)
+
+
+def meet_all(targets: DataFrame, queries: DataFrame, part: Partition, d: int, work: Callable[[Side, Side], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """work of all rows against all, without a shuffle of pairs: searched rows are broadcast in blocks of bounded size, searching ones stream past each."""
+    spark = targets.sparkSession
+    blocks = max(1, -(-part.n * (8 * d + 32) // BLOCK_BYTES))
+    placed, out = targets.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))), None
+    for b in range(blocks):
+        rows = placed.where(F.col("block") == b).drop("block").toArrow().combine_chunks().to_batches()
+        shared = spark.sparkContext.broadcast([Side(*_columns(r)) for r in rows])
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1024):
+                    own = Side(*_columns(batch.slice(at, 1024)))
+                    for there in shared.value:
+                        for a in range(0, len(there.ids), AT_ONCE):
+                            some = Side(*(getattr(there, f)[a : a + AT_ONCE] for f in ("ids", "x", "value", "rho")))
+                            if (found := work(some, own)) is not None:
+                                yield found
+
+        one = map_in_arrow(queries.repartition(part.tasks, "id"), run, schema)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def within(targets: Side, queries: Side, eps: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of queries, row of targets, distance) of pairs of different ids within eps."""
     out, norm = [], (targets.x**2).sum(axis=1)
@@ -436,13 +471,17 @@ def range_pairs(points: DataFrame, eps: float, n: int, d: int) -> DataFrame:
     """src, dst, dist of all ordered pairs within eps."""
     part = partition(points, n, d)
     rows, reach = asking(points, float(eps)), Reach(part.cells)
-    across = np.maximum(1, -(-visits(rows, part, reach) // SEARCHERS))
+    seen = visits(rows, part, reach)
+    across = np.maximum(1, -(-seen // SEARCHERS))
 
     def work(targets: Side, queries: Side) -> pa.RecordBatch | None:
         i, j, dist = within(targets, queries, eps)
         return pa.RecordBatch.from_arrays([pa.array(queries.ids[i]), pa.array(targets.ids[j]), pa.array(dist)], names=["src", "dst", "dist"]) if len(i) else None
 
-    return meet(searched(rows, part, across).unionByName(searching(rows, part, across, reach)), part, work, "src long, dst long, dist double")
+    schema = "src long, dst long, dist double"
+    if costly(part, seen):
+        return meet_all(rows, rows, part, d, work, schema)
+    return meet(searched(rows, part, across).unionByName(searching(rows, part, across, reach)), part, work, schema)
 
 
 def compared(points: DataFrame, radius: float | str, n: int, d: int) -> float:
@@ -488,7 +527,7 @@ def neighbours(points: DataFrame, k: int, n: int, d: int, top_k: Callable, most:
     lists = materialize(meet(homes, part, home, "id long, nbr array<long>, dist array<double>, features array<float>, value double"), "cell-lists")
     wide, reach = asking(lists, "value"), Reach(cells)
     seen = visits(wide, part, reach)
-    if float((seen.astype(float) * cells.count).sum()) > most * n * n:
+    if float((seen.astype(float) * cells.count).sum()) > most * n * n or (most < 1 and costly(part, seen)):
         return None
     across = np.maximum(1, -(-seen // SEARCHERS))
     rows = searched(targets, part, across).unionByName(searching(wide, part, across, reach, own_block=False))
@@ -584,11 +623,15 @@ def nearest_before(rows: DataFrame, n: int, d: int, lists: DataFrame | None = No
         some = parent >= 0
         return pa.RecordBatch.from_arrays([pa.array(c[some]) for c in (own.ids, delta, parent, rank)], names=["id", "delta", "parent", "rank"]) if some.any() else None
 
-    found = meet(searched(told, part, across).unionByName(searching(wide, part, across, reach, own_block=False)), part, further, "id long, delta double, parent long, rank double")
+    schema = "id long, delta double, parent long, rank double"
+    if costly(part, seen):
+        found = meet_all(told, wide, part, d, further, schema)
+    else:
+        found = meet(searched(told, part, across).unionByName(searching(wide, part, across, reach, own_block=False)), part, further, schema)
     both = own.where("parent >= 0").select("id", "delta", "parent", "rank").unionByName(found)
     out = both.groupBy("id").agg(F.min(F.struct("delta", "rank", "parent")).alias("b")).select("id", "b.delta", "b.parent")
     at_home = (cells.count.astype(float) * np.minimum(cells.count, BLOCK)).sum() * left.count() / n
-    share = float((seen.astype(float) * cells.count).sum() + at_home) / n**2
+    share = 1.0 if costly(part, seen) else float((seen.astype(float) * cells.count).sum() + at_home) / n**2
     return out if done is None else out.unionByName(done), share
 
 

@@ -18,11 +18,15 @@ def shapes():
     }
 
 
-@pytest.fixture(params=list(shapes()))
+@pytest.fixture(params=[*shapes(), "flat in blocks", "flat dealt"])
 def rows(request, spark, monkeypatch):
-    for name, v in (("CELL", 64), ("BLOCK", 200), ("SEARCHERS", 300)):
+    for name, v in (("CELL", 64), ("BLOCK", 200), ("SEARCHERS", 300), ("AT_ONCE", 150)):
         monkeypatch.setattr(space, name, v)
-    x = shapes()[request.param].astype(np.float32).astype(float)
+    name, _, how = request.param.partition(" ")
+    if how:  # beyond three dimensions either way may be the cheaper one
+        monkeypatch.setattr(space, "costly", lambda *a: how == "in blocks")
+        monkeypatch.setattr(space, "BLOCK_BYTES", 20_000)
+    x = shapes()[name].astype(np.float32).astype(float)
     dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
     np.fill_diagonal(dist, np.inf)
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, features array<float>").repartition(3).cache()
