@@ -25,6 +25,8 @@ def folder(spark, tmp_path_factory):
     spark.createDataFrame(rows, DOCUMENTS).repartition(3).write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame([(i, i % 2, int(i % 5 == 1)) for i in range(0, 90, 2)] + [(7, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
     spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    vectors = [(i, [float((i * 7 + j * j) % 11 - 5) for j in range(8)], i % 3) for i in range(90)] + [(100, None, 1), (None, [1.0] * 8, 2)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{at}/embeddings.parquet")
     turns = [(c, t, ("user", "assistant")[t % 2], f"turn {c} {t} " + "long " * (9000 * (c == 2))) for c in range(4) for t in range(c + 2)]
     turns += [(None, 0, "user", "x"), (None, 1, "assistant", "y"), (None, 3, "assistant", "z"), (9, 0, None, None)]
     spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{at}/conversations.parquet")
@@ -35,7 +37,7 @@ def folder(spark, tmp_path_factory):
 def hollow(spark, folder, tmp_path_factory):
     """The same tables without rows."""
     at = str(tmp_path_factory.mktemp("hollow"))
-    for t in ("documents", "labels", "benchmark", "conversations"):
+    for t in ("documents", "labels", "benchmark", "conversations", "embeddings"):
         spark.read.parquet(f"{folder}/{t}.parquet").limit(0).write.parquet(f"{at}/{t}.parquet")
     return at
 
