@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from shellcluster.operators import descent, knn, space
+from shellcluster.operators import comparators, descent, knn, space
 
 
 def shapes():
@@ -145,3 +145,27 @@ def test_meetings_against_all_pairs():
     wanted = {(ids[i], ids[j]) for i in range(11) for j in range(11) if i != j and group[i] == group[j] and (fresh[i] or fresh[j]) and np.linalg.norm(x[i] - x[j]) < last[i]}
     assert set(zip(src, dst)) == wanted and len(src) == len(wanted)
     assert np.allclose(dist, np.linalg.norm(x[src // 7] - x[dst // 7], axis=1))
+
+
+@pytest.mark.parametrize("d,eps", [(2, 0.5), (2, 3.0), (12, 3.2), (12, 5.0)])
+def test_dbscan_without_pairs_is_dbscan(spark, monkeypatch, d, eps):
+    x = np.vstack([np.random.default_rng(d).normal(c, 1, (110, d)) for c in (0, 4)]).astype(np.float32)
+    points = spark.createDataFrame([(1000 - 3 * i, r.tolist()) for i, r in enumerate(x)], "id long, features array<float>")
+    whole = {r["id"]: r["label"] for r in comparators.dbscan(points, eps).collect()}
+    monkeypatch.setattr(comparators, "MOST_PAIRS", 0)
+    monkeypatch.setattr(comparators, "PAIRS_A_ROW", 0)
+    monkeypatch.setattr(comparators, "ANCHORS", 3)
+    monkeypatch.setattr(knn, "range_edges", None)  # no pair may be written
+    assert whole == {r["id"]: r["label"] for r in comparators.dbscan(points, eps).collect()}
+
+
+@pytest.mark.parametrize("bytes_", [1 << 26, 4000])
+def test_far_ranks_come_from_the_far_end(spark, monkeypatch, bytes_):
+    x = np.random.default_rng(8).normal(size=(90, 12)).astype(np.float32)
+    points = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, features array<float>")
+    found = {r["id"]: r["d"] for r in knn.far_distance(points, 10, 90, 12, bytes_).collect()}
+    y = x.astype(float)
+    expected = np.sort(np.sqrt(((y[:, None] - y[None]) ** 2).sum(2)), axis=1)[:, -10]
+    assert np.array_equal([found[i] for i in range(90)], expected.astype(np.float32).astype(float))
+    monkeypatch.setattr(comparators, "_graph", None)  # no list of nearest rows may be made
+    comparators.run_amd_dbscan(points, "high_dim")
