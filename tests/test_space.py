@@ -169,3 +169,31 @@ def test_far_ranks_come_from_the_far_end(spark, monkeypatch, bytes_):
     assert np.array_equal([found[i] for i in range(90)], expected.astype(np.float32).astype(float))
     monkeypatch.setattr(comparators, "_graph", None)  # no list of nearest rows may be made
     comparators.run_amd_dbscan(points, "high_dim")
+
+
+@pytest.mark.parametrize("kind", ["apart", "copies"])
+@pytest.mark.parametrize("d", [1, 2, 3])
+def test_density_peaks_without_lists(spark, monkeypatch, kind, d):
+    rng = np.random.default_rng(d)
+    x = np.concatenate([rng.normal(size=(350, d)), rng.normal(size=(250, d)) * 0.05 + 3])
+    x = np.repeat(np.round(x[:200], 1), 3, axis=0) if kind == "copies" else x
+    points = spark.createDataFrame([(5000 - i, r.tolist()) for i, r in enumerate(x)], "id long, features array<float>").repartition(3)
+    by_lists = {r["id"]: r for r in comparators.peak_state(points).collect()}
+    monkeypatch.setattr(comparators, "PEAK_ENTRIES", 0)
+    monkeypatch.setattr(comparators, "peak_graph", None)  # no list may be made
+    monkeypatch.setattr(space, "LEAF", 8)
+    monkeypatch.setattr(space, "GROUP_LEAVES", 4)
+    found = {r["id"]: r for r in comparators.peak_state(points).collect()}
+    assert found.keys() == by_lists.keys() and len(found) == 600
+    near = [i for i in found if abs(found[i]["rho"] - by_lists[i]["rho"]) < 1e-6]
+    assert len(near) == 600
+    if kind == "apart":
+        assert all(found[i]["parent"] == by_lists[i]["parent"] and abs(found[i]["delta"] - by_lists[i]["delta"]) < 1e-9 for i in found)
+    # by brute force, in the order of the densities found
+    y = x.astype(np.float32).astype(float)
+    for i in range(0, 600, 7):
+        own = found[5000 - i]
+        before = [j for j in range(600) if (-found[5000 - j]["rho"], 5000 - j) < (-own["rho"], 5000 - i)]
+        far = np.sqrt(((y - y[i]) ** 2).sum(axis=1))
+        assert abs(own["delta"] - (min(far[before]) if before else far.max())) < 1e-9
+        assert own["parent"] == (5000 - min(before, key=lambda j: (far[j], -found[5000 - j]["rho"], 5000 - j)) if before else -1)
