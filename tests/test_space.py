@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from shellcluster.operators import comparators, descent, knn, space
+from shellcluster.plans import queries
 
 
 def shapes():
@@ -197,3 +198,10 @@ def test_density_peaks_without_lists(spark, monkeypatch, kind, d):
         far = np.sqrt(((y - y[i]) ** 2).sum(axis=1))
         assert abs(own["delta"] - (min(far[before]) if before else far.max())) < 1e-9
         assert own["parent"] == (5000 - min(before, key=lambda j: (far[j], -found[5000 - j]["rho"], 5000 - j)) if before else -1)
+
+
+def test_the_query_of_peak_centers_makes_no_lists_beyond_the_bound(spark, monkeypatch):
+    whole = sorted(r["center"] for r in queries.peak_centers(spark, "/root/testdata/sf0.01").collect())
+    monkeypatch.setattr(comparators, "PEAK_ENTRIES", 0)
+    monkeypatch.setattr(comparators, "peak_graph", None)
+    assert sorted(r["center"] for r in queries.peak_centers(spark, "/root/testdata/sf0.01").collect()) == whole
