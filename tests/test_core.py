@@ -616,3 +616,20 @@ def test_entry(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).limit(1).count() == 1
+
+
+def test_trees_of_blocks_are_the_tree(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.normal(c, 0.5, (90, 5)) for c in (0, 4)] + [rng.uniform(-3, 8, (60, 5))])
+    points = spark.createDataFrame([(7 * i + 3, [float(v) for v in r]) for i, r in enumerate(x.astype(np.float32))], "id long, features array<float>")
+    ids, edges = comparators.reachability_tree(points, 5)
+    whole = {r["id"]: r["label"] for r in comparators.run_hdbscan(points, "high_dim").labels.collect()}
+    for name, v in (("TREE_ROWS", 10), ("TREE_PARTS", 3), ("TREE_BLOCK", 30)):
+        monkeypatch.setattr(comparators, name, v)
+    monkeypatch.setattr(comparators, "_dense", None)  # the rows may not come to the driver
+    again, spread = comparators.reachability_tree(points, 5)
+    assert np.array_equal(ids, again) and len(spread) == 239 and np.allclose(edges[:, 2], spread[:, 2], atol=1e-9)
+    found = {r["id"]: r["label"] for r in comparators.run_hdbscan(points, "high_dim").labels.collect()}
+    assert len(set(whole.values())) > 2
+    # rows whose reachabilities are alike may fall either way
+    assert metrics.adjusted_rand(spark.createDataFrame([(whole[i], found[i]) for i in whole], "y long, p long")) > 0.97
