@@ -633,3 +633,18 @@ def test_trees_of_blocks_are_the_tree(spark, monkeypatch):
     assert len(set(whole.values())) > 2
     # rows whose reachabilities are alike may fall either way
     assert metrics.adjusted_rand(spark.createDataFrame([(whole[i], found[i]) for i in whole], "y long, p long")) > 0.97
+
+
+@pytest.mark.parametrize("n", [1, 150, 200])
+@pytest.mark.parametrize("edges", [0, 60, 400])
+def test_all_widths_of_windows_at_once(spark, monkeypatch, n, edges):
+    n = max(n, 16)
+    rng = np.random.default_rng(n + edges)
+    a = rng.integers(0, n, edges)
+    b = np.clip(a + rng.integers(-12, 13, edges), 0, n - 1)
+    widths = extract._widths(n, 2)
+    sizes = [(w, extract._window_sizes(np.arange(n), np.arange(n), a, b, w)) for w in widths]
+    expected = [(w, int((s[1:] >= s[0]).sum()), len(s)) for w, s in sizes]
+    monkeypatch.setattr(extract, "TASK_WINDOW", 8)
+    placed = spark.createDataFrame(list(zip(a.tolist(), b.tolist())), "a long, b long")
+    assert extract.window_ranks(placed, n, widths) == expected
