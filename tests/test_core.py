@@ -648,3 +648,15 @@ def test_all_widths_of_windows_at_once(spark, monkeypatch, n, edges):
     monkeypatch.setattr(extract, "TASK_WINDOW", 8)
     placed = spark.createDataFrame(list(zip(a.tolist(), b.tolist())), "a long, b long")
     assert extract.window_ranks(placed, n, widths) == expected
+
+
+def test_xshift_modes_stay_in_spark(spark, monkeypatch):
+    x = np.concatenate([np.random.default_rng(4).normal(0, 0.05, (30, 2)) + c for c in ((1, 0), (0, 1), (-1, 0))])
+    points = frame(spark, x)
+
+    def no(*a, **k):
+        raise AssertionError("modes came to the driver")
+
+    monkeypatch.setattr(type(points), "toPandas", no)
+    clusters, noise = partition(comparators.run_xshift(points, "low_dim").labels.collect())
+    assert sum(map(len, clusters)) == 90 and not noise
