@@ -14,7 +14,7 @@ pytest.importorskip("shellcluster.llm")
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from shellcluster.llm import chosen_path, common, context_mixing, dac, gam, mixing, pigeonhole, preference, rules, suffix_dedup, toxicity
+from shellcluster.llm import chosen_path, common, context_mixing, dac, gam, mixing, pigeonhole, preference, rules, stream, suffix_dedup, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SF = "/root/testdata/sf0.001"
@@ -552,6 +552,43 @@ def test_model_beats_base_on_held_out(spark):
     assert got["score"].sum() > got["base_score"].sum()
 
 
+def test_code_of_words_is_a_distribution():
+    """Whatever the words before, the probabilities of all codes add up to one, at any expected word."""
+    rng = np.random.default_rng(8)
+    h = rng.integers(1, 1 << 62, 300).astype(np.uint64)
+    code = stream.build(h, np.append(np.sort(rng.integers(2, 5000, 300))[::-1], 70))
+    assert (np.sort(code.of(h)) == np.arange(300)).all() and code.of(np.array([5], np.uint64))[0] == 300
+    tables = [rng.integers(0, 1 << 16, 1 << 16).astype(np.uint16) for _ in range(stream.CONTEXTS)]
+    mixer = stream.fresh()
+    mixer.apm += rng.integers(0, 9, mixer.apm.shape)
+    for expected in (-1, 0, 7, 300):
+        ctx = [np.full(301, x, np.uint32) for x in rng.integers(0, 1 << 32, stream.CONTEXTS)]
+        got = mixer.log10(code, tables, np.arange(301), ctx, np.full(301, expected), None)
+        assert abs((10.0**got).sum() - 1) < 1e-4
+        # the expected word is hinted at for all its bits, any other up to the first that differs
+        node, bit, _, size = stream.bits_of(code, np.arange(301), ctx)
+        hint = np.split(stream.matched(code, np.arange(301), np.full(301, expected), (2 * bit - 1).astype(np.float32), size), np.cumsum(size)[:-1])
+        way = lambda i: code.path[code.begin[i] : code.begin[i] + code.size[i]].tolist()
+        for i in range(301):
+            told = {step >> 1: step & 1 for step in way(expected)} if expected >= 0 else {}
+            assert hint[i].tolist() == [0 if step >> 1 not in told else 2 * told[step >> 1] - 1 for step in way(i)]
+
+
+def test_score_depends_on_the_order_of_words(spark):
+    """Texts held out are likelier than the same words in random order, and than by a model that knows no order."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").toPandas()
+    rng = np.random.default_rng(0)
+    held = table[[zlib.crc32(str(i).encode()) % 7 == 2 and len(words(t or "")) > 30 for i, t in zip(table["doc_id"], table["text"])]]
+    mixed = [(int(i) + 10**9, " ".join(rng.permutation(words(t)))) for i, t in zip(held["doc_id"], held["text"])]
+    both = [(int(i), t) for i, t in zip(table["doc_id"], table["text"])] + mixed
+    learns = (F.col("doc_id") < 10**9) & (common.fold("doc_id", 7) != 2)
+    got = {r["doc_id"]: r for r in context_mixing.score(spark.createDataFrame(both, "doc_id long, text string"), learns).collect()}
+    total = lambda column, ids: sum(got[i][column] for i in ids)
+    own = held["doc_id"].tolist()
+    assert total("score", own) > 0.95 * total("score", [i for i, _ in mixed])
+    assert total("score", own) > 0.92 * total("base_score", own)
+
+
 # --- 9 --------------------------------------------------------------------------------------
 
 
