@@ -574,6 +574,62 @@ def test_code_of_words_is_a_distribution():
             assert hint[i].tolist() == [0 if step >> 1 not in told else 2 * told[step >> 1] - 1 for step in way(i)]
 
 
+def test_runs_of_one_length_of_code_give_what_single_tokens_do():
+    """Slots of nodes of a line are one line, each of its own; runs of tokens give the bits, hints and probabilities of each token alone."""
+    rng = np.random.default_rng(9)
+    h = rng.integers(1, 1 << 62, 500).astype(np.uint64) << np.uint64(1)
+    code = stream.build(h, np.append(np.sort(rng.integers(2, 50_000, 500))[::-1], 70))
+    assert (np.sort(code.of(h)) == np.arange(500)).all() and (code.of(h + np.uint64(1)) == 500).all()
+    codes, expected = rng.integers(0, 501, 400), rng.integers(-1, 501, 400)
+    expected[::7] = codes[::7]
+    ctx = [rng.integers(0, 1 << 32, 400).astype(np.uint32) for _ in range(stream.CONTEXTS)]
+    found = list(stream.runs(code, codes, ctx, 60))
+    assert sorted(np.concatenate(found).tolist()) == list(range(400)) and all(len(set(code.size[codes[r]])) == 1 for r in found)
+    node, bit, slots, size = stream.bits_of(code, codes, ctx, 16)
+    hint = stream.matched(code, codes, expected, (2 * bit - 1).astype(np.float32), size)
+    every = [np.split(x, np.cumsum(size)[:-1]) for x in (node, bit, *slots, hint)]
+    for r in found:
+        n, b, s, k = stream.bits_of(code, codes[r], [c[r] for c in ctx], 16)
+        for own, whole in zip((n, b, *s, stream.matched(code, codes[r], expected[r], (2 * b - 1).astype(np.float32), k)), every, strict=True):
+            assert own.tolist() == np.concatenate([whole[i] for i in r]).tolist()
+    for at in every[2]:
+        lines = [at[i : i + stream.LINE_STEPS] >> stream.LINE_STEPS for i in range(0, len(at), stream.LINE_STEPS)]
+        assert all(len(set(x.tolist())) == 1 for x in lines)
+    # all nodes under one context: those of a line have slots of their own
+    first = stream.bits_of(code, np.arange(501), [np.full(501, 77, np.uint32)] * 2, 16)
+    of_node = dict(zip(first[0].tolist(), first[2][0].tolist(), strict=True))
+    line = code.line[list(of_node)]
+    assert len(set(zip(line.tolist(), of_node.values(), strict=True))) == len(of_node)
+    tables = [rng.integers(0, 1 << 16, 1 << 16).astype(np.uint16) for _ in range(stream.CONTEXTS)]
+    whole = stream.fresh().log10(code, tables, codes, ctx, expected, np.ones(400, np.int32))
+    single = [stream.fresh().log10(code, tables, codes[i : i + 1], [c[i : i + 1] for c in ctx], expected[i : i + 1], np.ones(1, np.int32))[0] for i in range(400)]
+    assert np.allclose(whole, single, rtol=1e-5)
+
+
+def test_counts_beyond_16_bits(spark):
+    """A word that comes 70,000 times after itself is counted as often, in tables of 16 bits."""
+    texts = spark.createDataFrame([("a " * 70_000, True), ("b", True), ("a " * 40_000, True), ("a " * 90_000, False)], "text string, learns boolean").coalesce(1)
+    a, b = (int(context_mixing.Tokens(np.frombuffer(x, np.uint8), np.array([0, 1])).hash[0]) for x in (b"a", b"b"))
+    code = stream.build(np.array([a, b], np.uint64), np.array([110_000, 20_000, 30_000]))
+    sent = spark.sparkContext.broadcast(code)
+    bits = stream.table_bits(110_005)
+    tables = [np.zeros((1 << bits, 2), np.uint8) for _ in range(stream.CONTEXTS)]
+    for j, at, raw in stream.count(texts, sent, 110_005, context_mixing.Tokens):
+        part = stream.unpress(raw, np.uint16)
+        tables[j][at : at + len(part)] = np.stack([part & 255, part >> 8], 1)
+    t = [np.array(x, np.uint64) for x in ([a] * 70_000 + [a + 2], [b, a + 2], [a] * 40_000 + [a + 2])]
+    begin = [np.zeros(len(x), np.int64) for x in t]
+    expected = [np.zeros((1 << bits, 2), np.int64) for _ in range(stream.CONTEXTS)]
+    for h, first in zip(t, begin, strict=True):
+        ctx, _ = stream.before(h, first, first)
+        _, bit, slots, _ = stream.bits_of(code, code.of(h), ctx, bits)
+        for table, at in zip(expected, slots, strict=True):
+            np.add.at(table, (at, bit), 1)
+    assert max(x.max() for x in expected) > 65_535
+    for table, own in zip(tables, expected, strict=True):
+        assert (table == stream.level_of(own)).all()
+
+
 def test_score_depends_on_the_order_of_words(spark):
     """Texts held out are likelier than the same words in random order, and than by a model that knows no order."""
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").toPandas()
